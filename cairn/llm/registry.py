@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .quality import OP5_SQL, op5_quality_rules
+from .simhash import op7_simhash
 from .token_file import op4_token_files
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL = {
+    "op5_quality_rules": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
 }
