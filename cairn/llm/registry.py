@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .mixing import op1_mixing
 from .quality import OP5_SQL, op5_quality_rules
 from .simhash import op7_simhash
 from .token_file import op4_token_files
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
