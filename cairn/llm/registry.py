@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op10_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import op1_mixing
 from .quality import OP5_SQL, op5_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
