@@ -21,14 +21,13 @@ empty result.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import coded_words, sized, stored, table
@@ -58,11 +57,6 @@ def ngrams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def held_out(doc_id: int | None) -> bool:
-    """Documents whose id's CRC leaves 2 when divided by 4 aren't learned from."""
-    return zlib.crc32(str(doc_id).encode()) % 4 == 2 if doc_id is not None else False
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Counter] = {}
     for batch in sized(batches, 1):
@@ -228,11 +222,33 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("id", id_col)
 
 
-def _is_held_out(id_col: str):
+def _keep(shared, min_score: float):
+    judge = _predict(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches(judge(iter([pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["id", "text"])])))
+            if found.num_rows:
+                known = pc.and_(pc.not_equal(found["lang_pred"], UNKNOWN), pc.greater_equal(found["score"], min_score))
+                yield batch.filter(known.combine_chunks())
+
+    return run
+
+
+def keep_known(docs: DataFrame, model: Model, *, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose language is known with a score of
+    ``min_score`` at least."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs if text_col == "text" else docs.withColumn("text", F.col(text_col))
+    return rows.mapInArrow(_keep(shared, min_score), rows.schema).select(*docs.columns)
+
+
+def is_held_out(id_col: str) -> Column:
+    """Whether the CRC of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(~_is_held_out("doc_id")).select("text", "lang"))
-    return predict(docs, model).select("doc_id", _is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    model = fit(docs.where(~is_held_out("doc_id")).select("text", "lang"))
+    return predict(docs, model).select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
