@@ -1,4 +1,535 @@
-"""The engine's own queries, by name, and their SQL."""
+"""The engine's own queries over the driver's tables, by name, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import build_text, content_hash, normal_tags, parse_tags, preview, tokens
+from ..functions.vectors import cosine_distance, cosine_similarity, dot, norm, normalize
+from ..operators import bm25, chunking, compaction, hybrid, ingest
+from ..operators.embedding import HashingEmbedder, embed_frame
+from ..operators.filters import SearchFilter
+from ..operators.knn import IvfIndex, exact_knn, recall_at_k
+from ..sources.oplog import last_state
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+# --- views ----------------------------------------------------------------
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    """Documents as live records."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    d = d.join(lab, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    tags = F.concat(F.array("lang"), F.when(F.col("quality") == 1, F.array(F.lit("quality"))).otherwise(none), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(none))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
+    cols = [F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("title"), "text", "source", day.alias("updated_at"), tags.alias("tags")]
+    if not vectors:
+        return d.select(*cols)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return d.join(e, "doc_id", "left").select(*cols, "embedding")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items, each with the vector of the same number."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text").join(e, "qid", "left")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks."""
+    return vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding", F.col("label").alias("q_label"))
+
+
+SQL_TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+TEXT_TOKENS = SQL_TOKENS.format("text")
+SQL_DOCS = """docs AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS id, d.doc_id, d.text, d.source,
+         list_concat(list_concat([d.lang], CASE WHEN l.quality = 1 THEN ['quality'] ELSE [] END),
+                     CASE WHEN l.toxic = 1 THEN ['toxic'] ELSE [] END) AS tags,
+         CAST(DATE '2024-01-01' + CAST(d.doc_id % 365 AS INTEGER) AS DATE) AS updated_at,
+         CAST(e.embedding AS DOUBLE[]) AS embedding
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id
+)"""
+
+
+def sql_bm25(k1: str = "1.2e0", b: str = "0.75e0", where: str = "true") -> str:
+    return f"""{SQL_DOCS}, found_in AS (SELECT * FROM docs WHERE {where}),
+postings AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TEXT_TOKENS}) AS term FROM found_in) GROUP BY ALL),
+dl AS (SELECT id, sum(tf) AS dl FROM postings GROUP BY id),
+stats AS (SELECT count(*) AS n, sum(dl) AS total_len, avg(dl) AS avgdl FROM dl),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+qterms AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({TEXT_TOKENS}) AS term FROM benchmark)),
+scores AS (
+  SELECT qid, p.id, sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0) * (tf * ({k1} + 1e0) / (tf + {k1} * ((1e0 - {b}) + {b} * dl / avgdl)))) AS score
+  FROM qterms q JOIN postings p ON p.term = q.term JOIN dfs f ON f.term = q.term JOIN dl ON dl.id = p.id, stats GROUP BY ALL
+), bm AS (
+  SELECT qid, id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank
+  FROM scores WHERE score > 0
+)"""
+
+
+# --- keywords -------------------------------------------------------------
+
+
+@query("tokenize_terms", f"SELECT doc_id, array_to_string({TEXT_TOKENS}, ' ') AS terms, CAST(len({TEXT_TOKENS}) AS BIGINT) AS n_terms FROM documents")
+def tokenize_terms(spark, sf_dir):
+    t = tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(t, " ").alias("terms"), F.size(t).cast("long").alias("n_terms"))
+
+
+@query("term_freq", f"SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({TEXT_TOKENS}) AS term FROM documents) GROUP BY ALL")
+def term_freq(spark, sf_dir):
+    return bm25.term_freq(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("doc_freq", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TEXT_TOKENS}) AS term FROM documents) GROUP BY term")
+def doc_freq(spark, sf_dir):
+    return bm25.doc_freq(bm25.term_freq(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query("corpus_stats", f"SELECT count(*) AS n, CAST(sum(dl) AS BIGINT) AS total_len, round(avg(dl), 6) AS avgdl FROM (SELECT len({TEXT_TOKENS}) AS dl FROM documents) WHERE dl > 0")
+def corpus_stats(spark, sf_dir):
+    s = bm25.corpus_stats(bm25.doc_len(table(spark, sf_dir, "documents"), "doc_id"))
+    return s.select("n", "total_len", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query("bm25_scores", f"WITH {sql_bm25()} SELECT qid, id, round(score, 6) AS score FROM scores")
+def bm25_scores(spark, sf_dir):
+    s = bm25.TextIndex.build(docs(spark, sf_dir)).scores(questions(spark, sf_dir))
+    return s.select("qid", "id", F.round("score", 6).alias("score"))
+
+
+def _topk(spark, sf_dir, where=None, k1=bm25.K1, b=bm25.B):
+    d = docs(spark, sf_dir)
+    found = bm25.TextIndex.build(d if where is None else d.where(where)).top_k(questions(spark, sf_dir), 10, k1, b)
+    return found.select("qid", "id", F.round(F.round("score", 9), 6).alias("score"), F.col("rank").cast("long"))
+
+
+@query("bm25_topk", f"WITH {sql_bm25()} SELECT qid, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return _topk(spark, sf_dir)
+
+
+@query("bm25_custom_k1b", f"WITH {sql_bm25('1.6e0', '0.5e0')} SELECT qid, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+def bm25_custom_k1b(spark, sf_dir):
+    return _topk(spark, sf_dir, k1=1.6, b=0.5)
+
+
+@query("bm25_after_delete", f"WITH {sql_bm25(where="source <> 'src0'")} SELECT qid, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+def bm25_after_delete(spark, sf_dir):
+    """All of one source deleted: statistics are those of the rest."""
+    return _topk(spark, sf_dir, where="source <> 'src0'")
+
+
+# --- vectors --------------------------------------------------------------
+
+
+@query("vector_normalize", """
+SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6)) AS unit
+FROM embeddings""")
+def vector_normalize(spark, sf_dir):
+    unit = F.transform(normalize(F.col("embedding")), lambda x: F.round(x, 6))
+    return table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("unit"))
+
+
+@query("cosine_pairs", """
+SELECT vec_id, round(list_cosine_distance(a, b), 6) AS distance, round(list_cosine_similarity(a, b), 6) AS similarity, round(list_dot_product(a, b), 6) AS product
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CAST(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS DOUBLE[]) AS b FROM embeddings) WHERE b IS NOT NULL""")
+def cosine_pairs(spark, sf_dir):
+    """Each vector with the next of its label."""
+    nxt = F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
+    p = table(spark, sf_dir, "embeddings").withColumn("b", nxt).where("b IS NOT NULL")
+    a, b = F.col("embedding"), F.col("b")
+    return p.select("vec_id", F.round(cosine_distance(a, b), 6).alias("distance"), F.round(cosine_similarity(a, b), 6).alias("similarity"), F.round(dot(a, b), 6).alias("product"))
+
+
+def sql_knn(k: int, where: str = "true", extra: str = "") -> str:
+    return f"""vq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q, label AS q_label FROM embeddings WHERE vec_id % 100 = 0),
+near AS (SELECT qid, q_label, vec_id AS id, label, round(list_cosine_distance(q, CAST(embedding AS DOUBLE[])), 9) AS distance FROM vq, embeddings WHERE {where}),
+knn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM near {extra} QUALIFY rank <= {k})"""
+
+
+@query("knn_exact_batch", f"WITH {sql_knn(10)} SELECT qid, id, round(distance, 6) AS distance, rank FROM knn")
+def knn_exact_batch(spark, sf_dir):
+    found = exact_knn(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10)
+    return found.select("qid", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
+
+
+@query("knn_prefiltered", f"WITH {sql_knn(10, 'label < 5')} SELECT qid, id, round(distance, 6) AS distance, rank FROM knn")
+def knn_prefiltered(spark, sf_dir):
+    found = exact_knn(vectors(spark, sf_dir).where("label < 5"), vector_queries(spark, sf_dir), 10)
+    return found.select("qid", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
+
+
+@query("knn_label_agreement", f"WITH {sql_knn(10)} SELECT qid, count(*) FILTER (WHERE label = q_label) AS same, count(*) AS found FROM knn GROUP BY qid")
+def knn_label_agreement(spark, sf_dir):
+    q = vector_queries(spark, sf_dir)
+    found = exact_knn(vectors(spark, sf_dir), q, 10)
+    both = found.join(vectors(spark, sf_dir).select("id", "label"), "id").join(q.select("qid", "q_label"), "qid")
+    return both.groupBy("qid").agg(F.count(F.when(F.col("label") == F.col("q_label"), 1)).alias("same"), F.count("*").alias("found"))
+
+
+@query("knn_ivf_recall")
+def knn_ivf_recall(spark, sf_dir):
+    """Recall of the inverted file at 10, by the share of cells probed."""
+    v, q = vectors(spark, sf_dir), vector_queries(spark, sf_dir)
+    index = IvfIndex.build(v)
+    truth, out, n = exact_knn(v, q, 10), None, len(index.centroids)
+    for share in (0.25, 0.55, 1.0):
+        row = recall_at_k(index.search(q, 10, max(1, round(n * share))), truth, 10).withColumn("share", F.lit(share))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("recall_at_k", f"""
+WITH {sql_knn(10)}, half AS (
+  SELECT qid, vec_id AS id, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_distance(list_slice(q, 1, 32), list_slice(CAST(embedding AS DOUBLE[]), 1, 32)), 9), vec_id) AS rank
+  FROM vq, embeddings
+), each AS (
+  SELECT k.qid, count(h.id) AS h, count(*) AS n FROM knn k LEFT JOIN (SELECT * FROM half WHERE rank <= 10) h ON h.qid = k.qid AND h.id = k.id GROUP BY k.qid
+)
+SELECT count(*) AS n_queries, round(avg(h / least(n, 10)), 6) AS recall FROM each""")
+def recall_by_half(spark, sf_dir):
+    """How many true neighbours half of each vector finds."""
+    v, q = vectors(spark, sf_dir), vector_queries(spark, sf_dir)
+    short = F.slice("embedding", 1, 32)
+    found = exact_knn(v.withColumn("embedding", short), q.withColumn("embedding", short), 10)
+    r = recall_at_k(found, exact_knn(v, q, 10), 10)
+    return r.select("n_queries", F.round("recall", 6).alias("recall"))
+
+
+@query("vector_norms", "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS size, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings")
+def vector_norms(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("size"), F.size("embedding").cast("long").alias("dim"))
+
+
+# --- hybrid ---------------------------------------------------------------
+
+
+def sql_hybrid(alpha: float, mode: str, k: int = 5, where: str = "true", text: bool = True, pre: str = "true") -> str:
+    worth = {"vector_only": "-distance", "bm25_only": "score", "hybrid": "hybrid"}[mode]
+    vec = "SELECT * FROM vec WHERE rank <= 100" if mode != "bm25_only" else "SELECT * FROM vec WHERE false"
+    bm = "SELECT * FROM bm WHERE rank <= 100" if mode != "vector_only" and text else "SELECT * FROM bm WHERE false"
+    return f"""WITH {sql_bm25(where=pre)}, vec AS (
+  SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank
+  FROM (SELECT b.item_id AS qid, d.id, round(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), d.embedding), 9) AS distance
+        FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id, found_in d WHERE d.embedding IS NOT NULL)
+), j AS (
+  SELECT coalesce(v.qid, b.qid) AS qid, coalesce(v.id, b.id) AS id, v.distance, b.score
+  FROM ({vec}) v FULL JOIN ({bm}) b ON v.qid = b.qid AND v.id = b.id
+), s AS (
+  SELECT *, min(distance) OVER w AS dmin, greatest(0e0, max(distance) OVER w) AS dmax, greatest(0e0, max(score) OVER w) AS smax FROM j WINDOW w AS (PARTITION BY qid)
+), h AS (
+  SELECT *, {alpha!r}::DOUBLE * CASE WHEN distance IS NULL THEN 0e0 WHEN dmax > dmin THEN 1e0 - (distance - dmin) / (dmax - dmin) ELSE 1e0 - distance END
+    + (1e0 - {alpha!r}::DOUBLE) * CASE WHEN score IS NULL OR smax <= 0 THEN 0e0 ELSE score / smax END AS hybrid FROM s
+), r AS (
+  SELECT h.*, d.source, array_to_string(d.tags, ',') AS tags, row_number() OVER (PARTITION BY qid ORDER BY round({worth}, 9) DESC, h.id) AS rank
+  FROM h JOIN docs d ON d.id = h.id WHERE {where}
+)
+SELECT qid, rank, id, '{mode}' AS type, round(distance, 6) AS distance, round(score, 6) AS bm25_score,
+       round({'hybrid' if mode == 'hybrid' else 'NULL::DOUBLE'}, 6) AS hybrid_score, source, tags
+FROM r WHERE rank <= {k}"""
+
+
+def _hybrid(spark, sf_dir, text: bool = True, **options) -> DataFrame:
+    q = questions(spark, sf_dir)
+    q = q if text else q.withColumn("text", F.lit(None).cast("string"))
+    h = hybrid.search(docs(spark, sf_dir, vectors=True), q, **options)
+    return h.select("qid", F.col("rank").cast("long"), "id", "type", *[F.round(c, 6).alias(c) for c in ("distance", "bm25_score", "hybrid_score")], "source", F.array_join("tags", ",").alias("tags"))
+
+
+@query("hybrid_search", sql_hybrid(0.7, "hybrid"))
+def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir)
+
+
+@query("hybrid_vector_only", sql_hybrid(1.0, "vector_only"))
+def hybrid_vector_only(spark, sf_dir):
+    return _hybrid(spark, sf_dir, alpha=1.0)
+
+
+@query("hybrid_bm25_only", sql_hybrid(0.0, "bm25_only"))
+def hybrid_bm25_only(spark, sf_dir):
+    return _hybrid(spark, sf_dir, alpha=0.0)
+
+
+@query("hybrid_embedding_only", sql_hybrid(0.7, "hybrid", text=False))
+def hybrid_embedding_only(spark, sf_dir):
+    """Vectors alone, in hybrid mode."""
+    return _hybrid(spark, sf_dir, text=False)
+
+
+FILTER = SearchFilter(mode="any", tags=("fr", "de"))
+
+
+@query("hybrid_filtered", sql_hybrid(0.7, "hybrid", where="list_has_any(d.tags, ['de', 'fr'])"))
+def hybrid_filtered(spark, sf_dir):
+    """The filter applies after the branches' cut, so there may be fewer hits."""
+    return _hybrid(spark, sf_dir, filter=FILTER)
+
+
+@query("hybrid_prefiltered", sql_hybrid(0.7, "hybrid", pre="list_has_any(tags, ['de', 'fr'])"))
+def hybrid_prefiltered(spark, sf_dir):
+    return _hybrid(spark, sf_dir, filter=FILTER, prefilter=True)
+
+
+def _sweep_sql() -> str:
+    parts = [f"SELECT {a!r}::DOUBLE AS alpha, qid, rank, id, hybrid_score FROM ({sql_hybrid(a, 'hybrid')})" for a in (0.25, 0.5, 0.75)]
+    return " UNION ALL ".join(parts)
+
+
+@query("hybrid_alpha_sweep", _sweep_sql())
+def hybrid_alpha_sweep(spark, sf_dir):
+    out = None
+    for a in (0.25, 0.5, 0.75):
+        part = _hybrid(spark, sf_dir, alpha=a).select(F.lit(a).alias("alpha"), "qid", "rank", "id", "hybrid_score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- filters --------------------------------------------------------------
+
+
+def _filtered(spark, sf_dir, f: SearchFilter) -> DataFrame:
+    return docs(spark, sf_dir).where(f.column()).select("id", "source", "updated_at")
+
+
+def _filter_query(name: str, f: SearchFilter, where: str) -> None:
+    query(name, f"WITH {SQL_DOCS} SELECT id, source, updated_at FROM docs WHERE {where}")(lambda spark, sf_dir: _filtered(spark, sf_dir, f))
+
+
+def _day(s: str):
+    import datetime
+
+    return datetime.date.fromisoformat(s)
+
+
+_filter_query("filter_source", SearchFilter(source="src3"), "source = 'src3'")
+_filter_query("filter_tags_any", SearchFilter(mode="any", tags=(" FR ", "toxic")), "list_has_any(tags, ['fr', 'toxic'])")
+_filter_query("filter_tags_all", SearchFilter(mode="all", tags=("en", "quality")), "list_has_all(tags, ['en', 'quality'])")
+_filter_query("filter_date_range", SearchFilter(updated_at_gte=_day("2024-03-01"), updated_at_lte=_day("2024-06-30")), "updated_at BETWEEN DATE '2024-03-01' AND DATE '2024-06-30'")
+_filter_query("filter_combined", SearchFilter("src5", "any", ("en",), _day("2024-02-01"), _day("2024-11-30")), "source = 'src5' AND list_has_any(tags, ['en']) AND updated_at BETWEEN DATE '2024-02-01' AND DATE '2024-11-30'")
+
+
+# --- scalar functions -----------------------------------------------------
+
+TRIMMED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query("build_text", rf"""
+SELECT doc_id, nullif(concat_ws(chr(10) || chr(10), nullif({TRIMMED.format('source')}, ''), nullif({TRIMMED.format('text')}, '')), '') AS built FROM documents""")
+def build_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", build_text(F.col("source"), F.col("text")).alias("built"))
+
+
+SQL_HASH = r"sha256({title} || chr(0) || regexp_replace({body}, '^\s+|\s+$', '', 'g') || chr(0) || chr(0) || array_to_string(list_sort({tags}), ',') || chr(0) || strftime({day}, '%Y-%m-%d'))"
+
+
+@query("content_hash", f"WITH {SQL_DOCS} SELECT id, {SQL_HASH.format(title='source', body='text', tags='tags', day='updated_at')} AS content_hash FROM docs")
+def content_hashes(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.select("id", content_hash(F.col("source"), F.col("text"), F.lit(None).cast("string"), F.col("tags"), F.col("updated_at")).alias("content_hash"))
+
+
+@query("tag_normalize", "SELECT doc_id, lower(lang) || ',' || lower(source) AS tags, 2 AS n FROM documents")
+def tag_normalize(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    messy = F.concat(F.lit(" "), F.upper("lang"), F.lit(" , ,\t"), F.upper("source"), F.lit(","))
+    parsed = parse_tags(messy)
+    same = normal_tags(F.array(F.concat(F.lit("  "), F.upper("lang")), F.concat(F.upper("source"), F.lit("\n"))))
+    return d.select("doc_id", F.array_join(F.when(parsed == same, parsed), ",").alias("tags"), F.size(parsed).alias("n"))
+
+
+@query("text_preview", r"""
+SELECT doc_id, CASE WHEN strlen(text) <= 100 THEN text
+  ELSE regexp_replace(left(text, list_max(list_filter(range(1, 101), lambda i: strlen(left(text, i)) <= 100))), ' [^ ]*\z', '') || '...' END AS preview
+FROM documents""")
+def text_preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", preview(F.col("text")).alias("preview"))
+
+
+# --- chunks ---------------------------------------------------------------
+
+CHUNKS_OUT = ("parent_id", "chunk_index", "text", "start_offset", "end_offset")
+
+
+@query("chunk_noop", "SELECT doc_id AS parent_id, 0::BIGINT AS chunk_index, text, 0::BIGINT AS start_offset, strlen(text) AS end_offset FROM documents WHERE text <> ''")
+def chunk_noop(spark, sf_dir):
+    return chunking.chunk_frame(table(spark, sf_dir, "documents"), chunking.noop_chunks, id_col="doc_id")
+
+
+def sql_fixed(size: int, overlap: int) -> str:
+    look = size // 4
+    stop = rf"""CASE WHEN s + {size} >= n THEN n
+      WHEN regexp_matches(substr(text, s + {size - look + 1}, {look + 1}), '\s')
+      THEN s + {size} + 1 - length(regexp_extract(substr(text, s + {size - look + 1}, {look + 1}), '\s(\S*)$', 1)) ELSE s + {size} END"""
+    step = f"CASE WHEN e - s > {overlap} THEN e - {overlap} ELSE s + greatest(e - s, 1) END"
+    return rf"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents), c AS (
+  SELECT doc_id, text, n, s, {stop} AS e FROM (SELECT doc_id, text, n, 0::BIGINT AS s FROM t WHERE n > {size})
+  UNION ALL
+  SELECT doc_id, text, n, s, {stop} AS e FROM (SELECT doc_id, text, n, {step} AS s FROM c) WHERE s < n
+), p AS (SELECT doc_id, s, text, substr(text, s + 1, e - s) AS piece FROM c
+), k AS (SELECT *, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS kept, length(regexp_extract(piece, '^\s*')) AS lead FROM p)
+SELECT doc_id AS parent_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, kept AS text,
+       strlen(left(text, s + lead)) AS start_offset, strlen(left(text, s + lead)) + strlen(kept) AS end_offset
+FROM k WHERE kept <> ''
+UNION ALL
+SELECT doc_id, 0, text, 0, strlen(text) FROM t WHERE n BETWEEN 1 AND {size}"""
+
+
+@query("chunk_fixed", sql_fixed(512, 50))
+def chunk_fixed(spark, sf_dir):
+    return chunking.chunk_frame(table(spark, sf_dir, "documents"), chunking.fixed_chunks, id_col="doc_id")
+
+
+@query("chunk_fixed_small_overlap", sql_fixed(200, 10))
+def chunk_fixed_small_overlap(spark, sf_dir):
+    return chunking.chunk_frame(table(spark, sf_dir, "documents"), lambda t: chunking.fixed_chunks(t, 200, 10), id_col="doc_id")
+
+
+@query("chunk_sentences")
+def chunk_sentences(spark, sf_dir):
+    return chunking.sentence_frame(table(spark, sf_dir, "documents"), id_col="doc_id")
+
+
+@query("chunk_semantic")
+def chunk_semantic(spark, sf_dir):
+    embed = HashingEmbedder()
+    return chunking.chunk_frame(table(spark, sf_dir, "documents"), lambda t: chunking.semantic_chunks(t, embed), id_col="doc_id")
+
+
+@query("chunk_parent_best", """
+WITH c AS (SELECT qid, id, label AS parent, distance FROM (
+  SELECT q.vec_id AS qid, v.vec_id AS id, v.label, round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS distance
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, id) <= 100)
+SELECT qid, parent, round(min(distance), 6) AS distance, arg_min(id, (distance, id)) AS chunk_index FROM c GROUP BY qid, parent""")
+def chunk_parent_best(spark, sf_dir):
+    """Vectors as chunks of their label: the best chunk of each parent."""
+    v = vectors(spark, sf_dir)
+    near = exact_knn(v, vector_queries(spark, sf_dir), 100).join(v.select("id", "label"), "id")
+    best = hybrid.best_chunks(near.select("qid", F.col("label").alias("id"), F.col("id").alias("chunk_index"), "distance"))
+    return best.select("qid", F.col("id").alias("parent"), F.round("distance", 6).alias("distance"), "chunk_index")
+
+
+@query("embed_documents")
+def embed_documents(spark, sf_dir):
+    d = embed_frame(table(spark, sf_dir, "documents").select("doc_id", "text"), HashingEmbedder(), text_col="text")
+    return d.select("doc_id", "embedding", "error")
+
+
+# --- ingestion ------------------------------------------------------------
+
+
+def batch(spark, sf_dir) -> DataFrame:
+    """Documents as a batch: some ids are blank, some dates are none."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 7 == 0, F.lit(" \t")).otherwise(F.concat(F.lit(" "), (F.col("doc_id") - F.col("doc_id") % 2).cast("string"))).alias("id"),
+        F.lit(None).cast("string").alias("title"), F.col("text").alias("body"), "source",
+        F.when(F.col("doc_id") % 11 == 0, F.lit("2024-13-01")).otherwise(F.lit("2024-05-06")).alias("updated_at"), F.array(F.upper("lang")).alias("tags"), F.lit("  ").alias("text"),
+    )
+
+
+@query("batch_validate", """
+SELECT doc_id AS ord, CASE WHEN doc_id % 7 = 0 THEN '[index ' || doc_id || ']' ELSE CAST(doc_id - doc_id % 2 AS VARCHAR) END AS id,
+       CASE WHEN doc_id % 7 = 0 THEN 'id is required' WHEN doc_id % 11 = 0 THEN 'updated_at is not a date' ELSE '' END AS error
+FROM documents""")
+def batch_validate(spark, sf_dir):
+    good, errors = ingest.prepare_batch(batch(spark, sf_dir))
+    return good.select("ord", "id", F.lit("").alias("error")).unionByName(errors)
+
+
+@query("pending_last_wins", rf"""
+SELECT CAST(doc_id - doc_id % 2 AS VARCHAR) AS id, source, lower(lang) AS tag,
+  sha256(chr(0) || {TRIMMED.format('text')} || chr(0) || chr(0) || lower(lang) || chr(0) || '2024-05-06') AS content_hash
+FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY doc_id - doc_id % 2 ORDER BY doc_id DESC) = 1""")
+def pending_last_wins(spark, sf_dir):
+    good, _ = ingest.prepare_batch(batch(spark, sf_dir))
+    return ingest.last_wins(good).select("id", "record.source", F.element_at("record.tags", 1).alias("tag"), "content_hash")
+
+
+def sync_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(pending, live): a third of the documents changed, a third new, and a
+    third unchanged, some of which aren't indexed yet."""
+    d = docs(spark, sf_dir).withColumn("n", F.col("id").cast("long"))
+    hashed = content_hash(F.lit(None).cast("string"), F.col("text"), F.lit(None).cast("string"), F.col("tags"), F.col("updated_at"))
+    live = d.where("n % 3 <> 1").select("id", "title", F.col("text").alias("body"), "source", "updated_at", "tags", F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.lit(False).alias("deleted"), hashed.alias("content_hash"), (F.col("n") % 5 != 0).alias("indexed"), F.lit(None).cast("string").alias("embed_text"), F.col("n").alias("index_id"))
+    body = F.when(F.col("n") % 3 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    new = d.withColumn("text", F.when(F.col("n") % 9 == 1, F.lit(" ")).otherwise(body))
+    pending = new.select("id", F.struct("id", "title", F.col("text").alias("body"), "source", "updated_at", "tags").alias("record"), hashed.alias("content_hash"), F.lit(None).cast("string").alias("embed_text"))
+    return pending, live
+
+
+SQL_ACTION = "CASE WHEN doc_id % 3 = 2 THEN CASE WHEN doc_id % 5 <> 0 THEN 'clear' ELSE 'reindex' END WHEN doc_id % 9 = 1 OR regexp_matches(text, '^\\s*$') THEN 'no_text' ELSE 'embed' END"
+
+
+@query("sync_classify", f"SELECT CAST(doc_id AS VARCHAR) AS id, {SQL_ACTION} AS action FROM documents")
+def sync_classify(spark, sf_dir):
+    pending, live = sync_tables(spark, sf_dir)
+    return ingest.classify(pending, live).select("id", "action")
+
+
+@query("sync_progress", f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE a IN ('embed', 'no_text')) AS indexed, count(*) FILTER (WHERE a IN ('clear', 'reindex')) AS skipped, 0::BIGINT AS failed
+FROM (SELECT {SQL_ACTION} AS a FROM documents)""")
+def sync_progress(spark, sf_dir):
+    pending, live = sync_tables(spark, sf_dir)
+    outcome, _ = ingest.sync(pending, live, HashingEmbedder(8))
+    return ingest.progress(outcome)
+
+
+# --- log and tombstones ---------------------------------------------------
+
+
+def ops(spark, sf_dir) -> DataFrame:
+    """Events as a log of writes and deletes; purchases, which append, aren't
+    part of it."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'purchase'")
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("write").alias("op"), F.col("user_id").cast("string").alias("id"), "value", "props")
+
+
+SQL_FOLD = """folded AS (
+  SELECT CAST(user_id AS VARCHAR) AS id, arg_max(value, event_id) FILTER (WHERE event_type <> 'error') AS value,
+         max(event_id) FILTER (WHERE event_type <> 'error') AS w, coalesce(max(event_id) FILTER (WHERE event_type = 'error'), -1) AS d
+  FROM events WHERE event_type <> 'purchase' GROUP BY user_id
+), state AS (SELECT id, value, d > w AS deleted FROM folded WHERE w IS NOT NULL)"""
+
+
+@query("oplog_fold", f"WITH {SQL_FOLD} SELECT id, value, deleted FROM state")
+def oplog_fold(spark, sf_dir):
+    return last_state(ops(spark, sf_dir)).select("id", "value", "deleted")
+
+
+@query("tombstone_stats", f"WITH {SQL_FOLD} SELECT count(*) AS total, count(*) FILTER (WHERE deleted) AS tombstones, round(count(*) FILTER (WHERE deleted) / count(*), 6) AS ratio FROM state")
+def tombstone_stats(spark, sf_dir):
+    s = compaction.tombstone_stats(last_state(ops(spark, sf_dir)))
+    return s.select("total", "tombstones", F.round("ratio", 6).alias("ratio"))
+
+
+@query("compact_live", f"WITH {SQL_FOLD} SELECT id, value FROM state WHERE NOT deleted")
+def compact_live(spark, sf_dir):
+    return compaction.compact(last_state(ops(spark, sf_dir))).select("id", "value")
