@@ -115,7 +115,7 @@ class SearchEngine:
     def _log_sync(self, records: DataFrame, new: DataFrame) -> int:
         old = records.where(~F.col("deleted")).join(new.select("id"), "id", "left_semi").select("id")
         gone = old.select(F.lit("delete").alias("op"), F.lit(None).cast("string").alias("kind"), "id", F.lit(None).cast(STORED).alias("record"), F.lit(0).alias("o"))
-        rows = new.select(F.lit("write").alias("op"), F.lit("append").alias("kind"), "id", F.struct(*[F.col(f.name).cast(f.dataType) for f in STORED.fields]).alias("record"), F.lit(1).alias("o"))
+        rows = new.select(F.lit("write").alias("op"), F.lit("append").alias("kind"), "id", F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STORED.fields]).alias("record"), F.lit(1).alias("o"))
         both = gone.unionByName(rows)
         # only the order within an id counts: deletes come before writes
         return self.log.append(both.withColumn("seq", F.col("o").cast("long")), self.records_table.applied)
