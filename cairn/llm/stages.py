@@ -33,14 +33,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines found in ten documents or more, but for the first occurrence;
     documents that had words and lose them all go. ``n_chars`` follows."""
     _arrow(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    had = F.length(F.translate(F.coalesce(F.col("text"), F.lit("")), " \t\n\x0b\f\r", "")) > 0
-    kept = line_dedup.drop_repeated_lines(docs.withColumn("__had", had), keep_first=True, carry=(*others, "__had"))
-    has = F.length(F.translate("kept", " \t\n\x0b\f\r", "")) > 0
-    out = kept.where(has | ~F.col("__had")).withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    # the other columns travel under names of our own, whatever theirs are
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    blank = lambda c: F.length(F.translate(F.coalesce(F.col(c), F.lit("")), " \t\n\x0b\f\r", "")) == 0
+    base = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)], blank("text").alias("__blank"))
+    carry = (*(f"__c{i}" for i in range(len(others))), "__blank")
+    kept = line_dedup.drop_repeated_lines(base, keep_first=True, carry=carry).where(~blank("kept") | F.col("__blank"))
+    back = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept")} | {c: F.col(f"__c{i}") for i, c in enumerate(others)}
+    if "n_chars" in back:
+        back["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
