@@ -20,7 +20,6 @@ empty result.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,75 +36,86 @@ MAX_NGRAM = 4
 MODEL_WORDS = 20_000
 MODEL_NGRAMS = 10_000
 MAX_LANGS = 200
-#: Texts' words beyond this length are cut to pieces of it.
-WORD_CHARS = 40
-FLUSH_WORDS = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Parts that a group of terms is ranked in first.
+SALTS = 64
+#: What is no letter; in RE2's terms, as Arrow runs it.
+NO_LETTERS = r"[^\pL]+"
 
 
-def words_of(token: str) -> list[str]:
-    """Runs of letters of a lower-cased token, long ones cut."""
-    found = LETTERS.findall(token)
-    if any(len(w) > WORD_CHARS for w in found):
-        found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
-    return found
-
-
-def ngrams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Lower-cased runs of letters: coded_words() of texts without the rest."""
+    return coded_words(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), NO_LETTERS, " "))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
-    for batch in sized(batches, 1):
-        langs = batch.column(0).to_pylist()
-        offsets, codes, tokens = coded_words(pc.utf8_lower(pc.fill_null(batch.column(1), "")))
-        kinds = sorted(set(langs))
-        of = np.repeat(np.array([kinds.index(x) for x in langs], np.int64), np.diff(offsets))
-        table = np.bincount(of * len(tokens) + codes, minlength=len(kinds) * len(tokens)).reshape(len(kinds), -1) if len(codes) else np.zeros((len(kinds), 0), np.int64)
-        split = [words_of(t) for t in tokens]
-        for lang, row in zip(kinds, table):
-            counter = held.setdefault(lang, Counter())
-            for j in np.flatnonzero(row).tolist():
-                n = int(row[j])
-                for w in split[j]:
-                    counter[w] += n
-        if sum(map(len, held.values())) > FLUSH_WORDS:
-            yield from _counts(held)
-            held = {}
-    yield from _counts(held)
-
-
-def _counts(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for lang, c in held.items():
-        if c:
-            yield pa.record_batch([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "term", "n"])
+    """Counts of each batch's words by language; the shuffle's map side sums them."""
+    for batch in sized(batches, 1, 16 << 20):
+        kinds, of = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+        offsets, codes, words = letter_words(batch.column(1))
+        if not len(codes):
+            continue
+        at = np.repeat(of, np.diff(offsets)) * len(words) + codes
+        n = np.bincount(at, minlength=len(kinds) * len(words))
+        n.reshape(len(kinds), -1)[:, [i for i, w in enumerate(words) if not w]] = 0
+        hit = np.flatnonzero(n)
+        terms = pa.array(words, pa.string()).take(pa.array(hit % len(words)))
+        yield pa.record_batch([pa.array(kinds.tolist()).take(pa.array(hit // len(words))), terms, pa.array(n[hit].astype(np.int64))], ["lang", "term", "n"])
+
+
+def _padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all words, each with a space at its ends, and the word of
+    each character."""
+    chars = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32)
+    return chars, np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
-    for batch in batches:
-        for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            c = held.get(lang)
-            if c is None:
-                c = held[lang] = Counter()
-            padded = f" {word} "
+    """Counts of n-grams of distinct words by language. Four characters below
+    U+10000 make one integer; words with others are counted as strings."""
+    for batch in sized(batches, 1, 1 << 20):
+        langs = batch.column(0).to_pylist()
+        words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+        found: Counter = Counter()
+        wide = {i for i, w in enumerate(words) if not w.isascii() and max(w) > "\uffff"}
+        for lang in set(langs):
+            own = [i for i, x in enumerate(langs) if x == lang and i not in wide]
+            chars, word = _padded([words[i] for i in own])
+            c, weight = chars.astype(np.uint64), n[own]
             for k in range(1, MAX_NGRAM + 1):
-                for i in range(len(padded) - k + 1):
-                    c[padded[i : i + k]] += n
-        if sum(map(len, held.values())) > FLUSH_WORDS:
-            yield from _counts(held)
-            held = {}
-    yield from _counts(held)
+                if len(c) < k:
+                    break
+                keys = np.zeros(len(c) - k + 1, np.uint64)
+                for j in range(k):
+                    keys = (keys << np.uint64(16)) | c[j : len(c) - k + 1 + j]
+                inside = word[: len(word) - k + 1] == word[k - 1 :]
+                grams, back = np.unique(keys[inside], return_inverse=True)
+                sums = np.bincount(back, weights=weight[word[: len(word) - k + 1][inside]])
+                text = b"".join(int(g).to_bytes(2 * k, "big") for g in grams.tolist()).decode("utf-16-be", "surrogatepass")
+                for i, total in enumerate(sums.astype(np.int64).tolist()):
+                    found[lang, text[i * k : i * k + k]] += total
+        for i in wide:
+            for k in range(1, MAX_NGRAM + 1):
+                for g in ngrams(words[i], k):
+                    found[langs[i], g] += int(n[i])
+        keys = list(found)
+        yield pa.record_batch([pa.array([x for x, _ in keys], pa.string()), pa.array([g for _, g in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "term", "n"])
+
+
+def ngrams(word: str, n: int) -> list[str]:
+    padded = f" {word} "
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
 def _top(counts: DataFrame, by: list[str], most: int) -> DataFrame:
-    """The most frequent terms of each group with the group's total."""
-    rank = Window.partitionBy(*by).orderBy(F.col("n").desc(), "term")
+    """The most frequent terms of each group with the group's total. A group is
+    cut in SALTS parts first, so that no task ranks all of its terms."""
+    salt = F.pmod(F.xxhash64("term"), F.lit(SALTS))
+    order = (F.col("n").desc(), "term")
+    some = counts.withColumn("__s", salt).withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__s").orderBy(*order))).where(F.col("__r") <= most)
+    best = some.drop("__s").withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= most)
     totals = F.broadcast(counts.groupBy(*by).agg(F.sum("n").alias("total")))
-    return counts.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= most).drop("__r").join(totals, by)
+    return best.drop("__r").join(totals, by)
 
 
 class Model:
@@ -114,30 +124,35 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], logs: np.ndarray):
         self.langs, self.words, self.grams, self.logs = langs, words, grams, logs
-        self.cache: dict[str, np.ndarray | None] = {}
-
-    def word(self, w: str) -> np.ndarray | None:
-        """The word's score in each language; None if nothing is known of it."""
-        got = self.words.get(w)
-        if got is not None:
-            return self.logs[got]
-        padded, find = f" {w} ", self.grams.get
+
+    def facts(self, words: list[str]) -> np.ndarray:
+        """Each word's score in each language, and at the end 1, or 0 where
+        nothing is known of the word."""
+        out = np.zeros((len(words), len(self.langs) + 1))
+        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        known = np.flatnonzero(at >= 0)
+        out[known, :-1] = self.logs[at[known]]
+        out[known, -1] = 1.0
+        rest = [i for i in np.flatnonzero(at < 0).tolist() if words[i]]
+        find = self.grams.get
         for n in range(MAX_NGRAM, 0, -1):
-            known = [g for i in range(len(padded) - n + 1) if (g := find(padded[i : i + n])) is not None]
-            if known:
-                return self.logs[known].sum(axis=0) / len(known)
-        return None
-
-    def token(self, t: str) -> np.ndarray:
-        """Summed scores of the token's words, and at the end their number."""
-        got = self.cache.get(t)
-        if got is None:
-            scores = [s for s in map(self.word, words_of(t)) if s is not None]
-            got = np.append(sum(scores) if scores else np.zeros(len(self.langs)), len(scores)).astype(np.float64)
-            if len(self.cache) >= 200_000:
-                self.cache.clear()
-            self.cache[t] = got
-        return got
+            flat: list[int] = []
+            starts, hit, left = [], [], []
+            for i in rest:
+                p = f" {words[i]} "
+                found = [g for k in range(len(p) - n + 1) if (g := find(p[k : k + n])) is not None]
+                if found:
+                    starts.append(len(flat))
+                    hit.append(i)
+                    flat += found
+                else:
+                    left.append(i)
+            if hit:
+                sizes = np.diff(np.append(starts, len(flat)))[:, None]
+                out[hit, :-1] = np.add.reduceat(self.logs[flat], starts, axis=0) / sizes
+                out[hit, -1] = 1.0
+            rest = left
+        return out
 
     def __getstate__(self):
         return self.langs, self.words, self.grams, self.logs
@@ -191,8 +206,8 @@ def _predict(shared):
         model = shared.value
         langs = model.langs
         for batch in sized(batches, 1):
-            offsets, codes, tokens = coded_words(pc.utf8_lower(pc.fill_null(batch.column(1), "")))
-            facts = np.array([model.token(t) for t in tokens]).reshape(len(tokens), len(langs) + 1)
+            offsets, codes, words = letter_words(batch.column(1))
+            facts = model.facts(words)
             step = 200_000 // (len(langs) + 1) + 1
             totals = np.zeros((batch.num_rows, len(langs) + 1))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
