@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +20,12 @@ QUERY_BLOCK = 4096
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    m = np.stack([np.asarray(x, np.float64) for x in column.to_pylist()])
+    """Vectors of one dimension as unit rows."""
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _nearest(shared, k: int, keys: str):
+def _nearest(shared, k: int):
     """Each batch's k nearest of each query: matrix products, then a partial
     sort; ties by the rounded distance and the id's order."""
 
@@ -32,16 +34,14 @@ def _nearest(shared, k: int, keys: str):
         for batch in batches:
             if not batch.num_rows or not len(qids):
                 continue
-            same = np.array([len(v) == q.shape[1] for v in batch.column(1).to_pylist()])
-            part = batch.filter(pa.array(same))
+            part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]))
             if not part.num_rows:
                 continue
             dist = np.round(1.0 - q @ _unit(part.column(1)).T, 9)
-            ids = np.asarray(part.column(0).to_pylist(), dtype=object if keys == "string" else np.int64)
             most = min(k, dist.shape[1])
             edge = np.partition(dist, most - 1, axis=1)[:, most - 1 : most]
             rows, cols = np.nonzero(dist <= edge)
-            yield pa.record_batch([pa.array(qids[rows].tolist()), pa.array(ids[cols].tolist()), pa.array(dist[rows, cols])], ["qid", "id", "distance"])
+            yield pa.record_batch([pa.array(qids[rows].tolist()), part.column(0).take(pa.array(cols)), pa.array(dist[rows, cols])], ["qid", "id", "distance"])
 
     return run
 
@@ -65,7 +65,7 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, *, query_block: in
             own = [(i, v) for i, v in held if len(v) == dim]
             q = np.array([v for _, v in own], np.float64)
             shared = spark.sparkContext.broadcast((np.array([i for i, _ in own], dtype=object), q / np.linalg.norm(q, axis=1, keepdims=True)))
-            part = live.mapInArrow(_nearest(shared, k, types["id"]), schema)
+            part = live.mapInArrow(_nearest(shared, k), schema)
             found = part if found is None else found.unionByName(part)
         return found
 

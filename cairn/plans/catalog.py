@@ -119,12 +119,16 @@ def corpus_stats(spark, sf_dir):
 
 @query("bm25_scores", f"WITH {sql_bm25()} SELECT qid, id, round(score, 6) AS score FROM scores")
 def bm25_scores(spark, sf_dir):
-    s = bm25.TextIndex.build(docs(spark, sf_dir)).scores(questions(spark, sf_dir))
+    s = bm25.TextIndex.build(texts(spark, sf_dir)).scores(questions(spark, sf_dir))
     return s.select("qid", "id", F.round("score", 6).alias("score"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source")
+
+
 def _topk(spark, sf_dir, where=None, k1=bm25.K1, b=bm25.B):
-    d = docs(spark, sf_dir)
+    d = texts(spark, sf_dir)
     found = bm25.TextIndex.build(d if where is None else d.where(where)).top_k(questions(spark, sf_dir), 10, k1, b)
     return found.select("qid", "id", F.round(F.round("score", 9), 6).alias("score"), F.col("rank").cast("long"))
 
