@@ -55,13 +55,15 @@ class Counter:
         n = len(text)
         if not n:
             return 0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, match in self.auto.iter(text):
-            ends[last + 1].append(match)
+        matches = self.auto.iter(text)
+        match = next(matches, None)
         score, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         for e in range(1, n + 1):
-            best, at, single = None, -1, False
-            for size, s in sorted(ends[e], reverse=True):  # the longest starts first
+            best, at, single, here = None, -1, False, []
+            while match is not None and match[0] == e - 1:
+                here.append(match[1])
+                match = next(matches, None)
+            for size, s in sorted(here, reverse=True):  # the longest starts first
                 single |= size == 1
                 if best is None or s + score[e - size] > best:
                     best, at = s + score[e - size], e - size
