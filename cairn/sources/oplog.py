@@ -109,7 +109,9 @@ def apply_ops(records: list[dict], ops: list[dict], compat: bool = False) -> lis
 
 def fold(records: DataFrame, ops: DataFrame, compat: bool = False) -> DataFrame:
     """The table after the log. Ids that the log doesn't name pass through
-    untouched. Each id's few rows are replayed together."""
+    untouched; of the others the ops that count are replayed together."""
+    if not compat:
+        ops = reduce_ops(ops)
     named = ops.select("id").distinct()
     rest = records.join(named, "id", "left_anti").select(*_FIELDS)
     mine = records.join(named, "id", "left_semi").select(*_FIELDS)
@@ -124,14 +126,29 @@ def fold(records: DataFrame, ops: DataFrame, compat: bool = False) -> DataFrame:
     return rest.unionByName(done)
 
 
+def reduce_ops(ops: DataFrame) -> DataFrame:
+    """The ops that can change anything, with the same replay: an append counts
+    first or after a delete only, a write until the next write, a delete until
+    the next delete. However often an id is written, few of its ops are left."""
+    by_seq = Window.partitionBy("id").orderBy("seq")
+    before = F.lag("op").over(by_seq)
+    first = F.lag("seq").over(by_seq).isNull()
+    kept = ops.withColumn("_keep", F.coalesce(F.col("kind") != "append", F.lit(True)) | first | F.coalesce(before == "delete", F.lit(False))).where("_keep").drop("_keep")
+    put = F.coalesce(F.col("kind").isin("insert", "update"), F.lit(False))
+    again = F.coalesce(F.lead(put).over(by_seq), F.lit(False)) & put
+    repeat = (F.col("op") == "delete") & F.coalesce(F.lag("op").over(by_seq) == "delete", F.lit(False))
+    return kept.withColumn("_drop", again | repeat).where(~F.col("_drop")).drop("_drop")
+
+
 def last_state(ops: DataFrame) -> DataFrame:
     """Of a log without appends: each id's last written record, with
-    ``deleted`` if a delete follows it. One shuffle, no Python."""
-    w = Window.partitionBy("id")
+    ``deleted`` if a delete follows it. Sums on the map side, so a hot id is no
+    hot task."""
+    other = [c for c in ops.columns if c not in ("seq", "op", "id")]
     written = F.when(F.col("op") == "write", F.col("seq"))
-    last = ops.withColumn("_w", F.max(written).over(w)).withColumn("_d", F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(w))
-    kept = last.where((F.col("op") == "write") & (F.col("seq") == F.col("_w")))
-    return kept.withColumn("deleted", F.coalesce(F.col("_d") > F.col("_w"), F.lit(False))).drop("_w", "_d")
+    gone = F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("_d")
+    last = ops.groupBy("id").agg(F.max_by(F.struct("seq", *other), written).alias("_r"), F.max(written).alias("_w"), gone).where(F.col("_w").isNotNull())
+    return last.select("id", "_r.*", F.coalesce(F.col("_d") > F.col("_w"), F.lit(False)).alias("deleted"))
 
 
 # --- binary form ----------------------------------------------------------

@@ -138,6 +138,20 @@ def test_fold(spark):
     assert sorted(map(tuple, last.collect())) == [("1", "b", False), ("2", "c", True)]
 
 
+def test_reduced_log_replays_alike(spark):
+    import random
+
+    r = random.Random(1)
+    log = [op(r.choice(["insert", "update", "append", "delete", "delete"]), r.choice("abcd"), str(i)) for i in range(120)]
+    base = [op("insert", i, "base")["record"] | {"deleted": i == "b", "index_id": n} for n, i in enumerate("abx")]
+    want = []
+    for i in "abcdx":
+        want += oplog.apply_ops([b for b in base if b["id"] == i], [o for o in log if o["id"] == i])
+    records = spark.createDataFrame([tuple(b[f.name] for f in STORED.fields) for b in base], STORED)
+    assert state(oplog.fold(records, frame(spark, log))) == sorted((w["id"], w["title"], w["deleted"]) for w in want)
+    assert oplog.reduce_ops(frame(spark, [op("update", "a", str(i)) for i in range(50)])).count() == 1
+
+
 def test_binary_log(spark, tmp_path):
     log = [op("insert", "é", "t"), op("append", "b", None), op("delete", "é")]
     data = oplog.encode_log(log)
