@@ -172,3 +172,9 @@ def sentence_frame(docs: DataFrame, *, id_col: str = "id", text_col: str = "text
         return [(s, at(a), at(b)) for s, a, b in sentences(text)]
 
     return chunk_frame(docs, cut, id_col=id_col, text_col=text_col)
+
+
+def lookup_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Live chunks of pairs (parent_id, chunk_index)."""
+    live = chunks.where(~F.coalesce("deleted", F.lit(False)))
+    return live.join(wanted.select("parent_id", "chunk_index").distinct(), ["parent_id", "chunk_index"])

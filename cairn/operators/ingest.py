@@ -80,3 +80,10 @@ def progress(outcome: DataFrame) -> DataFrame:
     """One row: total, indexed, skipped, failed."""
     count = lambda r: F.count(F.when(F.col("result") == r, 1)).alias(r)
     return outcome.agg(F.count("*").alias("total"), count("indexed"), count("skipped"), count("failed"))
+
+
+def fill_embeddings(records: DataFrame, index: DataFrame) -> DataFrame:
+    """Records without a vector get that of ``index`` (id, embedding)."""
+    known = index.select("id", F.col("embedding").alias("_known"))
+    vector = F.when(F.size("embedding") > 0, F.col("embedding")).otherwise(F.coalesce("_known", F.array().cast("array<float>")))
+    return records.join(known, "id", "left").withColumn("embedding", vector).select(*records.columns)

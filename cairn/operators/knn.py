@@ -164,3 +164,10 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     hit = found.where(F.col("rank") <= k).select("qid", "id", F.lit(1).alias("hit"))
     each = t.join(hit, ["qid", "id"], "left").groupBy("qid").agg(F.count("hit").alias("h"), F.count("*").alias("n"))
     return each.agg(F.count("*").alias("n_queries"), F.avg(F.col("h") / F.least("n", F.lit(k))).alias("recall"))
+
+
+def percentiles(values: list[float], at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> list[float]:
+    """Of measured latencies: the sorted value at place int(n * q), the last at
+    most."""
+    ordered = sorted(values)
+    return [ordered[min(int(len(ordered) * q), len(ordered) - 1)] for q in at] if ordered else [0.0] * len(at)

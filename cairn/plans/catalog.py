@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from ..operators import bm25, chunking, compaction, hybrid, ingest
 from ..operators.embedding import HashingEmbedder, embed_frame
 from ..operators.filters import SearchFilter
 from ..operators.knn import IvfIndex, exact_knn, recall_at_k
+from ..schemas import PENDING
 from ..sources.oplog import last_state
 
 QUERIES: dict = {}
@@ -506,6 +510,28 @@ def sync_progress(spark, sf_dir):
     return ingest.progress(outcome)
 
 
+@query("stream_ingest_available_now", rf"""
+SELECT CAST(doc_id AS VARCHAR) AS id, source, sha256(chr(0) || {TRIMMED.format('text')} || chr(0) || chr(0) || lower(lang) || chr(0)) AS content_hash FROM documents""")
+def stream_ingest(spark, sf_dir):
+    """Documents as a stream into a pending table."""
+    from ..sources.store import VersionedTable
+    from ..streaming.ingest_stream import pending_stream
+
+    root = f"{work_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    source = table(spark, sf_dir, "documents")
+    d = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern: a stream takes no single file
+    none = F.lit(None).cast("string")
+    batch = d.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), none.alias("title"), F.col("text").alias("body"), "source", none.alias("updated_at"), F.array("lang").alias("tags"), none.alias("text"))
+    pending = VersionedTable(spark, f"{root}/pending", PENDING)
+    pending_stream(batch, pending, f"{root}/checkpoint").awaitTermination()
+    return pending.read().select("id", "record.source", "content_hash")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder all executors share; an own one where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cairn-')}"
+
+
 # --- log and tombstones ---------------------------------------------------
 
 

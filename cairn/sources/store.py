@@ -141,6 +141,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", "title", "body", "source", F.try_to_date(F.substring("updated_at", 1, 10), "yyyy-MM-dd").alias("updated_at"), tags.alias("tags"))
 
 
+def embed_csv(spark: SparkSession, path: str, out: str, embedder) -> None:
+    """Records of a CSV file, embedded by title and body, as JSON lines."""
+    from ..functions.text import build_text
+    from ..operators.embedding import embed_frame
+
+    rows = read_csv(spark, path).withColumn("_text", build_text(F.col("title"), F.col("body")))
+    write_jsonl(embed_frame(rows, embedder, text_col="_text").drop("_text", "error").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>"))), out)
+
+
 def to_json_rows(df: DataFrame) -> list[dict]:
     """The rows of a bounded frame (a page of hits), as plain values without
     null fields."""

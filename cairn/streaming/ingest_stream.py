@@ -29,3 +29,15 @@ def start(engine: SearchEngine, docs: DataFrame, checkpoint: str, available_now:
 
     writer = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def pending_stream(docs: DataFrame, table, checkpoint: str):
+    """A query that validates each micro-batch and upserts it into a pending
+    table; run again, it takes up where it ended."""
+    from ..operators.ingest import prepare_batch, upsert_pending
+
+    def each(batch: DataFrame, number: int) -> None:
+        accepted, _ = prepare_batch(batch)
+        table.write(upsert_pending(table.read(), accepted))
+
+    return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

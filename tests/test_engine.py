@@ -187,6 +187,8 @@ def test_jsonl(spark, tmp_path):
     assert S.read_chunks_jsonl(spark, str(c)).first().deleted is False
     (tmp_path / "x.csv").write_text('id,title,body,source,updated_at,tags\n1,"a ""q""",b,s,2024-01-02T03:04:05Z,A|b\n')
     r = S.read_csv(spark, str(tmp_path / "x.csv")).first()
+    S.embed_csv(spark, str(tmp_path / "x.csv"), str(tmp_path / "csv-out"), HashingEmbedder(4))
+    assert len(S.read_records_jsonl(spark, str(tmp_path / "csv-out")).first().embedding) == 4
     assert (r.title, r.tags, r.updated_at) == ('a "q"', ["a", "b"], dt.date(2024, 1, 2))
 
 

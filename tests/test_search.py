@@ -7,7 +7,9 @@ from cairn.errors import BadRequest
 from cairn.operators import hybrid
 from cairn.operators.bm25 import TextIndex
 from cairn.operators.filters import SearchFilter
-from cairn.operators.knn import IvfIndex, exact_knn, recall_at_k
+from cairn.operators.chunking import lookup_chunks
+from cairn.operators.ingest import fill_embeddings
+from cairn.operators.knn import IvfIndex, exact_knn, percentiles, recall_at_k
 from cairn.operators.request import SearchRequest, validate
 
 
@@ -150,3 +152,13 @@ def test_requests():
     for bad in (SearchRequest(), SearchRequest(text=" "), SearchRequest(text="x", embedding=[]), SearchRequest(embedding=[1.0], alpha=0.0), SearchRequest(text="x", alpha=1.5), SearchRequest(text="x", alpha=float("nan")), SearchRequest(text="x", k=-1)):
         with pytest.raises(BadRequest):
             validate(bad)
+
+
+def test_small_helpers(spark):
+    assert percentiles([float(i) for i in range(100)]) == [50.0, 95.0, 99.0] and percentiles([]) == [0.0] * 3
+    rec = spark.createDataFrame([("a", [1.0]), ("b", []), ("c", [])], "id string, embedding array<float>")
+    idx = spark.createDataFrame([("a", [9.0]), ("b", [2.0])], "id string, embedding array<float>")
+    assert {r.id: r.embedding for r in fill_embeddings(rec, idx).collect()} == {"a": [1.0], "b": [2.0], "c": []}
+    ch = spark.createDataFrame([("a", 0, False), ("a", 1, True)], "parent_id string, chunk_index long, deleted boolean")
+    want = spark.createDataFrame([("a", 0), ("a", 1), ("a", 0)], "parent_id string, chunk_index long")
+    assert lookup_chunks(ch, want).count() == 1
