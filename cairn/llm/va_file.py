@@ -9,9 +9,13 @@ exact vectors are read in the order of their bounds: first the best few, whose
 k-th exact score then drops all whose bound is below it; the rest are read, and
 the k-th result is certain.
 
+A cell's middle and half its width bound a component, so one matrix product of
+the queries with the middles, and one number for each query, bound all inner
+products. Middles are doubled to stay integers.
+
 Queries go in blocks of ``query_block`` to all rows; only a block is ever
-broadcast. All that is computed is exact: in doubles while they hold every
-integer that may occur, else in 64-bit integers.
+broadcast. All that is computed is exact: in floats or doubles while they hold
+every integer that may occur, else in 64-bit integers, which inner products must fit.
 
 Defined cases: vectors that are null or empty, or hold a null or a non-finite
 component, take no part. A shorter vector counts as having zeros at the end. A
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .base import stored, table
 
-CELL_BITS = 6
+CELL_BITS = 8
 QUERY_BLOCK = 4096
 #: Exact vectors read for each query before the bound is tightened.
 FIRST_READS = 8
@@ -60,6 +64,18 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _rows(col: pa.Array, kind: str, dim: int) -> np.ndarray:
+    """Rows of a binary column, each ``dim`` numbers."""
+    return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, dim)
+
+
+def _least_int(lo: np.ndarray, hi: np.ndarray) -> str:
+    for kind in ("<i2", "<i4"):
+        if np.iinfo(kind).min <= lo.min(initial=0) and hi.max(initial=0) <= np.iinfo(kind).max:
+            return kind
+    return "<i8"
+
+
 def _ranges(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo = hi = None
@@ -86,76 +102,103 @@ class Cells:
     def encode(self, m: np.ndarray) -> np.ndarray:
         return ((m - self.lo) * self.n // self.span).astype(np.uint8)
 
-    def bounds(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(codes.shape[1])
-        return self.least[codes, at], self.most[codes, at]
+    def middles(self, codes: np.ndarray) -> np.ndarray:
+        """Twice the middle of each component's cell."""
+        return (self.least + self.most)[codes, np.arange(codes.shape[1])]
 
+    @property
+    def widths(self) -> np.ndarray:
+        """Twice the most that a component is off its cell's middle."""
+        return (self.most - self.least).max(axis=0)
 
-def _approximate(cells: Cells, dim: int):
+
+def _approximate(cells: Cells, dim: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = cells.encode(_matrix(batch.column(1), dim))
-            yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in codes], pa.binary())], ["vec_id", "cells"])
+            m = _matrix(batch.column(1), dim)
+            codes, exact = cells.encode(m), m.astype(kind)
+            yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in exact], pa.binary()), batch.column(2)], ["vec_id", "cells", "v", "is_query"])
 
     return run
 
 
-def _product(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
-    kind = np.int64 if wide else np.float64
-    return a.astype(kind) @ b.astype(kind).T
+def _number_kind(most: float):
+    """The fastest type that holds sums up to ``most`` exactly."""
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
+
 
+class Scan:
+    """Bounds of a block of queries, twice as great as the inner products."""
 
-def _bounds(q: np.ndarray, cells: Cells, codes: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest inner product of each query with each cell vector."""
-    least, most = cells.bounds(codes)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    return _product(up, least, wide) + _product(down, most, wide), _product(up, most, wide) + _product(down, least, wide)
+    def __init__(self, ids: np.ndarray, q: np.ndarray, cells: Cells):
+        self.ids, self.cells = ids, cells
+        most = float(np.abs(q).sum(axis=1).max(initial=0)) * 2.0 * float(max(np.abs(cells.lo).max(), np.abs(cells.lo + cells.span).max()))
+        self.kind = _number_kind(most)
+        self.q = q.astype(self.kind)
+        self.off = np.abs(q) @ cells.widths
+
+    def middles(self, codes: np.ndarray) -> np.ndarray:
+        return self.q @ self.cells.middles(codes).astype(self.kind).T
 
 
 def _code_batches(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for i in range(0, batch.num_rows, BATCH):
             part = batch.slice(i, BATCH)
-            codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, dim)
-            yield part.column(0).to_numpy(), codes
+            yield part.column(0).to_numpy(), _rows(part.column(1), "u1", dim)
 
 
-def _thresholds(shared, cells: Cells, k: int, dim: int, wide: bool):
+def _thresholds(shared, k: int, dim: int):
     """The task's k greatest lower bounds of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        scan = shared.value
         low = np.iinfo(np.int64).min
-        best = np.full((len(ids), k), low, np.int64)
+        best = np.full((len(scan.ids), k), low, np.int64)
         for vec, codes in _code_batches(batches, dim):
-            lower, _ = _bounds(q, cells, codes, wide)
-            lower = lower.astype(np.int64)
-            lower[ids[:, None] == vec[None, :]] = low
-            joined = np.concatenate([best, lower], axis=1)
-            best = -np.partition(-joined, k - 1, axis=1)[:, :k] if joined.shape[1] > k else joined
+            mid = scan.middles(codes)
+            # only what beats a query's k-th so far is looked at
+            kth = best.min(axis=1)
+            rows, cols = np.nonzero(mid > np.where(kth == low, low, kth + scan.off)[:, None])
+            other = scan.ids[rows] != vec[cols]
+            rows, lower = rows[other], mid[rows[other], cols[other]].astype(np.int64) - scan.off[rows[other]]
+            if not len(rows):
+                continue
+            order = np.lexsort((-lower, rows))
+            rows, lower = rows[order], lower[order]
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+            top = place < k
+            new = np.full((len(scan.ids), k), low, np.int64)
+            new[rows[top], place[top]] = lower[top]
+            best = np.sort(np.concatenate([best, new], axis=1), axis=1)[:, : -k - 1 : -1]
         rows, cols = np.nonzero(best != low)
         yield pa.record_batch([pa.array(rows.astype(np.int32)), pa.array(best[rows, cols])], ["q", "bound"])
 
     return run
 
 
-def _candidates(shared, cells: Cells, dim: int, wide: bool):
+def _candidates(shared, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, least = shared.value
+        scan, least = shared.value
+        low = np.iinfo(np.int64).min
+        edge = np.where(least == low, low, least - scan.off)
         for vec, codes in _code_batches(batches, dim):
-            _, upper = _bounds(q, cells, codes, wide)
-            upper = upper.astype(np.int64)
-            rows, cols = np.nonzero((upper >= least[:, None]) & (ids[:, None] != vec[None, :]))
-            yield pa.record_batch([pa.array(rows.astype(np.int32)), pa.array(vec[cols]), pa.array(upper[rows, cols])], ["q", "vec_id", "upper"])
+            mid = scan.middles(codes)
+            rows, cols = np.nonzero(mid >= edge[:, None])
+            other = scan.ids[rows] != vec[cols]
+            rows, cols = rows[other], cols[other]
+            upper = mid[rows, cols].astype(np.int64) + scan.off[rows]
+            yield pa.record_batch([pa.array(rows.astype(np.int32)), pa.array(vec[cols]), pa.array(upper)], ["q", "vec_id", "upper"])
 
     return run
 
 
-def _scores(shared, dim: int):
+def _scores(shared, dim: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, q = shared.value
+        q = shared.value
         for batch in batches:
-            score = (q[batch.column(0).to_numpy()].astype(np.int64) * _matrix(batch.column(2), dim)).sum(axis=1)
+            score = np.einsum("ij,ij->i", q[batch.column(0).to_numpy()], _rows(batch.column(2), kind, dim).astype(np.int64))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.int64())], ["q", "vec_id", "score"])
 
     return run
@@ -165,41 +208,44 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     """query_id, rank (from 1), vec_id and score: each query row's ``k``
     greatest inner products over all other rows."""
     spark = vectors.sparkSession
-    exact = stored(vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("is_query"), integers(vector_col, scale).alias("v")), "vectors")
+    raw = stored(vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("is_query"), integers(vector_col, scale).alias("v")), "vectors")
     schema = "query_id long, rank int, vec_id long, score long"
     empty = spark.createDataFrame([], schema)
-    dim = exact.agg(F.max(F.size("v"))).first()[0]
+    dim = raw.agg(F.max(F.size("v"))).first()[0]
     if not dim:
         return empty
-    ranges = exact.select("v").mapInArrow(_ranges(dim), "pos int, lo long, hi long").groupBy("pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("pos").collect()
+    ranges = raw.select("v").mapInArrow(_ranges(dim), "pos int, lo long, hi long").groupBy("pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("pos").collect()
     lo, hi = np.array([r.lo for r in ranges]), np.array([r.hi for r in ranges])
-    cells = Cells(lo, hi)
-    wide = dim * float(max(abs(lo).max(), abs(hi).max(), 1)) ** 2 >= 2.0**52
-    approx = stored(exact.select("vec_id", "v").mapInArrow(_approximate(cells, dim), "vec_id long, cells binary"), "cells")
+    cells, kind = Cells(lo, hi), _least_int(lo, hi)
+    # columns lie apart in the file: a scan of cells reads no vector
+    exact = stored(raw.select("vec_id", "v", "is_query").mapInArrow(_approximate(cells, dim, kind), "vec_id long, cells binary, v binary, is_query boolean"), "cells")
+    approx = exact.select("vec_id", "cells")
     results = []
     block: list = []
 
     def answer():
         ids = np.array([r.vec_id for r in block], np.int64)
-        q = np.array([list(r.v) + [0] * (dim - len(r.v)) for r in block], np.int64)
-        shared = spark.sparkContext.broadcast((ids, q))
+        q = np.frombuffer(b"".join(bytes(r.v) for r in block), kind).reshape(-1, dim).astype(np.int64)
+        scan = Scan(ids, q, cells)
+        shared = spark.sparkContext.broadcast(scan)
+        queries = spark.sparkContext.broadcast(q)
         order = Window.partitionBy("q").orderBy(F.col("bound").desc())
-        found = approx.mapInArrow(_thresholds(shared, cells, k, dim, wide), "q int, bound long").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+        found = approx.mapInArrow(_thresholds(shared, k, dim), "q int, bound long").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
         least = np.full(len(ids), np.iinfo(np.int64).min, np.int64)
         for r in found.groupBy("q").agg(F.min("bound").alias("bound"), F.count("*").alias("n")).where(F.col("n") >= k).collect():
             least[r.q] = r.bound
-        second = spark.sparkContext.broadcast((ids, q, least))
-        pairs = stored(approx.mapInArrow(_candidates(second, cells, dim, wide), "q int, vec_id long, upper long"), "pairs")
+        second = spark.sparkContext.broadcast((scan, least))
+        pairs = stored(approx.mapInArrow(_candidates(second, dim), "q int, vec_id long, upper long"), "pairs")
 
         def read(some: DataFrame) -> DataFrame:
-            return some.join(exact.select("vec_id", "v"), "vec_id").select("q", "vec_id", "v").mapInArrow(_scores(shared, dim), "q int, vec_id long, score long")
+            return some.join(exact.select("vec_id", "v"), "vec_id").select("q", "vec_id", "v").mapInArrow(_scores(queries, dim, kind), "q int, vec_id long, score long")
 
         by_bound = Window.partitionBy("q").orderBy(F.col("upper").desc(), "vec_id")
         first = pairs.withColumn("r", F.row_number().over(by_bound)).where(F.col("r") <= FIRST_READS * k)
         first_scores = stored(read(first), "first")
         by_score = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
         kth = first_scores.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select("q", F.col("score").alias("kth"))
-        rest = pairs.join(F.broadcast(kth), "q", "left").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).join(first.select("q", "vec_id").distinct(), ["q", "vec_id"], "left_anti")
+        rest = pairs.join(F.broadcast(kth), "q", "left").where(F.col("kth").isNull() | (F.col("upper") >= 2 * F.col("kth"))).join(first.select("q", "vec_id").distinct(), ["q", "vec_id"], "left_anti")
         scored = first_scores.unionByName(read(rest))
         names = F.broadcast(spark.createDataFrame(list(enumerate(ids.tolist())), "q int, query_id long"))
         top = scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
