@@ -50,10 +50,17 @@ def classify(pending: DataFrame, live: DataFrame) -> DataFrame:
     return both.withColumn("action", action)
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """id and place from 0 in the order of ids: a range sort, then each part
+    counts on from those before it. No task sees all ids."""
+    ordered = ids.orderBy("id").rdd.map(lambda r: r[0]).zipWithIndex()
+    return ids.sparkSession.createDataFrame(ordered, "id string, place long")
+
+
 def sync(pending: DataFrame, records: DataFrame, embedder: Embedder, one_by_one: bool = False) -> tuple[DataFrame, DataFrame]:
     """(outcome, new rows). ``outcome`` has each pending id with its result
     (indexed, skipped or failed) and error. New rows take numbers after the
-    greatest, in the order of ids; the caller marks the old rows of the same
+    greatest, in the order of ids (failed ones leave gaps); the caller marks the old rows of the same
     ids deleted."""
     live = records.where(~F.col("deleted"))
     sorted_out = classify(pending, live)
@@ -63,9 +70,9 @@ def sync(pending: DataFrame, records: DataFrame, embedder: Embedder, one_by_one:
     result = F.when(~F.col("ok"), "failed").when(F.col("action").isin("clear", "reindex"), "skipped").otherwise("indexed")
     outcome = done.withColumn("result", result)
     top = records.agg(F.coalesce(F.max("index_id"), F.lit(-1)).alias("top"))
-    number = Window.orderBy("id")
-    new = outcome.where(F.col("ok") & (F.col("action") != "clear")).crossJoin(F.broadcast(top))
-    new = new.select("record.*", "embedding", F.lit(False).alias("deleted"), "content_hash", F.lit(True).alias("indexed"), "embed_text", (F.col("top") + F.row_number().over(number)).alias("index_id"))
+    places = numbered(sorted_out.where("action <> 'clear'").select("id"))
+    new = outcome.where(F.col("ok") & (F.col("action") != "clear")).join(places, "id").crossJoin(F.broadcast(top))
+    new = new.select("record.*", "embedding", F.lit(False).alias("deleted"), "content_hash", F.lit(True).alias("indexed"), "embed_text", (F.col("top") + 1 + F.col("place")).alias("index_id"))
     return outcome, new
 
 

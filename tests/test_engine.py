@@ -91,6 +91,15 @@ def test_chunked_engine(spark, tmp_path):
     c.check()
 
 
+def test_numbers_follow_ids(spark):
+    from cairn.operators.ingest import numbered
+
+    ids_ = [f"k{i:03d}" for i in range(40)]
+    got = numbered(spark.createDataFrame([(i,) for i in reversed(ids_)], "id string").repartition(5)).collect()
+    assert {r.id: r.place for r in got} == {k: n for n, k in enumerate(ids_)}
+    assert numbered(spark.createDataFrame([], "id string")).count() == 0
+
+
 def test_policies():
     assert TombstonePolicy(max_count=2).due(10, 2) and not TombstonePolicy(max_count=2).due(10, 1)
     assert TombstonePolicy(max_ratio=0.3).due(10, 3) and not TombstonePolicy().due(10, 10)
