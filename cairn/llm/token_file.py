@@ -38,6 +38,9 @@ BLOCK = 65_536
 TRAILER = struct.Struct("<8sIIQQQQ")
 #: Characters of text that one file holds, about.
 FILE_CHARS = 32_000_000
+#: Ranges of ids at most, so that their bounds are few; a range has more than
+#: one file where it is long.
+MAX_RANGES = 20_000
 #: A task starts another file after so many ids.
 FILE_IDS = 1 << 25
 
@@ -249,12 +252,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _encode(path: str, end_id: int | None):
+def _encode(path: str, end_id: int | None, bounds):
+    """Rows (bucket, doc, ids): buckets are the ranges of ids, nulls the last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in sized(batches, 2):
-            ids = enc.encode_all(pc.fill_null(batch.column(2), ""), end_id)
-            yield pa.record_batch([batch.column(0), batch.column(1), ids], ["bucket", "doc", "ids"])
+        enc, edges = encoder(path), bounds.value
+        for batch in sized(batches, 1):
+            ids = enc.encode_all(pc.fill_null(batch.column(1), ""), end_id)
+            doc = pc.fill_null(batch.column(0), np.iinfo(np.int64).max).to_numpy()
+            bucket = np.where(batch.column(0).is_null(), len(edges), np.searchsorted(edges, doc, side="right"))
+            yield pa.record_batch([pa.array(bucket.astype(np.int32)), batch.column(0), ids], ["bucket", "doc", "ids"])
 
     return run
 
@@ -289,13 +296,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
     enc = encoder(tokenizer_path)
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(max(1, chars // file_chars + 1))
-    bounds = sorted(set(d.approxQuantile("doc", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    bucket = F.when(F.col("doc").isNull(), F.lit(len(bounds))).otherwise(F.lit(0))
-    if bounds:
-        edges = F.array(*[F.lit(int(b)) for b in bounds])
-        bucket = F.when(F.col("doc").isNull(), F.lit(len(bounds))).otherwise(F.aggregate(edges, F.lit(0), lambda a, e: a + (F.col("doc") >= e).cast("int")))
-    encoded = d.select(bucket.cast("int").alias("bucket"), "doc", "text").mapInArrow(_encode(tokenizer_path, end_id), "bucket int, doc long, ids binary")
+    n = int(min(MAX_RANGES, max(1, chars // file_chars + 1)))
+    found = d.approxQuantile("doc", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    bounds = np.unique(np.array(found, np.float64).astype(np.int64))
+    shared = spark.sparkContext.broadcast(bounds)
+    encoded = d.select("doc", "text").mapInArrow(_encode(tokenizer_path, end_id, shared), "bucket int, doc long, ids binary")
     parts = encoded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc").asc_nulls_last(), "ids")
     manifest = parts.mapInArrow(_write(folder or fresh(spark, "tokens"), bits_for(enc.vocab), enc.vocab, enc.dtype), "bucket int, part int, path string, n_docs long, n_ids long")
     return stored(manifest, "manifest")
