@@ -35,11 +35,13 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def idf(n: Column, df: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
+    without = n - df + 0.5
+    return F.log(without / (F.lit(0.5) + df) + 1.0)
 
 
 def term_score(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
-    return tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / avgdl))
+    fade = k1 * ((1.0 - b) + b * dl / avgdl)
+    return tf * F.lit(1.0 + k1) / (fade + tf)
 
 
 @dataclass

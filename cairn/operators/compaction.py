@@ -24,9 +24,9 @@ class TombstonePolicy:
 
     def __post_init__(self):
         if self.max_count is not None and self.max_ratio is not None:
-            raise BadRequest("cannot set both max_tombstones and max_tombstone_ratio")
+            raise BadRequest("a tombstone policy has a count or a ratio, not both")
         if self.max_ratio is not None and (math.isnan(self.max_ratio) or not 0 <= self.max_ratio <= 1):
-            raise BadRequest("max_tombstone_ratio must be between 0.0 and 1.0")
+            raise BadRequest("the ratio of tombstones must lie in 0 to 1")
 
     def due(self, total: int, tombstones: int) -> bool:
         if not tombstones:

@@ -15,13 +15,13 @@ def test_noop():
 
 def test_fixed_small():
     assert C.fixed_chunks("Short text", 100, 10) == [("Short text", 0, 10)]
-    got = C.fixed_chunks("Hello world, this is a longer text that needs to be split.", 20, 5)
+    got = C.fixed_chunks("Some words that are too long for one chunk of twenty.", 20, 5)
     assert len(got) > 1 and all(t for t, _, _ in got)
 
 
 @pytest.mark.parametrize("text, size, overlap", [
-    ("The quick brown fox jumps over the lazy dog. The quick brown fox runs.", 30, 10), ("word " * 60, 50, 10), ("これは日本語のテキストです。長い文章を分割します。", 10, 2),
-    ("Hello こんにちは World 世界 mixed テキスト", 15, 3), ("😀😁 😂🤣😃😄 😅😆😉😊 end", 10, 2), (" \n " * 40 + "x", 10, 2), ("a" * 95, 10, 20),
+    ("A brown fox leaps over some dogs. They run off quickly, and it rests.", 30, 10), ("word " * 60, 50, 10), ("日本語の長い文章をいくつかの部分に切り分けます。", 10, 2),
+    ("One いち two 二つ mixed 文字 three", 15, 3), ("😀😁 😂🤣😃😄 😅😆😉😊 end", 10, 2), (" \n " * 40 + "x", 10, 2), ("a" * 95, 10, 20),
 ])
 def test_fixed_offsets(text, size, overlap):
     got = C.fixed_chunks(text, size, overlap)

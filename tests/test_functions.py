@@ -13,8 +13,8 @@ def one(spark, col, **cols):
 
 
 @pytest.mark.parametrize("text, want", [
-    ("Hello, World! This is a TEST.", ["hello", "world", "this", "is", "a", "test"]),
-    ("Version 2.0 released in 2024!", ["version", "2", "0", "released", "in", "2024"]),
+    ("Some TEXT, with: Signs!", "some text with signs".split()),
+    ("Release 2.0, of 2024?", "release 2 0 of 2024".split()),
     ("हिन्दी ½ a_b", ["हिन", "दी", "½", "a", "b"]),
     ("", []), (None, None), (" \n", []),
 ])
