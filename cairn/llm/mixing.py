@@ -35,6 +35,8 @@ MAX_REPEATS = 3.0
 #: Weight over time for each of the weight classes: (t, factor) knots. The
 #: heaviest class fades as the lightest grows.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.0)))
+#: Words of one part of the sorted stream.
+PART_WORDS = 4_000_000
 #: Hash ranges within a source.
 RANGES = 1 << 14
 
@@ -136,16 +138,17 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     Rows that repeat with the same id and text are each taken as the first of
     them."""
     p = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    p = p.groupBy("doc", "th").agg(F.min_by(F.struct("start", "source_size", "target", "rank", "copies"), "start").alias("f")).select("doc", "th", "f.*").where("copies > 0")
+    p = p.groupBy("doc", "th").agg(F.min_by(F.struct("start", "size", "source_size", "target", "rank", "copies"), "start").alias("f")).select("doc", "th", "f.*").where("copies > 0")
     copies = F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), lambda c: position(c))
-    p = stored(p.select(F.col("doc").alias("__id"), F.col("th").alias("__th"), F.posexplode(copies).alias("__copy", "__pos")), "plan")
+    p = p.select(F.col("doc").alias("__id"), F.col("th").alias("__th"), "size", F.posexplode(copies).alias("__copy", "__pos"))
+    p = stored(p, "copies")
+    # ranges of positions, as many as the words need, from the narrow plan
+    n = int((p.agg(F.sum("size")).first()[0] or 0) // PART_WORDS + 1)
+    p = stored(p.drop("size").repartitionByRange(n, "__pos", "__id", "__th").withColumn("__part", F.spark_partition_id()), "plan")
     rows = docs.withColumn("__x", F.xxhash64(text_bytes(text_col)))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__th"))
-    out = rows.join(p, same)
-    n = max(1, out.sparkSession.sparkContext.defaultParallelism * 2)
-    edges = p.approxQuantile("__pos", [i / n for i in range(1, n)], 0.1 / n)
-    part = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda a, e: a + (F.col("__pos") >= e).cast("int")) if edges else F.lit(0)
-    return out.withColumn("__part", part).repartitionById(n, F.col("__part")).sortWithinPartitions("__pos", F.col("__id").asc_nulls_last(), "__copy").select(*docs.columns)
+    out = rows.join(p, same).repartitionById(n, F.col("__part"))
+    return out.sortWithinPartitions("__pos", F.col("__id").asc_nulls_last(), "__copy").select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
