@@ -6,7 +6,8 @@ the corpus (the words around a mention, each distinct context of an entity
 once, so that copies count once), a term's pointwise mutual information with an
 entity is compared with the entity's own information content. A term with
   PMI(entity; term) >= IC(entity) / ALPHA
-in MIN_CONTEXTS contexts of the entity at least discloses it; wherever it stands
+discloses it, however rare the entity; SMOOTHING weakens what few occurrences
+say. Wherever it stands
 in a document with that entity, the term is removed if it never stands by
 another entity, and generalised otherwise.
 
@@ -36,6 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, REACH = 5, 200
 MIN_CONTEXTS = 3
 ALPHA = 1.25
+#: Weight, in occurrences, of the assumption that a term tells nothing.
+SMOOTHING = 1.0
 
 _AT = re.compile("@")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -179,9 +182,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(_scan, _SCHEMA)
 
 
-def disclosing_terms(found: DataFrame, *, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def disclosing_terms(found: DataFrame, *, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS, smoothing: float = 0.0) -> DataFrame:
     """(entity, term, pmi, ic, only) of terms that disclose an entity; ``only``
-    says that the term stands by no other."""
+    says that the term stands by no other. ``smoothing`` draws the chance of the
+    entity, given the term, towards its chance without."""
     each = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.ctx", F.transform("m.terms", lambda t: t["term"]).alias("terms"))
     ctx = stored(each.dropDuplicates(["entity", "ctx"]), "contexts")
     total = ctx.count()
@@ -189,17 +193,18 @@ def disclosing_terms(found: DataFrame, *, alpha: float = ALPHA, min_contexts: in
     words = ctx.select("entity", F.explode("terms").alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = words.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_contexts)
-    n = F.lit(float(total))
-    pmi = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    n, s = F.lit(float(total)), F.lit(float(smoothing))
+    p_e = F.col("n_e") / n
+    pmi = F.log((F.col("n_et") + s * p_e) / ((F.col("n_t") + s) * p_e))
     ic = F.log(n / F.col("n_e"))
     return pairs.join(entities, "entity").join(terms, "term").select("entity", "term", pmi.alias("pmi"), ic.alias("ic"), (F.col("n_et") == F.col("n_t")).alias("only")).where((F.col("pmi") > 0) & (F.col("pmi") * F.lit(alpha) >= F.col("ic")))
 
 
-def sanitisation(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def sanitisation(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_contexts: int = 1, smoothing: float = SMOOTHING) -> DataFrame:
     """id, the counts, ``base`` (spans kind:start:end) and ``terms``: structs
     (start, end, only) of disclosing terms."""
     found = stored(scan(docs, id_col, text_col), "mentions")
-    bad = stored(disclosing_terms(found, alpha=alpha, min_contexts=min_contexts), "terms")
+    bad = stored(disclosing_terms(found, alpha=alpha, min_contexts=min_contexts, smoothing=smoothing), "terms")
     each = found.select("row", F.explode("mentions").alias("m")).select("row", "m.entity", F.explode("m.terms").alias("t")).select("row", "entity", "t.term", "t.at")
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1), lambda i: F.struct(F.get("at", i * 2).alias("start"), F.get("at", i * 2 + 1).alias("end")))
     hits = each.where(F.size("at") > 0).join(bad.select("entity", "term", "only"), ["entity", "term"]).select("row", F.explode(pairs).alias("p"), "only")

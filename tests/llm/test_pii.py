@@ -74,3 +74,15 @@ def test_disclosing_terms(spark):
 def test_redact():
     assert P.redact("ask Ann at a@b.co now", "email:11:17", [(4, 7, True), (18, 21, False)]) == "ask  at [EMAIL] [TERM]"
     assert P.redact("plain", "", []) == "plain"
+
+
+def spoken(spark, rows):
+    """Per document, the words that sanitisation marks, with ``only``."""
+    text = {d[0]: d[1] for d in rows}
+    return {x.doc_id: {(text[x.doc_id][t.start : t.end].lower(), t.only) for t in x.terms} for x in P.sanitisation(frame(spark, rows)).collect()}
+
+
+def test_rare_entities_disclose(spark):
+    rows = [doc(i, f"one two three four five p{chr(97 + i // 26)}{chr(97 + i % 26)}@x.org six seven eight nine ten") for i in range(300)]
+    rows.append(doc(900, "one two three beekeeper five rare@x.org six seven eight nine ten"))
+    assert spoken(spark, rows)[900] == {("beekeeper", True)}
