@@ -1,18 +1,19 @@
 """Personal data: fixed patterns, and words that give it away.
 
 Patterns find the protected entities: mail addresses, IP addresses, card and
-phone numbers. Information theory finds more: over all contexts of entities in
-the corpus (the words around a mention, each distinct context of an entity
-once, so that copies count once), a term's pointwise mutual information with an
-entity is compared with the entity's own information content. A term with
+phone numbers. Information theory finds more: a term that stands by a mention of
+an entity is a candidate, and its pointwise mutual information with the entity,
+over all documents of the corpus, is compared with the entity's own information
+content. A term with
   PMI(entity; term) >= IC(entity) / ALPHA
-discloses it, however rare the entity; SMOOTHING weakens what few occurrences
-say. Wherever it stands
-in a document with that entity, the term is removed if it never stands by
-another entity, and generalised otherwise.
+discloses it, however rare the entity; SMOOTHING weakens what few documents say.
+Copies of a text with mentions count once. A disclosing term that stands near a
+mention of the entity is removed in that document if every document with
+the term has the entity, and generalised otherwise.
 
-Counting is by partial sums over (entity, context), (entity, term) and term, so
-a hot entity is no hot task; only few columns ever shuffle, never a text.
+Counting is by partial sums over (term, document with mentions), (entity, term)
+and term, so a hot entity is no hot task; only few columns ever shuffle, never
+a text.
 
 Defined cases: a null text is an empty one. Offsets are code points, ends
 exclusive. A term's places inside a pattern's span are left to the pattern.
@@ -23,6 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -129,22 +131,27 @@ def context(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     return [m[0].lower() for m in left[-WINDOW:]], [m[0].lower() for m in right[:WINDOW]]
 
 
-_MENTION = pa.struct([("entity", pa.string()), ("ctx", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int64()))])))])
-_SCHEMA = "row long, doc long, n_email long, n_ip long, n_card long, n_phone long, base string, mentions array<struct<entity: string, ctx: long, terms: array<struct<term: string, at: array<long>>>>>"
+_MENTION = pa.struct([("entity", pa.string()), ("ctx", pa.int64()), ("terms", pa.list_(pa.string()))])
+_WORD = pa.struct([("term", pa.string()), ("at", pa.list_(pa.int64()))])
+_SCHEMA = "row long, doc long, n_email long, n_ip long, n_card long, n_phone long, base string, hash long, mentions array<struct<entity: string, ctx: long, terms: array<string>>>, words array<struct<term: string, at: array<long>>>"
+#: Terms that a task counts before it hands them on.
+COUNTED = 300_000
 
 
 def mentions(text: str, spans: list[list[tuple[int, int]]]) -> list[dict]:
-    """Each mention's entity, context and terms with their places in the text
-    (start and end in turn)."""
+    """Each mention's entity, context and terms."""
     found = []
     for kind, own in enumerate(spans):
         for s, e in own:
             left, right = context(text, s, e)
             ctx = xxhash.xxh64_intdigest(" ".join(left) + "|" + " ".join(right)) - (1 << 63)
-            found.append((entity(kind, text[s:e]), ctx, sorted({*left, *right})))
-    wanted = set().union(*(t for _, _, t in found)) if found else set()
-    if not wanted:
-        return [{"entity": e, "ctx": c, "terms": []} for e, c, _ in found]
+            found.append({"entity": entity(kind, text[s:e]), "ctx": ctx, "terms": sorted({*left, *right})})
+    return found
+
+
+def words(text: str, spans: list[list[tuple[int, int]]]) -> list[dict]:
+    """Each term of the text with its places outside of all spans (start and
+    end in turn)."""
     taken: list[tuple[int, int]] = []
     for s, e in sorted(x for own in spans for x in own):
         if taken and s <= taken[-1][1]:
@@ -154,62 +161,113 @@ def mentions(text: str, spans: list[list[tuple[int, int]]]) -> list[dict]:
     places: dict[str, list[int]] = {}
     i = 0
     for m in _TERM.finditer(text):
-        w = m[0].lower()
-        if w not in wanted:
-            continue
+        at = places.setdefault(m[0].lower(), [])
         while i < len(taken) and taken[i][1] <= m.start():
             i += 1
-        if i < len(taken) and taken[i][0] < m.end():
-            continue
-        places.setdefault(w, []).extend(m.span())
-    return [{"entity": e, "ctx": c, "terms": [{"term": t, "at": places.get(t, [])} for t in terms]} for e, c, terms in found]
+        if i == len(taken) or taken[i][0] >= m.end():
+            at.extend(m.span())
+    return [{"term": t, "at": at} for t, at in places.items()]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, base, found = [], [], []
+        counts, base, hashes, found, terms = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             spans = base_spans(text or "")
             counts.append([len(x) for x in spans])
             base.append(",".join(f"{k}:{s}:{e}" for k, own in zip(KINDS, spans) for s, e in own))
-            found.append(mentions(text, spans) if text else [])
-        yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(4)], pa.array(base, pa.string()), pa.array(found, pa.list_(_MENTION))], ["row", "doc", *[f"n_{k}" for k in KINDS], "base", "mentions"])
+            own = mentions(text, spans) if text else []
+            found.append(own)
+            hashes.append(xxhash.xxh64_intdigest(text) - (1 << 63) if own else None)
+            terms.append(words(text, spans) if own else [])
+        arrays = [*[pa.array([c[i] for c in counts], pa.int64()) for i in range(4)], pa.array(base, pa.string()), pa.array(hashes, pa.int64()), pa.array(found, pa.list_(_MENTION)), pa.array(terms, pa.list_(_WORD))]
+        yield pa.record_batch([batch.column(0), batch.column(1), *arrays], ["row", "doc", *[f"n_{k}" for k in KINDS], "base", "hash", "mentions", "words"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass over the texts: counts, base spans, and mentions with contexts."""
+    """One pass over the texts: counts, base spans, mentions with contexts, and
+    all terms of the texts that have mentions."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scan, _SCHEMA)
 
 
-def disclosing_terms(found: DataFrame, *, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS, smoothing: float = 0.0) -> DataFrame:
-    """(entity, term, pmi, ic, only) of terms that disclose an entity; ``only``
-    says that the term stands by no other. ``smoothing`` draws the chance of the
-    entity, given the term, towards its chance without."""
-    each = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.ctx", F.transform("m.terms", lambda t: t["term"]).alias("terms"))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        got = pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+        found.clear()
+        return got
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found.update({w.lower() for w in set(_TERM.findall(text or ""))})
+            if len(found) > COUNTED:
+                yield out()
+    yield out()
+
+
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n): how many documents hold each term, over all of them."""
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def disclosing_terms(found: DataFrame, *, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """(entity, term, pmi, ic, only) by the contexts of mentions alone, with no
+    regard to the rest of the corpus, which ``corpus_terms`` has."""
+    each = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.ctx", "m.terms")
     ctx = stored(each.dropDuplicates(["entity", "ctx"]), "contexts")
     total = ctx.count()
     entities = ctx.groupBy("entity").agg(F.count("*").alias("n_e"))
     words = ctx.select("entity", F.explode("terms").alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = words.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_contexts)
-    n, s = F.lit(float(total)), F.lit(float(smoothing))
-    p_e = F.col("n_e") / n
-    pmi = F.log((F.col("n_et") + s * p_e) / ((F.col("n_t") + s) * p_e))
+    n = F.lit(float(total))
+    pmi = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     ic = F.log(n / F.col("n_e"))
     return pairs.join(entities, "entity").join(terms, "term").select("entity", "term", pmi.alias("pmi"), ic.alias("ic"), (F.col("n_et") == F.col("n_t")).alias("only")).where((F.col("pmi") > 0) & (F.col("pmi") * F.lit(alpha) >= F.col("ic")))
 
 
-def sanitisation(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_contexts: int = 1, smoothing: float = SMOOTHING) -> DataFrame:
+def corpus_terms(found: DataFrame, counts: DataFrame, *, alpha: float = ALPHA, smoothing: float = SMOOTHING) -> DataFrame:
+    """(entity, term, pmi, ic, only) of terms that disclose an entity, by the
+    documents of the whole corpus; ``only`` says that the entity is in every
+    document with the term."""
+    own = found.where(F.size("mentions") > 0)
+    rows, mentioning, texts = found.agg(F.count("*"), F.count("hash"), F.countDistinct("hash")).first()
+    each = own.select("hash", F.explode("mentions").alias("m")).select("hash", "m.entity", "m.terms")
+    holds = stored(each.select("entity", "hash").distinct(), "entities")
+    near = each.select("entity", F.explode("terms").alias("term")).distinct()
+    has = stored(own.select("hash", F.explode("words.term").alias("term")).groupBy("term", "hash").agg(F.count("*").alias("c")), "held")
+    held = has.groupBy("term").agg(F.count("*").alias("n_d"), F.sum("c").alias("c"))
+    # copies of texts with mentions count once
+    terms = held.join(counts, "term").select("term", "n_d", (F.col("n") - F.col("c") + F.col("n_d")).alias("n_t"))
+    n, s = F.lit(float(rows - mentioning + texts)), F.lit(float(smoothing))
+    p_e = F.col("n_e") / n
+    ic = F.log(n / F.col("n_e"))
+
+    def pmi(joint):
+        return F.log((joint + s * p_e) / ((F.col("n_t") + s) * p_e))
+
+    def enough(joint):
+        return (pmi(joint) > 0) & (pmi(joint) * F.lit(alpha) >= ic)
+
+    # the documents both share are counted only for pairs they could suffice for
+    pairs = near.join(holds.groupBy("entity").agg(F.count("*").alias("n_e")), "entity").join(terms, "term").where(enough(F.least("n_e", "n_d")))
+    both = pairs.join(has.select("term", "hash"), "term").join(holds, ["entity", "hash"]).groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"))
+    return both.where(enough(F.col("n_et"))).select("entity", "term", pmi(F.col("n_et")).alias("pmi"), ic.alias("ic"), (F.col("n_et") == F.col("n_t")).alias("only"))
+
+
+def sanitisation(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, smoothing: float = SMOOTHING) -> DataFrame:
     """id, the counts, ``base`` (spans kind:start:end) and ``terms``: structs
     (start, end, only) of disclosing terms."""
     found = stored(scan(docs, id_col, text_col), "mentions")
-    bad = stored(disclosing_terms(found, alpha=alpha, min_contexts=min_contexts, smoothing=smoothing), "terms")
-    each = found.select("row", F.explode("mentions").alias("m")).select("row", "m.entity", F.explode("m.terms").alias("t")).select("row", "entity", "t.term", "t.at")
+    bad = stored(corpus_terms(found, term_counts(docs, text_col), alpha=alpha, smoothing=smoothing), "terms")
+    near = found.select("row", F.explode("mentions").alias("m")).select("row", "m.entity", F.explode("m.terms").alias("term")).distinct()
+    each = found.select("row", F.explode("words").alias("w")).select("row", "w.term", "w.at").where(F.size("at") > 0)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1), lambda i: F.struct(F.get("at", i * 2).alias("start"), F.get("at", i * 2 + 1).alias("end")))
-    hits = each.where(F.size("at") > 0).join(bad.select("entity", "term", "only"), ["entity", "term"]).select("row", F.explode(pairs).alias("p"), "only")
+    hits = each.join(bad.select("entity", "term", "only"), "term").join(near, ["row", "entity", "term"]).select("row", F.explode(pairs).alias("p"), "only")
     hits = hits.groupBy("row", "p.start", "p.end").agg(F.max("only").alias("only")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "only"))).alias("terms"))
-    out = found.drop("mentions").join(hits, "row", "left")
+    out = found.drop("mentions", "words", "hash").join(hits, "row", "left")
     empty = F.array().cast("array<struct<start: bigint, end: bigint, only: boolean>>")
     return out.select(F.col("doc").alias(id_col), *[f"n_{k}" for k in KINDS], "base", F.coalesce("terms", empty).alias("terms"))
 

@@ -86,3 +86,15 @@ def test_rare_entities_disclose(spark):
     rows = [doc(i, f"one two three four five p{chr(97 + i // 26)}{chr(97 + i % 26)}@x.org six seven eight nine ten") for i in range(300)]
     rows.append(doc(900, "one two three beekeeper five rare@x.org six seven eight nine ten"))
     assert spoken(spark, rows)[900] == {("beekeeper", True)}
+
+
+def test_statistics_are_those_of_all_documents(spark):
+    """By a mention "ordinary" and "beekeeper" look alike; elsewhere they don't."""
+    rows = [doc(i, f"ordinary {'talk' if i % 2 else 'news'} of no one") for i in range(200)]
+    rows += [doc(900 + i, f"ordinary beekeeper x{'abc'[i]}y rare@x.org") for i in range(3)] + [doc(950, rows[0][1]), doc(None, "other beekeeping")]
+    docs = frame(spark, rows)
+    got = {x.term: x for x in P.corpus_terms(P.scan(docs), P.term_counts(docs)).collect()}
+    assert "ordinary" not in got and got["beekeeper"].only
+    n, n_e = 205, 3
+    assert math.isclose(got["beekeeper"].pmi, math.log((3 + n_e / n) / ((3 + 1) * n_e / n))) and math.isclose(got["beekeeper"].ic, math.log(n / n_e))
+    assert all(w != "ordinary" for own in spoken(spark, rows).values() for w, _ in own)
