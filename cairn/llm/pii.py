@@ -7,9 +7,9 @@ over all documents of the corpus, is compared with the entity's own information
 content. A term with
   PMI(entity; term) >= IC(entity) / ALPHA
 discloses it, however rare the entity; SMOOTHING weakens what few documents say.
-Copies of a text with mentions count once. A disclosing term that stands near a
-mention of the entity is removed in that document if every document with
-the term has the entity, and generalised otherwise.
+Copies of a text with mentions count once. Wherever a disclosing term stands in a document
+with that entity, it is removed if every document with the term has the entity,
+and generalised otherwise. Terms are runs of letters and digits of any length.
 
 Counting is by partial sums over (term, document with mentions), (entity, term)
 and term, so a hot entity is no hot task; only few columns ever shuffle, never
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .base import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention, looked for within so many characters.
+#: Words of three letters or more on each side of a mention, looked for within
+#: so many characters; shorter ones among them are terms as well.
 WINDOW, REACH = 5, 200
 MIN_CONTEXTS = 3
 ALPHA = 1.25
@@ -49,7 +50,8 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]+")
+_LONG = re.compile(r"[^\W\d_]{3}")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -119,16 +121,26 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{re.sub('[^0-9]', '', value)}"
 
 
+def _nearest(terms: list[re.Match]) -> list[str]:
+    """The terms up to the last of WINDOW long ones, or all."""
+    long = 0
+    for i, m in enumerate(terms):
+        long += _LONG.search(m[0]) is not None
+        if long == WINDOW:
+            return [t[0].lower() for t in terms[: i + 1]]
+    return [t[0].lower() for t in terms]
+
+
 def context(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     """Terms before and after a mention, lower-cased."""
     a, b = max(0, start - REACH), min(len(text), end + REACH)
     left = [m for m in _TERM.finditer(text, a, start)]
     right = [m for m in _TERM.finditer(text, end, b)]
-    if left and left[0].start() == a and a > 0 and text[a - 1].isalpha():
+    if left and left[0].start() == a and a > 0 and text[a - 1].isalnum():
         left = left[1:]  # cut by the reach
-    if right and right[-1].end() == b and b < len(text) and text[b].isalpha():
+    if right and right[-1].end() == b and b < len(text) and text[b].isalnum():
         right = right[:-1]
-    return [m[0].lower() for m in left[-WINDOW:]], [m[0].lower() for m in right[:WINDOW]]
+    return _nearest(left[::-1])[::-1], _nearest(right)
 
 
 _MENTION = pa.struct([("entity", pa.string()), ("ctx", pa.int64()), ("terms", pa.list_(pa.string()))])
@@ -262,10 +274,10 @@ def sanitisation(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     (start, end, only) of disclosing terms."""
     found = stored(scan(docs, id_col, text_col), "mentions")
     bad = stored(corpus_terms(found, term_counts(docs, text_col), alpha=alpha, smoothing=smoothing), "terms")
-    near = found.select("row", F.explode("mentions").alias("m")).select("row", "m.entity", F.explode("m.terms").alias("term")).distinct()
+    holds = found.select("row", F.explode("mentions.entity").alias("entity")).distinct()
     each = found.select("row", F.explode("words").alias("w")).select("row", "w.term", "w.at").where(F.size("at") > 0)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1), lambda i: F.struct(F.get("at", i * 2).alias("start"), F.get("at", i * 2 + 1).alias("end")))
-    hits = each.join(bad.select("entity", "term", "only"), "term").join(near, ["row", "entity", "term"]).select("row", F.explode(pairs).alias("p"), "only")
+    hits = each.join(bad.select("entity", "term", "only"), "term").join(holds, ["row", "entity"]).select("row", F.explode(pairs).alias("p"), "only")
     hits = hits.groupBy("row", "p.start", "p.end").agg(F.max("only").alias("only")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "only"))).alias("terms"))
     out = found.drop("mentions", "words", "hash").join(hits, "row", "left")
     empty = F.array().cast("array<struct<start: bigint, end: bigint, only: boolean>>")

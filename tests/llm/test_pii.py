@@ -98,3 +98,21 @@ def test_statistics_are_those_of_all_documents(spark):
     n, n_e = 205, 3
     assert math.isclose(got["beekeeper"].pmi, math.log((3 + n_e / n) / ((3 + 1) * n_e / n))) and math.isclose(got["beekeeper"].ic, math.log(n / n_e))
     assert all(w != "ordinary" for own in spoken(spark, rows).values() for w, _ in own)
+
+
+def test_terms_go_wherever_they_stand(spark):
+    """Far from the mention, and terms of two characters or with digits too."""
+    far = "far words between them " * 20
+    rows = [doc(i, f"calm {'talk' if i % 2 else 'news'} of no one") for i in range(300)]
+    rows += [doc(900, "calm Beekeeper Bo k9x7 rare@x.org news"), doc(901, f"calm rare@x.org news {far} beekeeper, BO and K9X7"), doc(902, f"{far} calm news")]
+    got = spoken(spark, rows)
+    want = {("beekeeper", True), ("bo", True), ("k9x7", True)}
+    assert want <= got[900] and want <= got[901] and not got[902]
+    spans = {x.doc_id: x.terms for x in P.sanitisation(frame(spark, rows)).collect()}[901]
+    assert {rows[301][1][t.start : t.end] for t in spans} >= {"beekeeper", "BO", "K9X7"}
+
+
+def test_short_words_take_no_place_in_the_window():
+    text = "first a second b third 1 fourth 22 fifth c a@b.org uno x dos tres quattro cinque sei"
+    at = text.index("a@b.org")
+    assert P.context(text, at, at + 7) == (text[:at].split(), ["uno", "x", "dos", "tres", "quattro", "cinque"])
