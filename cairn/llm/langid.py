@@ -37,6 +37,9 @@ MODEL_WORDS = 20_000
 MODEL_NGRAMS = 10_000
 MAX_LANGS = 200
 UNKNOWN = "und"
+#: Length of the n-grams whose share tells whether a text is in a language, and
+#: the part of a language's training n-grams that its typical ones make up.
+SHARE_NGRAM, TYPICAL = 3, 0.9
 #: Parts that a group of terms is ranked in first.
 SALTS = 64
 #: What is no letter; in RE2's terms, as Arrow runs it.
@@ -120,10 +123,31 @@ def _top(counts: DataFrame, by: list[str], most: int) -> DataFrame:
 
 class Model:
     """Log frequencies by language for words and n-grams: a row of ``logs`` for
-    each term."""
+    each term. A row of ``typical`` says for an n-gram of ``common`` which
+    languages it is typical of, and ``level`` what part of each language's
+    training n-grams its typical ones make up."""
 
-    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], logs: np.ndarray):
+    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], logs: np.ndarray, common: dict[str, int], typical: np.ndarray, level: np.ndarray):
         self.langs, self.words, self.grams, self.logs = langs, words, grams, logs
+        self.common, self.typical, self.level = common, typical, level
+
+    def shares(self, offsets: np.ndarray, codes: np.ndarray, words: list[str], lang: np.ndarray) -> np.ndarray:
+        """Each text's share of n-grams typical of its language ``lang``, as a
+        part of what training texts have: about 1 for the language, whatever
+        the length. Takes what letter_words() returns."""
+        doc = np.repeat(np.arange(len(lang)), np.diff(offsets))
+        find, none = self.common.get, len(self.common)
+        k = SHARE_NGRAM
+        sizes = np.fromiter((len(w) + 3 - k if w else 0 for w in words), np.int64, len(words))
+        hits = np.zeros((len(words), len(self.langs)))
+        step = 2_000_000 // (len(self.langs) + 1) // 10 + 1
+        for i in range(0, len(words), step):
+            own = np.flatnonzero(sizes[i : i + step]) + i
+            if len(own):
+                flat = [find(p[j : j + k], none) for w in own.tolist() for p in [f" {words[w]} "] for j in range(len(p) - k + 1)]
+                hits[own] = np.add.reduceat(self.typical[flat], np.cumsum(sizes[own]) - sizes[own], axis=0, dtype=np.float64)
+        found = np.bincount(doc, weights=hits[codes, lang[doc]], minlength=len(lang))
+        return found / np.maximum(np.bincount(doc, weights=sizes[codes], minlength=len(lang)), 1) / self.level[lang]
 
     def facts(self, words: list[str]) -> np.ndarray:
         """Each word's score in each language, and at the end 1, or 0 where
@@ -155,7 +179,7 @@ class Model:
         return out
 
     def __getstate__(self):
-        return self.langs, self.words, self.grams, self.logs
+        return self.langs, self.words, self.grams, self.logs, self.common, self.typical, self.level
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -179,7 +203,22 @@ def _table(found: pa.Table) -> Model:
     logs = np.zeros((len(words) + len(grams), len(langs)))
     logs[row] = low[kind]
     logs[row, at] = np.log(n / total)
-    return Model(langs, words, grams, logs)
+    # the most frequent n-grams of a language, until they are TYPICAL of all
+    common: dict[str, int] = {}
+    cells: list[tuple[int, int]] = []
+    level = np.ones(len(langs))
+    for j in range(len(langs)):
+        own = np.flatnonzero((kind == SHARE_NGRAM) & (at == j))
+        own = own[np.lexsort((row[own], -n[own]))]
+        mass = np.cumsum(n[own] / total[own])
+        own = own[: int(np.searchsorted(mass, TYPICAL)) + 1]
+        if len(own):
+            level[j] = mass[len(own) - 1]
+        cells += [(common.setdefault(terms[i], len(common)), j) for i in own.tolist()]
+    typical = np.zeros((len(common) + 1, len(langs)), np.uint8)
+    if cells:
+        typical[tuple(np.array(cells).T)] = 1
+    return Model(langs, words, grams, logs, common, typical, level)
 
 
 def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", model_words: int = MODEL_WORDS, model_ngrams: int = MODEL_NGRAMS, max_langs: int = MAX_LANGS) -> Model:
@@ -237,25 +276,31 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("id", id_col)
 
 
-def _keep(shared, min_score: float):
+def _keep(shared, min_score: float, min_share: float):
     judge = _predict(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        at = {x: i for i, x in enumerate(model.langs)}
         for batch in batches:
             found = pa.Table.from_batches(judge(iter([pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["id", "text"])])))
             if found.num_rows:
-                known = pc.and_(pc.not_equal(found["lang_pred"], UNKNOWN), pc.greater_equal(found["score"], min_score))
-                yield batch.filter(known.combine_chunks())
+                known = pc.and_(pc.not_equal(found["lang_pred"], UNKNOWN), pc.greater_equal(found["score"], min_score)).to_numpy()
+                if min_share > 0 and model.langs:
+                    lang = np.array([at.get(x, 0) for x in found["lang_pred"].to_pylist()], np.int64)
+                    known = known & (model.shares(*letter_words(batch.column("text")), lang) >= min_share)
+                yield batch.filter(pa.array(known))
 
     return run
 
 
-def keep_known(docs: DataFrame, model: Model, *, min_score: float, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, *, min_score: float = 0.0, min_share: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows, with all columns, whose language is known with a score of
-    ``min_score`` at least."""
+    ``min_score`` at least, which goes to 1 as a text grows, and whose n-grams
+    are typical of it to ``min_share`` of the training level, at any length."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs if text_col == "text" else docs.withColumn("text", F.col(text_col))
-    return rows.mapInArrow(_keep(shared, min_score), rows.schema).select(*docs.columns)
+    return rows.mapInArrow(_keep(shared, min_score, min_share), rows.schema).select(*docs.columns)
 
 
 def is_held_out(id_col: str) -> Column:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from . import langid, line_dedup, mixing, packing, simhash
 from .base import ARROW_ROWS
 
-#: A document is rejected if its language is unknown, or less likely than this.
-MIN_SCORE = 0.4
+#: A document is rejected if its language is unknown, or if its share of n-grams
+#: typical of that language is less than this part of the training level.
+MIN_SHARE = 0.5
 
 
 def _arrow(spark: SparkSession) -> None:
@@ -21,12 +22,12 @@ def _arrow(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a known language: no letters, or no language
-    as likely as MIN_SCORE. The model learns from the rows with a language,
+    """Drop documents without a known language: no letters, or fewer
+    n-grams typical of any language than MIN_SHARE asks for. The model learns from the rows with a language,
     as the query does."""
     _arrow(spark)
     model = langid.fit(docs.where(~langid.is_held_out("doc_id")).select("text", "lang"))
-    return langid.keep_known(docs, model, min_score=MIN_SCORE)
+    return langid.keep_known(docs, model, min_share=MIN_SHARE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from cairn.llm import langid as L
+from cairn.llm import stages
 
 from .helpers import doc, frame, with_clashes, words
 
@@ -87,3 +88,17 @@ def test_no_training_rows(spark):
     assert L.predict(frame(spark, []), L.fit(frame(spark, []))).count() == 0
     one = frame(spark, [doc(1, "abc", "xx")])
     assert L.predict(one, L.fit(one)).first().lang_pred == "xx"
+
+
+def test_gate_holds_at_any_length(spark):
+    """Junk and languages that weren't learned go, clean texts stay, however
+    short or long they are."""
+    r = random.Random(5)
+    parts = {"aa": "the ing er on and re".split(), "bb": "les eau ou ir que ent".split()}
+    say = lambda x, n: " ".join("".join(r.choice(parts[x]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    model = L.fit(frame(spark, [doc(i, say(x, 40), x) for i, x in enumerate(["aa", "bb"] * 100)]))
+    junk = {0: "Съешь ещё этих мягких французских булок", 1: words(r, 12, "abcdefghijklmnopqrstuvwxyz", 9), 2: "pchnąć w tę łódź jeża lub ośm skrzyń fig"}
+    rows = [doc(10 * n + i, " ".join([t] * n)) for i, t in junk.items() for n in (1, 5, 100)]
+    clean = [doc(5000 + i, say(x, n)) for i, (x, n) in enumerate((x, n) for x in parts for n in (1, 3, 30, 3000))]
+    kept = L.keep_known(frame(spark, rows + clean), model, min_share=stages.MIN_SHARE).collect()
+    assert {x.doc_id for x in kept} == {d[0] for d in clean}
