@@ -14,8 +14,8 @@ from ..operators import bm25, chunking, compaction, hybrid, ingest
 from ..operators.embedding import HashingEmbedder, embed_frame
 from ..operators.filters import SearchFilter
 from ..operators.knn import IvfIndex, exact_knn, recall_at_k
-from ..schemas import PENDING
-from ..sources.oplog import last_state
+from ..schemas import PENDING, STORED
+from ..sources.oplog import fold, last_state
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -563,3 +563,35 @@ def tombstone_stats(spark, sf_dir):
 @query("compact_live", f"WITH {SQL_FOLD} SELECT id, value FROM state WHERE NOT deleted")
 def compact_live(spark, sf_dir):
     return compaction.compact(last_state(ops(spark, sf_dir))).select("id", "value")
+
+
+def all_ops(spark, sf_dir) -> DataFrame:
+    """All events as a log: purchases append, errors delete, others write."""
+    kind = F.when(F.col("event_type") == "purchase", "append").when(F.col("event_type") == "error", F.lit(None)).otherwise("update")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("write").alias("op"), kind.alias("kind"), F.col("user_id").cast("string").alias("id"), "value", "props")
+    has = {"id": F.col("id"), "title": F.col("value").cast("string"), "body": F.col("props"), "deleted": F.lit(False)}
+    record = F.struct(*[has.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED.fields])
+    return e.select("seq", "op", "kind", "id", F.when(F.col("op") == "write", record).alias("record"))
+
+
+def replayed(spark, sf_dir) -> DataFrame:
+    """The rows that all events leave, by the fold itself: an id deleted and
+    appended again has both rows."""
+    rows = fold(spark.createDataFrame([], STORED), all_ops(spark, sf_dir))
+    return rows.select("id", F.col("title").cast("double").alias("value"), "deleted")
+
+
+@query("oplog_replay")
+def oplog_replay(spark, sf_dir):
+    return replayed(spark, sf_dir)
+
+
+@query("tombstone_stats_replay")
+def tombstone_stats_replay(spark, sf_dir):
+    s = compaction.tombstone_stats(replayed(spark, sf_dir))
+    return s.select("total", "tombstones", F.round("ratio", 6).alias("ratio"))
+
+
+@query("compact_live_replay")
+def compact_live_replay(spark, sf_dir):
+    return compaction.compact(replayed(spark, sf_dir)).select("id", "value")
