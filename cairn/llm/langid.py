@@ -276,19 +276,19 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("id", id_col)
 
 
-def _keep(shared, min_score: float, min_share: float):
+def _keep(shared, min_score: float, min_share: float, text_col: str):
     judge = _predict(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         at = {x: i for i, x in enumerate(model.langs)}
         for batch in batches:
-            found = pa.Table.from_batches(judge(iter([pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["id", "text"])])))
+            found = pa.Table.from_batches(judge(iter([pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col)], ["id", "text"])])))
             if found.num_rows:
                 known = pc.and_(pc.not_equal(found["lang_pred"], UNKNOWN), pc.greater_equal(found["score"], min_score)).to_numpy()
                 if min_share > 0 and model.langs:
                     lang = np.array([at.get(x, 0) for x in found["lang_pred"].to_pylist()], np.int64)
-                    known = known & (model.shares(*letter_words(batch.column("text")), lang) >= min_share)
+                    known = known & (model.shares(*letter_words(batch.column(text_col)), lang) >= min_share)
                 yield batch.filter(pa.array(known))
 
     return run
@@ -299,8 +299,7 @@ def keep_known(docs: DataFrame, model: Model, *, min_score: float = 0.0, min_sha
     ``min_score`` at least, which goes to 1 as a text grows, and whose n-grams
     are typical of it to ``min_share`` of the training level, at any length."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs if text_col == "text" else docs.withColumn("text", F.col(text_col))
-    return rows.mapInArrow(_keep(shared, min_score, min_share), rows.schema).select(*docs.columns)
+    return docs.mapInArrow(_keep(shared, min_score, min_share, text_col), docs.schema)
 
 
 def is_held_out(id_col: str) -> Column:

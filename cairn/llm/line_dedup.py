@@ -270,7 +270,8 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
             return out
 
         out = joined.mapInArrow(_rewrite(flags, digest), schema)
-    return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    own = [] if id_col in carry else [F.col("id").alias(id_col)]
+    return out.select(*own, "n_lines", "n_dropped", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

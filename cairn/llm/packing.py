@@ -10,12 +10,16 @@ clusters, and one of sources for each time that a source may occur.
 
 Items are spread by hash over shards of about ``shard_items``, packed on their
 own: any number of documents packs in parallel, a hot source or cluster is
-spread evenly, and what a shard loses is less than one open bin.
+spread evenly, and what a shard loses is less than one open bin. The hash takes
+an item's values and the count of it among equal items, so that partitions and
+reruns don't change the result.
 
 Defined cases: a document of size 0 (null or blank text) takes no room and no
 bin: bin_id is null. A null source is a source of its own; a null cluster
-conflicts with nothing. Repeated rows are items of their own. Other columns are
-ignored. An empty table gives no rows.
+conflicts with nothing. Repeated rows are items of their own. Texts of any
+length are cut into full sequences. Items of equal size go by source, then
+cluster and id; equal bins by age. Other columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from bisect import insort
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import stored, table, text_bytes, word_count
+from . import simhash
+from .base import Neutral, join_by_key, numbered, occurrences, stored, table, text_bytes, word_count
 
 CAPACITY = 2048
 SOURCE_LIMIT = 4
@@ -94,7 +100,7 @@ def _pack(capacity: int, source_limit: int):
         for r in rows:
             by_shard.setdefault(r[0], []).append(r[1:])
         for shard, own in by_shard.items():
-            key = lambda r: (-(r[1] % capacity), r[1], r[0] is None, r[0] or 0, str(r[2]), r[3] or 0)
+            key = lambda r: (-(r[1] % capacity), r[1], r[2] is None, r[2] or "", r[3] is None, r[3] or 0, r[0] is None, r[0] or 0)
             own.sort(key=key)
             rest = [(size % capacity, source, cluster) for _, size, source, cluster in own if size % capacity]
             placed = iter(best_fit(rest, capacity, source_limit))
@@ -119,19 +125,48 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, source_limit: int = SOUR
     """Place the rows of ``items`` (doc, size, source, cluster): a row for each
     piece with doc, piece, first_word (in the document), n_words, bin_id and
     start (in the bin)."""
-    items = stored(items.select(F.col("doc").cast("long"), F.col("size").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long")), "items")
+    known = ["doc", "size", "source", "cluster"]
+    items = stored(numbered(items.select(F.col("doc").cast("long"), F.col("size").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"))), "items")
     n = int(items.count() // shard_items + 1)
+    items = occurrences(items, known)
     # a row's occurrence spreads repeated rows as well
-    spread = F.pmod(F.xxhash64("doc", "size", "cluster", "source", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    spread = F.pmod(F.xxhash64(*known, "occ"), F.lit(n)).cast("int")
     return items.select(spread.alias("shard"), "doc", "size", "source", "cluster").repartitionById(n, F.col("shard")).mapInArrow(_pack(capacity, source_limit), "doc long, piece long, first_word long, n_words long, bin_id long, start long")
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """Pack by words; documents of the same text are one duplicate cluster."""
-    text = text_bytes(text_col)
-    items = docs.select(F.col(id_col).alias("doc"), word_count(text_col).alias("size"), F.col(source_col).alias("source"), F.xxhash64(text).alias("cluster"))
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", near: bool = False, **options) -> DataFrame:
+    """Pack by words. Documents of the same text are one duplicate cluster, or,
+    with ``near``, those of one component of near-duplicates."""
+    n = Neutral(docs)
+    text, size, source = n[text_col], word_count(n[text_col]).alias("size"), F.col(n[source_col]).alias("source")
+    if not near:
+        items = n.df.select(F.col(n[id_col]).alias("doc"), size, source, F.xxhash64(text_bytes(text)).alias("cluster"))
+    else:
+        items = near_items(n.df.select(F.col(n[id_col]).cast("long").alias("doc"), F.col(text).alias("text"), source))
     return pack(items, **options).withColumnRenamed("doc", id_col)
 
 
+def near_items(docs: DataFrame) -> DataFrame:
+    """Items of (doc, text, source) whose cluster is the component of their
+    fingerprint, by its least fingerprint."""
+    width = 2
+    schema = "doc long, source string, size long, fp long"
+    rows = docs.select("doc", F.col("source").cast("string"), word_count("text").alias("size"), text_bytes("text").alias("text"))
+    sig = stored(rows.mapInArrow(_with_fingerprint(width), schema), "fingerprints")
+    fps = stored(sig.groupBy("fp").agg(F.count("*").alias("n")), "fps")
+    roots = simhash.components(stored(simhash.links(fps), "links"))
+    place = stored(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("cluster")), "clusters")
+    return join_by_key(sig, place, "fp", "n", sig.count()).select("doc", "size", "source", "cluster")
+
+
+def _with_fingerprint(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([simhash.fingerprint(t, width) for t in batch.column(3).to_pylist()], np.uint64)
+            yield pa.record_batch([*batch.columns[:3], pa.array(fp.view(np.int64))], ["doc", "source", "size", "fp"])
+
+    return run
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), near=True)

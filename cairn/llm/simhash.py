@@ -12,13 +12,17 @@ and 3, and one segment is equal (its bits are the key). So all links at 6 bits
 or fewer share a key; the join on keys verifies the distance.
 
 All of this runs over distinct fingerprints with their counts, so copies are
-never expanded. Components grow by alternating large-star and small-star
-steps, each written to the shared folder.
+never expanded. Keys meet by one shuffle and a sort; fingerprints of a key are
+compared in numpy. A key with more than GROUP of them is only cut in blocks
+there, and each pair of blocks is compared in a group of its own. Components
+grow by alternating large-star and small-star steps, each written to the shared
+folder; a hub's edges meet its least neighbour by a broadcast.
 
 Defined cases: a null or blank text has fingerprint zero and links like any
 other. Rows repeat as documents of their own. A component's id is the smallest
-non-null doc_id in it, null if there is none. Other columns are ignored. An
-empty table gives an empty result.
+non-null doc_id in it, null if there is none. A bit set in exactly half of the
+shingles is 0. Texts of any length count whole; those of one word have one
+shingle. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import join_by_key, sized, stored, table, text_bytes
+from .base import Neutral, join_by_key, numbered, sized, stored, table, text_bytes
 
 MAX_BITS = 6
 SEED = 42
+#: Fingerprints of a key that one task compares with each other.
+GROUP = 4096
 #: (first bit, width) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -130,16 +136,18 @@ def fingerprint(text: bytes, width: int = 2) -> int:
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc", "th", "fp"])
+            fp = np.array([fingerprint(t, width) for t in batch.column(3).to_pylist()], np.uint64)
+            yield pa.record_batch([*batch.columns[:3], pa.array(fp.view(np.int64))], ["doc", "row", "th", "fp"])
 
     return run
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
-    """doc, th (64-bit hash of the text) and fp (the fingerprint's bits)."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, row_col: str | None = None) -> DataFrame:
+    """doc, row (``row_col``, or null), th (64-bit hash of the text) and fp (the
+    fingerprint's bits)."""
     text = text_bytes(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_fingerprints(width), "doc long, th long, fp long")
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), row.alias("row"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_fingerprints(width), "doc long, row long, th long, fp long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +158,117 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys[i : i + 100_000]), pa.array(fp[rows[i : i + 100_000]])], ["key", "fp"])
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def _near(key: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
+    """Pairs (a, b) of close fingerprints with equal keys; both columns are
+    sorted by key, then fingerprint."""
+    out, d = [], 1
+    i = np.flatnonzero(key[1:] == key[:-1])
+    while len(i):
+        hit = i[np.bitwise_count((fp[i] ^ fp[i + d]).view(np.uint64)) <= max_bits]
+        out.append(np.stack([fp[hit], fp[hit + d]], axis=1))
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def _compare(max_bits: int, group: int):
+    """Of rows (key, fp), sorted: pairs (a, b) of keys that a task compares, and
+    of longer ones the fingerprints (key, block, a)."""
+
+    def pairs(found: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(found), pa.int64())
+        return pa.record_batch([none, none, pa.array(found[:, 0]), pa.array(found[:, 1])], ["key", "block", "a", "b"])
+
+    def blocks(key: int, fp: np.ndarray, before: int) -> pa.RecordBatch:
+        at = (before + np.arange(len(fp))) // group
+        return pa.record_batch([pa.array(np.full(len(fp), key)), pa.array(at), pa.array(fp), pa.nulls(len(fp), pa.int64())], ["key", "block", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        long, sent = None, 0  # a key that goes in blocks, and what went
+        for batch in sized(batches, 0, 1 << 19):
+            key, fp = np.append(key, batch.column(0).to_numpy()), np.append(fp, batch.column(1).to_numpy())
+            if long is not None:
+                n = int(np.searchsorted(key, long, side="right"))
+                yield blocks(long, fp[:n], sent)
+                sent += n
+                key, fp = key[n:], fp[n:]
+                if not len(key):
+                    continue
+                long = None
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(starts, len(key)))
+            for s, n in zip(starts[sizes > group].tolist(), sizes[sizes > group].tolist()):
+                yield blocks(int(key[s]), fp[s : s + n], 0)
+                if s + n == len(key):
+                    long, sent = int(key[s]), n
+            short = np.repeat(sizes <= group, sizes)
+            end = len(key) if long is not None else int(starts[-1])  # the last key may go on
+            short[end:] = False
+            yield pairs(_near(key[short], fp[short], max_bits))
+            key, fp = key[end:], fp[end:]
+        if len(key):
+            yield pairs(_near(key, fp, max_bits))
+
+    return run
+
+
+def _cross(max_bits: int, group: int):
+    """Of rows (key, lo, hi, block, fp), sorted: close pairs between the blocks
+    ``lo`` and ``hi`` of a key."""
+
+    def compare(rows: list[np.ndarray]) -> np.ndarray:
+        lo, hi, block, fp = (np.concatenate(x) for x in zip(*rows))
+        a, b = fp[block == lo], fp[block == hi]
+        out = []
+        for i in range(0, len(a), 512):
+            x, y = np.nonzero(np.bitwise_count((a[i : i + 512, None] ^ b[None, :]).view(np.uint64)) <= max_bits)
+            out.append(np.stack([a[x + i], b[y]], axis=1))
+        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        both = both[both[:, 0] != both[:, 1]]
+        return np.stack([both.min(axis=1), both.max(axis=1)], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out():
+            found = np.unique(compare(held), axis=0)
+            return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            new = np.append(True, (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) if batch.num_rows else np.zeros(0, bool)
+            starts = np.flatnonzero(new)
+            for s, e in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist()):
+                mark = tuple(int(c[s]) for c in cols[:3])
+                if mark != now and held:
+                    yield out()
+                    held.clear()
+                now = mark
+                held.append([c[s:e] for c in cols[1:]])
+        if held:
+            yield out()
+
+    return run
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column ``fp``) that differ in
     ``max_bits`` (6 at most) bits or fewer, each once."""
     if max_bits > MAX_BITS:
         raise ValueError(f"max_bits is {MAX_BITS} at most")
-    keyed = fps.select("fp").mapInArrow(_keys, "key long, fp long")
-    a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return a.hint("merge").join(b, "key").where(near).select("a", "b").distinct()
+    keyed = fps.select("fp").mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    found = stored(keyed.mapInArrow(_compare(max_bits, group), "key long, block long, a long, b long"), "near")
+    pairs = found.where("key IS NULL").select("a", "b")
+    long = found.where("key IS NOT NULL").select("key", "block", F.col("a").alias("fp"))
+    if not long.isEmpty():
+        sizes = long.groupBy("key").agg(F.max("block").alias("last"))
+        each = long.join(sizes, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+        each = each.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
+        each = each.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        pairs = pairs.unionByName(each.mapInArrow(_cross(max_bits, group), "a long, b long"))
+    return pairs.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,48 +283,51 @@ def components(edges: DataFrame) -> DataFrame:
     while (state := sign(now)) != was and state[0]:
         was = state
         # large star: each neighbour above a node goes to the least around it
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        up = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = now.unionByName(up).groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
+        least = least.select("u", F.least("m", "u").alias("m"), "n")
+        large = stored(join_by_key(up, least, "u", "n", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         # small star: each node and those below it go to the least of them
-        low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = low.select("u", F.col("m").alias("v")).unionByName(low.where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        low = join_by_key(large, least, "u", "n", state[0])
+        small = least.select("u", F.col("m").alias("v")).unionByName(low.where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = stored(small.distinct(), "edges")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
-    """A row for each document: id, th, fp, n_near (others linked directly),
-    component_id (smallest id reachable) and keep (one row of each component,
-    the smallest by id and text hash, ids before null)."""
-    sig = stored(signatures(docs, id_col, text_col, width), "signatures")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, width: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
+    """A row for each document: id, row (``row_col``, or null), fp, n_near
+    (others linked directly), component_id (smallest id reachable) and keep (one
+    row of each component, the smallest by id, text hash and row, ids before null)."""
+    sig = stored(signatures(docs, id_col, text_col, width, row_col), "signatures")
     total = sig.count()
-    first = F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col("th")))
+    first = F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col("th"), F.col("row")))
     fps = stored(sig.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first")), "fingerprints")
     pairs = stored(links(fps, max_bits), "links")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(fps.select(F.col("fp").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked"))
     comp = components(pairs)
-    owner = comp.join(fps, comp.node == fps.fp).groupBy("root").agg(F.min("first").alias("winner"))
-    place = comp.join(owner, "root").select("node", "winner")
+    owner = comp.join(fps, comp.node == fps.fp).groupBy("root").agg(F.min("first").alias("winner"), F.count("*").alias("__m"))
+    place = join_by_key(comp, stored(owner, "owners"), "root", "__m", total).select("node", "winner")
     facts = (
         fps.join(near.withColumnRenamed("a", "fp"), "fp", "left")
         .join(place.withColumnRenamed("node", "fp"), "fp", "left")
         .select("fp", "n", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_near"), F.coalesce("winner", "first").alias("winner"))
     )
     out = join_by_key(sig, stored(facts, "facts"), "fp", "n", total)
-    keep = F.col("doc").eqNullSafe(F.col("winner.doc")) & (F.col("th") == F.col("winner.th"))
-    return out.select(F.col("doc").alias(id_col), "th", "fp", "n_near", F.col("winner.doc").alias("component_id"), keep.alias("keep"))
+    keep = F.col("doc").eqNullSafe(F.col("winner.doc")) & (F.col("th") == F.col("winner.th")) & F.col("row").eqNullSafe(F.col("winner.row"))
+    return out.select(F.col("doc").alias(id_col), "row", "fp", "n_near", F.col("winner.doc").alias("component_id"), keep.alias("keep"))
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: one row of each component, with
-    all columns. Rows that repeat with the same id and text leave one."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("keep").select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
-    row = docs.withColumn("__x", F.xxhash64(text_bytes(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__th"))
-    return row.join(found, same, "left_semi").dropDuplicates([id_col, "__x"]).drop("__x")
+    all columns. Rows are numbered and written first, so that of equal rows one
+    is named, and no join key is hot."""
+    n = Neutral(docs)
+    rows = stored(numbered(n.df), "rows")
+    found = near_duplicates(rows, id_col=n[id_col], text_col=n[text_col], row_col="row").where("keep").select("row")
+    return n.restore(rows.join(found, "row", "left_semi"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,3 +27,14 @@ def with_clashes(df):
     for c in CLASHES:
         df = df.withColumn(c, F.lit("x"))
     return df
+
+
+#: Names that stages use inside, or that need quoting.
+ODD = ("a.b", "__id", "__x", "__pos", "row", "col0_", "pos", "blank_", "kept", "A`b")
+
+
+def with_odd(df):
+    """``df`` with a column of each odd name that holds the id as text."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.col("doc_id").cast("string").alias(c) for c in ODD])

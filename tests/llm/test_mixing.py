@@ -75,12 +75,47 @@ def test_positions_invert_the_demand(spark):
 
 
 def test_mixed_stream(spark, rows):
-    unique = [d for d in rows if d[0] is not None and d != rows[3]]
-    df = with_clashes(frame(spark, unique))
-    plan = {x.doc: x.copies for x in M.plan(df).collect()}
+    df = with_clashes(frame(spark, rows))
+    plan = Counter()
+    for x in M.plan(df).collect():
+        plan[x.doc, x.source, x.th] += x.copies
     out = M.mixed(df)
     assert out.columns == df.columns
-    assert Counter(x.doc_id for x in out.collect()) == Counter({d: c for d, c in plan.items() if c})
+    assert Counter(tuple(x) for x in out.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))).collect()) == +plan
+
+
+def test_each_row_has_its_own_copies(spark):
+    """The same id and text in two sources, and many rows that are equal."""
+    rows = [doc(1, "a b c", source="a"), doc(1, "a b c", source="b")] + [doc(None, "x y", source="b")] * 40 + [doc(2 + i, "p q r", source="a") for i in range(9)]
+    got = M.plan(frame(spark, rows, parts=5)).collect()
+    want = Counter()
+    for x in got:
+        want[x.doc, x.source] += x.copies
+    assert Counter((x.doc_id, x.source) for x in M.mixed(frame(spark, rows, parts=2)).collect()) == +want
+    assert len({x.start for x in got if x.doc is None}) == 40
+    key = lambda x: (str(x.doc), x.source, x.start, x.copies, x.position or -1)
+    assert sorted(map(key, got)) == sorted(map(key, M.plan(frame(spark, rows, parts=1)).collect()))
+
+
+def test_query(spark, rows, tmp_path):
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = M.op1_mixing(spark, str(tmp_path))
+    assert got.dtypes[:5] == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    assert Counter(x.doc_id for x in got.collect()) == Counter(i for i, *_ in rows) and all(0 <= x.taken <= 3 * x.size for x in got.collect())
+
+
+def test_targets_of_many_sources(spark):
+    """Sources that reach their caps one after another."""
+    sizes = {f"s{i:04d}": 1 + (i * i) % 997 for i in range(400)}
+    src = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    got = {x.source: x.target for x in M.targets(src).collect()}
+    want = brute_targets(sizes)
+    assert all(got[s] == pytest.approx(want[s]) for s in sizes)
+
+
+def test_long_text(spark):
+    (x,) = M.plan(frame(spark, [doc(1, "word " * 400_000)])).collect()
+    assert (x.size, x.target, x.taken) == (400_000, 400_000.0, 400_000)
 
 
 def test_edges(spark):

@@ -72,3 +72,19 @@ def test_documents(spark):
     twice = P.pack_documents(frame(spark, [rows[7]] * 3), capacity=100).collect()
     assert len({x.bin_id for x in twice}) == 3
     assert P.pack_documents(frame(spark, [])).count() == 0
+
+
+def test_partitions_do_not_matter(spark):
+    r = random.Random(3)
+    rows = [doc(i, " ".join(f"w{i}" for _ in range(r.randint(0, 70))), source=r.choice("ab")) for i in range(200)] + [doc(None, "same row")] * 30
+    one, two = (sorted(map(str, P.pack_documents(frame(spark, rows, parts=n), capacity=32, shard_items=20).collect())) for n in (3, 5))
+    assert one == two
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    base = " ".join(f"word{i} more{i * 7}" for i in range(60))
+    rows = [doc(i, base + (" end" if i % 2 else "")) for i in range(10)] + [doc(100 + i, f"short text {i} {i * i}") for i in range(20)] + [doc(200, None)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = P.op8_best_fit_packing(spark, str(tmp_path)).collect()
+    assert Counter(x.doc_id for x in got) == Counter(i for i, *_ in rows)
+    assert len({x.bin_id for x in got if x.doc_id < 100}) == 10

@@ -6,7 +6,7 @@ import pytest
 
 from cairn.llm import mixing, stages
 
-from .helpers import doc, frame, with_clashes, words
+from .helpers import ODD, doc, frame, with_clashes, with_odd, words
 from .test_line_dedup import brute as line_brute
 from .test_packing import check
 from .test_simhash import brute as near_brute
@@ -63,10 +63,30 @@ def test_stages_against_brute_force(spark, rows):
     assert total == Counter({d[0]: 0 for d in stream}) + Counter({i: n * len(t.split()) for i, n in Counter(d[0] for d in stream).items() for t in [dict((d[0], d[1]) for d in stream)[i]]})
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_odd_columns_and_repeated_rows(spark, rows, name, stage):
+    """Columns of any name travel with their rows, null ids and repeated rows
+    are documents like others."""
+    more = [doc(None, rows[2][1], "en", "a"), doc(None, rows[2][1], "en", "a"), doc(7, rows[7][1], "en", "a"), doc(7, rows[7][1], "en", "b"), doc(None, None, None, None)]
+    docs = with_odd(frame(spark, rows + more))
+    out = stage(spark, docs, "")
+    if name == "best_fit_packing":
+        assert out.count() >= docs.count()
+        return
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = out.collect()
+    assert got and all(set(x[5:]) == {None if x[0] is None else str(x[0])} and len(x) == 5 + len(ODD) for x in got)
+    assert sum(x[0] is None for x in got) > 0 or name == "simhash_near_dedup"
+    assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_run(spark, rows, tmp_path):
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() > 0 and out.where("n_words > 2048").count() == 0
+    docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str) and out.count() > 10
 
 
 def test_empty_tables(spark):

@@ -86,11 +86,35 @@ def test_links_and_components(spark):
     got = {(x.a, x.b) for x in S.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
     want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 6}
     assert got == want
+    # keys with more fingerprints than one task compares
+    few = S.links(spark.createDataFrame([(f,) for f in signed], "fp long").repartition(2), group=2)
+    assert Counter((x.a, x.b) for x in few.collect()) == Counter(want)
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 70) if i != 30], "a long, b long")
     roots = {x.node: x.root for x in S.components(chain).collect()}
     assert roots == {i: 0 if i <= 30 else 31 for i in range(71)}
 
 
+def test_hot_keys_and_hubs(spark):
+    """Fingerprints that all share a key are compared in blocks; a hub's edges
+    meet its root by broadcast."""
+    near = [1 << i | 1 << j for i in range(64) for j in range(i)]
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in near)
+    got = S.links(spark.createDataFrame([(f,) for f in signed], "fp long"), max_bits=2, group=50).collect()
+    want = {(a, b) for i, b in enumerate(signed) for a in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
+    hub = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(2999, 5000), (6000, 6001)], "a long, b long")
+    roots = {x.node: x.root for x in S.components(hub).collect()}
+    assert set(map(roots.get, [*range(3000), 5000])) == {0} and roots[6001] == roots[6000] == 6000
+
+
+def test_query(spark, tmp_path):
+    rows = [doc(i, t) for i, t in enumerate(["a b c d e f g", "A B c d e f g", None, "", "other words stand here", "one"])]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = S.op7_simhash(spark, str(tmp_path)).collect()
+    assert got[0].asDict().keys() == {"doc_id", "fingerprint", "n_near", "component_id"}
+    assert sorted((x.doc_id, int(x.fingerprint, 16), x.n_near, x.component_id) for x in got) == sorted(brute(rows)) and all(len(x.fingerprint) == 16 for x in got)
+
+
 def test_empty(spark):
     assert S.near_duplicates(frame(spark, [])).count() == 0
     assert S.keep_one_of_each(frame(spark, [])).count() == 0
