@@ -57,24 +57,38 @@ def test_cells_bound_all_products():
     assert V.Scan(np.array([1]), np.array([[2]]), one).middles(one.encode(np.array([[5]]))).tolist() == [[20]]
 
 
-def test_bounds_prune():
-    """Far fewer pairs than all are candidates, and all results are among them."""
-    import types
+@pytest.mark.parametrize("bits", [1, 4, 6])
+def test_repeated_rows_and_copies(spark, bits):
+    """Rows of one id and vector are candidates of their own; a vector that
+    thousands of rows share doesn't make thousands of candidates."""
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(8)], 0) for i in range(100)]
+    rows += [rows[5], rows[5], rows[10], (5, rows[6][1], 0)]  # repeated, and another vector of the id
+    rows += [(1000 + i, rows[20][1], 0) for i in range(2000)] + [(3000, rows[7][1], 0)] * 9
+    reads = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = V.top_k(df, F.col("vec_id") % 50 == 0, bits=bits, reads=reads).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, 50)
+    assert reads.value < 46 * 150  # 46 distinct queries, 2115 rows
 
+
+def test_query(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 0.2) for _ in range(8)], 0) for i in range(120)] + [(None, [1.0] * 8, 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = V.op3_vector_top_k(spark, str(tmp_path))
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 50)
+
+
+def test_reads_stop_when_certain(spark):
+    """Cells hold several values each, and few exact vectors are read."""
     r = np.random.default_rng(2)
-    m = r.integers(-60, 60, (3000, 16))
-    ids, q = np.arange(0, 3000, 100), m[::100]
-    cells = V.Cells(m.min(axis=0), m.max(axis=0), bits=5)
-    scan = V.Scan(ids, q, cells)
-    codes = cells.encode(m)
-    batch = V.pa.record_batch([V.pa.array(np.arange(3000)), V.pa.array([c.tobytes() for c in codes], V.pa.binary())], ["vec_id", "cells"])
-    (found,) = V._thresholds(types.SimpleNamespace(value=scan), 5, 16)(iter([batch]))
-    least = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(least, found.column(0).to_numpy(), found.column(1).to_numpy())
-    got = V._candidates(types.SimpleNamespace(value=(scan, least)), 16)(iter([batch]))
-    pairs = {(a, b) for x in got for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
-    score = q @ m.T
-    for i in range(len(ids)):
-        others = [j for j in range(3000) if j != ids[i]]
-        assert {(i, j) for j in sorted(others, key=lambda j: (-score[i, j], j))[:5]} <= pairs
-    assert len(pairs) < len(ids) * 300
+    m = r.normal(0, 0.25, (3000, 16)).astype(np.float32)
+    rows = [(i, m[i].tolist(), 0) for i in range(3000)]
+    reads = spark.sparkContext.accumulator(0)
+    got = V.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 100 == 0, bits=5, reads=reads).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, 100)
+    v = np.floor(256 * m.astype(np.float64)).astype(np.int64)
+    assert (V.Cells(v.min(axis=0), v.max(axis=0), 5).widths > 0).all()
+    assert 30 * 5 <= reads.value < 30 * 3000 / 10
