@@ -128,6 +128,14 @@ def occurrences(rows: DataFrame, by: list[str]) -> DataFrame:
     return found.withColumn("occ", F.coalesce("__before", F.lit(0)).cast("long") + own - 1).drop("__g", "__p", "__before")
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` reads, as its plan knows them; None if any
+    of its sources doesn't say."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(sizes) if sizes and max(sizes) < 1 << 62 else None
+
+
 def word_count(col: str | Column) -> Column:
     """Number of words in a text column; 0 for null."""
     c = F.col(col) if isinstance(col, str) else col

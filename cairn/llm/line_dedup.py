@@ -6,12 +6,20 @@ segments merge by ``twice = t1 | t2 | (o1 & o2)``. The second filter, of bounded
 size, goes to all tasks: only lines that it knows can be repeats, so only they
 are counted exactly (by their whole key) and, if asked, have their first
 occurrence chosen. A filter too full to tell lines apart only makes more lines
-be counted; results never depend on it.
+be counted; results never depend on it. Its size follows from the bytes of the
+input's files, without a pass over them.
+
+The keys to drop are broadcast while they are few. If they aren't, the second
+filter's suspects among the lines shuffle to them, hot keys by broadcast, and
+the numbers of the lines that go are joined to their documents.
 
 Defined cases: a null or empty text is one empty line. Each row is a document
 of its own, also if rows repeat. A line's key is the line without white space
-(U+0020, U+0009 to U+000D) at its ends and with A-Z in lower case. Other columns
-are ignored, so their names can't clash. An empty table gives an empty result.
+(U+0020, U+0009 to U+000D) at its ends and with A-Z in lower case. Texts and
+lines of any length are taken whole; bytes that are no UTF-8 stay as they are.
+Of first occurrences in rows of equal id and line number each one is kept. Other
+columns are ignored or carried, so their names can't clash. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored, text_bytes
+from .base import input_bytes, join_by_key, stored, text_bytes
 
 SEGMENT_BITS = 1 << 20
 PROBES = 3
+BYTES_A_BIT = 6
 #: Map-side counts are sent on once they hold so many keys.
 FLUSH_KEYS = 100_000
 
@@ -112,10 +121,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeat_filter(texts: DataFrame, min_chars: int, max_bits: int) -> np.ndarray:
     """The second filter (``max_bits / 8`` bytes at most), of a frame whose
-    first column is ``text`` as bytes."""
-    lines = texts.agg(F.sum(F.length("text") - F.length(F.translate(F.col("text").cast("string"), "\n", "")) + 1)).first()[0] or 0
+    first column is ``text`` as bytes. It has a bit for each BYTES_A_BIT bytes
+    of input, which is about 12 bits a line of common length."""
+    size = input_bytes(texts)
+    if size is None:  # not from files
+        size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = 1 << 16
-    while bits < 12 * lines and bits < max_bits:
+    while bits * BYTES_A_BIT < size and bits < max_bits:
         bits *= 2
     parts = texts.mapInArrow(_fill(bits, min_chars), "seg int, once binary, twice binary")
     rows = parts.repartition("seg").mapInArrow(_merge, "seg int, twice binary").collect()
@@ -175,17 +187,34 @@ def _count(shared, min_chars: int, first: bool):
     return run
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, max_bits: int = 1 << 29) -> DataFrame:
-    """Keys found in ``min_docs`` documents or more: key (bytes), n, and the
-    first occurrence by id and line (null unless ``keep_first``)."""
-    texts = docs.select(text_bytes(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
-    spark = docs.sparkSession
-    bloom = spark.sparkContext.broadcast(repeat_filter(texts, min_chars, max_bits))
+def repeated_lines(texts: DataFrame, bloom, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+    """Keys found in ``min_docs`` documents (text, id) or more: key (bytes), n,
+    and the first occurrence by id and line (null unless ``keep_first``)."""
     counted = texts.mapInArrow(_count(bloom, min_chars, keep_first), "key binary, n long, first_id long, first_line long")
     first = F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "first_line")))
     return counted.groupBy("key").agg(F.sum("n").alias("n"), first.alias("f")).where(F.col("n") >= min_docs).select("key", "n", "f.first_id", "f.first_line")
 
 
+def _emit(shared, min_chars: int):
+    """Rows (key, id, h, line) of the lines that the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, hs, ns = [], [], [], []
+            docs = [[line_key(x) for x in t.split(b"\n")] for t in batch.column(0).to_pylist()]
+            known = set(_suspects([k for k in set().union(*docs) if _long_enough(k, max(1, min_chars))], shared.value))
+            for own, doc, h in zip(docs, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for n, k in enumerate(own):
+                    if k in known:
+                        keys.append(k)
+                        ids.append(doc)
+                        hs.append(h)
+                        ns.append(n)
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], ["key", "id", "h", "line"])
+
+    return run
+
+
 def _rewrite(drop_lines, digest: bool):
     """``drop_lines(i, id, lines, batch)`` gives a flag for each line."""
 
@@ -200,8 +229,8 @@ def _rewrite(drop_lines, digest: bool):
                 body = b"\n".join(left)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
-                kept.append(hashlib.sha256(body).hexdigest() if digest else body.decode())
-            cols = [batch.column(1), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
+                kept.append(hashlib.sha256(body).hexdigest().encode() if digest else body)
+            cols = [batch.column(1), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())]
             names = ["id", "n_lines", "n_dropped", "kept"]
             for i in range(2, batch.num_columns):
                 if batch.schema.names[i] != "__gone":
@@ -221,16 +250,16 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     key stays. Rows with a null id never hold a first occurrence; if a key has
     no other rows, all its lines go.
 
-    The keys to drop are broadcast while they take ``broadcast_bytes`` at most;
-    beyond that they are joined to the suspected lines and only line numbers go
-    back to the documents.
+    The keys to drop are broadcast while they take ``broadcast_bytes`` at most.
     """
-    bad = stored(repeated_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars, keep_first=keep_first, max_bits=max_bits), "lines")
+    spark = docs.sparkSession
+    texts = docs.select(text_bytes(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
+    bloom = spark.sparkContext.broadcast(repeat_filter(texts, min_chars, max_bits))
+    bad = stored(repeated_lines(texts, bloom, min_docs=min_docs, min_chars=min_chars, keep_first=keep_first), "lines")
     size = bad.agg(F.sum(F.length("key") + 100)).first()[0] or 0
     texts = docs.select(text_bytes(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     extra = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    schema = "id long, n_lines long, n_dropped long, kept string" + extra
-    spark = docs.sparkSession
+    schema = "id long, n_lines long, n_dropped long, kept binary" + extra
     if size <= broadcast_bytes:
         known = spark.sparkContext.broadcast({bytes(r.key): (r.first_id, r.first_line) for r in bad.collect()})
 
@@ -243,25 +272,17 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
         out = texts.mapInArrow(_rewrite(flags, digest), schema)
     else:
-        def explode(batches):
-            for batch in batches:
-                keys, ids, hs, ns = [], [], [], []
-                for text, doc, h in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                    for n, line in enumerate(text.split(b"\n")):
-                        if _long_enough(k := line_key(line), max(1, min_chars)):
-                            keys.append(k)
-                            ids.append(doc)
-                            hs.append(h)
-                            ns.append(n)
-                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], ["key", "id", "h", "line"])
-
-        hashed = texts.withColumn("h", F.xxhash64("text"))
-        lines = hashed.select("text", "id", "h").mapInArrow(explode, "key binary, id long, h long, line long")
-        gone = lines.join(bad, "key")
+        # rows of equal id and text lose the same lines: one hash names them
+        hashed = texts.withColumn("h", F.xxhash64("id", "text"))
+        lines = hashed.select("text", "id", "h").mapInArrow(_emit(bloom, min_chars), "key binary, id long, h long, line long")
+        # a line that stands often in a document has more rows than "n" says; the bound then only is a little higher
+        total = bad.agg(F.sum("n")).first()[0] or 0
+        gone = join_by_key(lines, bad, "key", "n", total)
         if keep_first:
             gone = gone.where(~(F.col("id").eqNullSafe(F.col("first_id")) & F.col("line").eqNullSafe(F.col("first_line"))) | F.col("id").isNull())
-        gone = gone.groupBy("id", "h").agg(F.collect_set("line").alias("__gone")).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__gone")
-        joined = hashed.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left").drop("__id", "__h", "h")
+        gone = gone.groupBy("h", "line").agg(F.count("*").alias("n")).groupBy("h").agg(F.collect_list("line").alias("__gone"), F.max("n").alias("n"))
+        gone = stored(gone, "gone")
+        joined = join_by_key(hashed, gone, "h", "n", docs.count(), how="left").drop("h")
 
         def flags(i, doc, lines, batch):
             out = [False] * len(lines)
@@ -271,7 +292,7 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
         out = joined.mapInArrow(_rewrite(flags, digest), schema)
     own = [] if id_col in carry else [F.col("id").alias(id_col)]
-    return out.select(*own, "n_lines", "n_dropped", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select(*own, "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -282,18 +303,20 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
-  FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT r, doc_id, i, string_split(text, chr(10))[i] AS line
+  FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)
 ), keyed AS (
   SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ), bad AS (
-  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE b.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE b.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN bad b ON k.key = b.key
-GROUP BY doc_id
+GROUP BY r, doc_id
 """

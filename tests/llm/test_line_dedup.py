@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import line_dedup as L
 
@@ -47,6 +48,29 @@ def test_full_filter_and_flush(spark, rows, monkeypatch):
     assert sorted([tuple(r) for r in got], key=str) == brute(rows, 4)
 
 
+def test_only_suspects_shuffle(spark):
+    """Beyond the broadcast bound, lines found once aren't emitted."""
+    rows = [doc(i, "\n".join(["the same line"] + [f"own {i} {j}" for j in range(50)])) for i in range(40)]
+    texts = frame(spark, rows).selectExpr("cast(text as binary) text", "doc_id id", "0L h")
+    bloom = spark.sparkContext.broadcast(L.repeat_filter(texts, 1, 1 << 29))
+    out = texts.mapInArrow(L._emit(bloom, 1), "key binary, id long, h long, line long")
+    assert 40 <= out.count() < 40 + 2040 // 50 and out.where("key = cast('the same line' AS binary)").count() == 40
+
+
+def test_odd_bytes_long_texts_and_files(spark, tmp_path):
+    """Bytes that are no UTF-8 stay; a table from files is sized by them."""
+    path = str(tmp_path / "documents.parquet")
+    d = frame(spark, [doc(i, "Same\n" + "x" * 300_000 + str(i)) for i in range(12)] + [doc(99, None)])
+    d.withColumn("text", F.when(F.col("doc_id") == 3, F.expr("cast(concat(cast('same\n' AS binary), X'FFFE') AS string)")).otherwise(F.col("text"))).write.parquet(path)
+    assert L.input_bytes(spark.read.parquet(path)) > 0
+    got = {x.doc_id: x for x in L.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == 13 and got[3].kept_sha256 == hashlib.sha256(b"\xff\xfe").hexdigest()
+    assert got[1].kept_sha256 == hashlib.sha256(b"x" * 300_000 + b"1").hexdigest() and (got[1].n_lines, got[1].n_dropped) == (2, 1)
+    assert (got[99].n_lines, got[99].n_dropped) == (1, 0)
+    kept = L.drop_repeated_lines(spark.read.parquet(path)).where("doc_id = 3").selectExpr("hex(cast(kept as binary)) h").first()
+    assert kept.h == "FFFE"
+
+
 def test_segments_merge():
     r = random.Random(2)
     bits = 1 << 22
