@@ -8,14 +8,20 @@ text's score is the sum over its words, and the best language wins.
 Word counts cover all training rows: tasks count in bounded tables, and counts
 are summed by a shuffle. N-gram counts come from the word counts. The model
 keeps the most frequent words and n-grams of each language, as many as
-documented parameters say, so that its broadcast is bounded; what it leaves
-out falls back like any unseen word.
+documented parameters say: MODEL_WORDS and MODEL_NGRAMS, or fewer where there
+are so many languages that all of them would be more than MODEL_TERMS. What it
+leaves out falls back like any unseen word; no language is left out. Terms are
+kept as 64-bit hashes with an entry for each language that has them, at most
+MODEL_ENTRIES, so that the broadcast takes 16 bytes an entry at any size.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0,
-as is every text where there are no training rows. Null languages are never
-learned from. Ties go to the language that is first by code point. Rows repeat
-as documents of their own. Other columns are ignored. An empty table gives an
-empty result.
+as is every text where there are no training rows. A word of which no n-gram is
+known (the space at its ends is none) says the same of all languages; a text of
+such words alone ties. Null languages are never learned from. Ties go to the
+language that is first by code point. Rows repeat as documents of their own.
+Texts and words of any length count whole; bytes that are no UTF-8 are no
+letters. Other columns are ignored or carried. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,16 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import coded_words, sized, stored, table
+from .base import Neutral, coded_words, sized, stored, table, valid_text
 
 MAX_NGRAM = 4
-#: The model's bounds, for each language.
+#: The model's bounds: terms of a language (n-grams: of each length), kept
+#: (language, term) pairs, and pairs of kept terms with any language.
 MODEL_WORDS = 20_000
 MODEL_NGRAMS = 10_000
-MAX_LANGS = 200
+MODEL_TERMS = 2_000_000
+MODEL_ENTRIES = 4_000_000
 UNKNOWN = "und"
 #: Length of the n-grams whose share tells whether a text is in a language, and
 #: the part of a language's training n-grams that its typical ones make up.
@@ -92,6 +101,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(k):
                     keys = (keys << np.uint64(16)) | c[j : len(c) - k + 1 + j]
                 inside = word[: len(word) - k + 1] == word[k - 1 :]
+                if k == 1:
+                    inside &= chars != 32  # the padding
                 grams, back = np.unique(keys[inside], return_inverse=True)
                 sums = np.bincount(back, weights=weight[word[: len(word) - k + 1][inside]])
                 text = b"".join(int(g).to_bytes(2 * k, "big") for g in grams.tolist()).decode("utf-16-be", "surrogatepass")
@@ -106,7 +117,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ngrams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
+    padded = f" {word} " if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
@@ -121,149 +132,226 @@ def _top(counts: DataFrame, by: list[str], most: int) -> DataFrame:
     return best.drop("__r").join(totals, by)
 
 
-class Model:
-    """Log frequencies by language for words and n-grams: a row of ``logs`` for
-    each term. A row of ``typical`` says for an n-gram of ``common`` which
-    languages it is typical of, and ``level`` what part of each language's
-    training n-grams its typical ones make up."""
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], logs: np.ndarray, common: dict[str, int], typical: np.ndarray, level: np.ndarray):
-        self.langs, self.words, self.grams, self.logs = langs, words, grams, logs
-        self.common, self.typical, self.level = common, typical, level
 
-    def shares(self, offsets: np.ndarray, codes: np.ndarray, words: list[str], lang: np.ndarray) -> np.ndarray:
-        """Each text's share of n-grams typical of its language ``lang``, as a
-        part of what training texts have: about 1 for the language, whatever
-        the length. Takes what letter_words() returns."""
-        doc = np.repeat(np.arange(len(lang)), np.diff(offsets))
-        find, none = self.common.get, len(self.common)
-        k = SHARE_NGRAM
-        sizes = np.fromiter((len(w) + 3 - k if w else 0 for w in words), np.int64, len(words))
-        hits = np.zeros((len(words), len(self.langs)))
-        step = 2_000_000 // (len(self.langs) + 1) // 10 + 1
-        for i in range(0, len(words), step):
-            own = np.flatnonzero(sizes[i : i + step]) + i
-            if len(own):
-                flat = [find(p[j : j + k], none) for w in own.tolist() for p in [f" {words[w]} "] for j in range(len(p) - k + 1)]
-                hits[own] = np.add.reduceat(self.typical[flat], np.cumsum(sizes[own]) - sizes[own], axis=0, dtype=np.float64)
-        found = np.bincount(doc, weights=hits[codes, lang[doc]], minlength=len(lang))
-        return found / np.maximum(np.bincount(doc, weights=sizes[codes], minlength=len(lang)), 1) / self.level[lang]
-
-    def facts(self, words: list[str]) -> np.ndarray:
-        """Each word's score in each language, and at the end 1, or 0 where
-        nothing is known of the word."""
-        out = np.zeros((len(words), len(self.langs) + 1))
-        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
-        known = np.flatnonzero(at >= 0)
-        out[known, :-1] = self.logs[at[known]]
-        out[known, -1] = 1.0
-        rest = [i for i in np.flatnonzero(at < 0).tolist() if words[i]]
-        find = self.grams.get
-        for n in range(MAX_NGRAM, 0, -1):
-            flat: list[int] = []
-            starts, hit, left = [], [], []
-            for i in rest:
-                p = f" {words[i]} "
-                found = [g for k in range(len(p) - n + 1) if (g := find(p[k : k + n])) is not None]
-                if found:
-                    starts.append(len(flat))
-                    hit.append(i)
-                    flat += found
-                else:
-                    left.append(i)
-            if hit:
-                sizes = np.diff(np.append(starts, len(flat)))[:, None]
-                out[hit, :-1] = np.add.reduceat(self.logs[flat], starts, axis=0) / sizes
-                out[hit, -1] = 1.0
-            rest = left
-        return out
+def gram_keys(chars: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` characters in a row."""
+    out = np.zeros(max(0, len(chars) - n + 1), np.uint64)
+    for j in range(n):
+        out = out * _MIX + chars[j : len(out) + j].astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def grams_of(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all words as hashes, and the place of each one's word."""
+    chars, word = _padded(words)
+    keys = gram_keys(chars, n)
+    inside = word[: len(keys)] == word[len(word) - len(keys) :]
+    if n == 1:
+        inside &= chars != 32
+    return keys[inside], word[: len(keys)][inside]
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+
+
+def _typical_key(gram: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return (gram ^ (gram >> np.uint64(29))) * _MIX + lang.astype(np.uint64)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and which are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _spread(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of ``rows`` one after another, and their numbers."""
+    n = starts[rows + 1] - starts[rows]
+    ends = np.cumsum(n)
+    return np.repeat(starts[rows] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0), n
+
+
+def _pieces(words: list[str], which: np.ndarray, chars: int = 1_000_000) -> Iterator[np.ndarray]:
+    """``which``, cut where the words have so many characters."""
+    sizes = np.cumsum([len(words[i]) + 2 for i in which.tolist()]) // chars
+    yield from np.split(which, np.flatnonzero(np.diff(sizes)) + 1)
+
+
+class Model:
+    """For words (kind 0) and n-grams of each length (kinds 1 to MAX_NGRAM): the
+    sorted hashes of ``keys``, the first entry of each in ``starts``, and in
+    ``lang`` and ``more`` its languages and how much its log frequency there is
+    above ``low``, that of a term which the language lacks. ``typical`` has
+    hashes of (n-gram, language) for n-grams typical of it, and ``level`` says
+    what part of a language's training n-grams its typical ones make up."""
+
+    def __init__(self, langs: list[str], keys: list, starts: list, lang: list, more: list, low: np.ndarray, typical: np.ndarray, level: np.ndarray):
+        self.langs, self.keys, self.starts, self.lang, self.more = langs, keys, starts, lang, more
+        self.low, self.typical, self.level = low, typical, level
 
     def __getstate__(self):
-        return self.langs, self.words, self.grams, self.logs, self.common, self.typical, self.level
+        return self.langs, self.keys, self.starts, self.lang, self.more, self.low, self.typical, self.level
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-
-def _table(found: pa.Table) -> Model:
-    """The model of rows (term, gram, lang, n, total). A language that lacks a
-    term gets the logarithm of half a count."""
-    lang = found["lang"].combine_chunks().dictionary_encode()
-    langs = sorted(lang.dictionary.to_pylist())
-    at = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
-    gram = found["gram"].to_numpy(zero_copy_only=False)
-    terms = found["term"].to_pylist()
-    n, total = found["n"].to_numpy().astype(np.float64), found["total"].to_numpy().astype(np.float64)
-    kind = np.where(gram, np.fromiter(map(len, terms), np.int64, len(terms)), 0)
-    words: dict[str, int] = {}
-    grams: dict[str, int] = {}
-    row = np.array([(d := grams if g else words).setdefault(t, len(words) + len(grams)) for t, g in zip(terms, gram.tolist())], np.int64)
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for own in (self.keys, self.starts, self.lang, self.more, [self.low, self.typical, self.level]) for x in own)
+
+    def facts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The kind of each word's terms (-1: nothing is known of it), and its
+        entries: first places, languages and values above ``low``."""
+        n_lang = max(1, len(self.langs))
+        kind = np.full(len(words), -1, np.int64)
+        at, ok = _find(self.keys[0], word_keys(words))
+        ok &= np.fromiter(map(bool, words), bool, len(words))
+        known = np.flatnonzero(ok)
+        kind[known] = 0
+        flat, n = _spread(self.starts[0], at[known])
+        parts = [(np.repeat(known, n), self.lang[0][flat], self.more[0][flat])]
+        rest = np.array([i for i in np.flatnonzero(~ok).tolist() if words[i]], np.int64)
+        for piece in _pieces(words, rest) if len(rest) else ():
+            for k in range(MAX_NGRAM, 0, -1):
+                if not len(piece):
+                    break
+                grams, of = grams_of([words[i] for i in piece.tolist()], k)
+                at, ok = _find(self.keys[k], grams)
+                at, of = at[ok], of[ok]
+                hits = np.bincount(of, minlength=len(piece))
+                flat, n = _spread(self.starts[k], at)
+                pair, back = np.unique(np.repeat(of, n) * n_lang + self.lang[k][flat], return_inverse=True)
+                value = np.bincount(back, weights=self.more[k][flat] / hits[np.repeat(of, n)], minlength=len(pair))
+                parts.append((piece[pair // n_lang], pair % n_lang, value))
+                kind[piece[hits > 0]] = k
+                piece = piece[hits == 0]
+        word, lang, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(word, kind="stable")
+        starts = np.append(0, np.cumsum(np.bincount(word, minlength=len(words))))
+        return kind, starts, lang[order].astype(np.int64), value[order]
+
+    def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """The best language of each text (-1: none) and its score; and what
+        letter_words() says of the texts."""
+        offsets, codes, words = letter_words(texts)
+        n_lang, best, score = len(self.langs), np.full(len(texts), -1, np.int64), np.zeros(len(texts))
+        if n_lang and len(codes):
+            kind, starts, lang, value = self.facts(words)
+            real = np.fromiter(map(bool, words), bool, len(words))
+            step = max(1, 2_000_000 // n_lang)
+            for a in range(0, len(texts), step):
+                b = min(a + step, len(texts))
+                own = codes[offsets[a] : offsets[b]]
+                doc = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+                k = kind[own]
+                of_kind = np.bincount((doc * (MAX_NGRAM + 1) + k)[k >= 0], minlength=(b - a) * (MAX_NGRAM + 1)).reshape(b - a, -1)
+                total = (of_kind @ self.low).ravel()
+                for i in range(0, len(own), 500_000):
+                    flat, n = _spread(starts, own[i : i + 500_000])
+                    total += np.bincount(np.repeat(doc[i : i + 500_000], n) * n_lang + lang[flat], weights=value[flat], minlength=len(total))
+                total = total.reshape(b - a, n_lang)
+                first = total.argmax(axis=1)
+                found = 1 / np.exp(total - total[np.arange(b - a), first][:, None]).sum(axis=1)
+                has = np.bincount(doc[real[own]], minlength=b - a) > 0
+                best[a:b], score[a:b] = np.where(has, first, -1), np.where(has, found, 0.0)
+        return best, score, (offsets, codes, words)
+
+    def shares(self, said: tuple, lang: np.ndarray) -> np.ndarray:
+        """Each text's share of n-grams typical of its language ``lang``, as a
+        part of what training texts have: about 1 for the language, whatever
+        the length. Takes what judge() says of the texts."""
+        offsets, codes, words = said
+        doc, n_lang = np.repeat(np.arange(len(lang)), np.diff(offsets)), len(self.langs)
+        pair, back = np.unique(codes * n_lang + lang[doc], return_inverse=True)
+        hits, sizes = np.zeros(len(pair)), np.fromiter((len(words[i]) + 3 - SHARE_NGRAM if words[i] else 0 for i in (pair // n_lang).tolist()), np.float64, len(pair))
+        some = [words[i] for i in (pair // n_lang).tolist()]
+        real = np.flatnonzero(sizes > 0)
+        for piece in _pieces(some, real) if len(real) else ():
+            grams, of = grams_of([some[i] for i in piece.tolist()], SHARE_NGRAM)
+            _, ok = _find(self.typical, _typical_key(grams, (pair % n_lang)[piece][of]))
+            hits[piece] = np.bincount(of, weights=ok, minlength=len(piece))
+        found = np.bincount(doc, weights=hits[back], minlength=len(lang))
+        return found / np.maximum(np.bincount(doc, weights=sizes[back], minlength=len(lang)), 1) / self.level[lang]
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms as hashes."""
+    for batch in batches:
+        terms, kind = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        keys = np.zeros(len(terms), np.uint64)
+        for k in set(kind.tolist()):
+            own = np.flatnonzero(kind == k)
+            some = [terms[i] for i in own.tolist()]
+            keys[own] = word_keys(some) if k == 0 else gram_keys(np.frombuffer("".join(some).encode("utf-32-le"), np.uint32), k)[::k]
+        yield pa.record_batch([pa.array(keys.view(np.int64)), *batch.columns[1:]], ["key", *batch.schema.names[1:]])
+
+
+def _table(found: pa.Table, langs: list[str]) -> Model:
+    """The model of rows (key, kind, lang, n, total), in any order. A language
+    that lacks a term gets the logarithm of half a count."""
+    key, kind, lang, n, total = (found[c].to_numpy() for c in ("key", "kind", "lang", "n", "total"))
+    key = key.view(np.uint64)
     low = np.full((MAX_NGRAM + 1, len(langs)), -np.log(2.0))
-    low[kind, at] = -np.log(2.0 * total)
-    logs = np.zeros((len(words) + len(grams), len(langs)))
-    logs[row] = low[kind]
-    logs[row, at] = np.log(n / total)
+    low[kind, lang] = -np.log(2.0 * total)
+    keys, starts, of, more = [], [], [], []
+    for k in range(MAX_NGRAM + 1):
+        own = np.flatnonzero(kind == k)
+        own = own[np.lexsort((lang[own], key[own]))]
+        first = np.flatnonzero(np.append(True, np.diff(key[own]) != 0)) if len(own) else np.zeros(0, np.int64)
+        keys.append(key[own][first])
+        starts.append(np.append(first, len(own)))
+        of.append(lang[own].astype(np.int32))
+        more.append(np.log(n[own] / total[own]) - low[k, lang[own]])
     # the most frequent n-grams of a language, until they are TYPICAL of all
-    common: dict[str, int] = {}
-    cells: list[tuple[int, int]] = []
-    level = np.ones(len(langs))
+    level, typical = np.ones(len(langs)), []
+    own = np.flatnonzero(kind == SHARE_NGRAM)
+    own = own[np.lexsort((key[own], -n[own], lang[own]))]
+    ends = np.searchsorted(lang[own], np.arange(len(langs) + 1))
     for j in range(len(langs)):
-        own = np.flatnonzero((kind == SHARE_NGRAM) & (at == j))
-        own = own[np.lexsort((row[own], -n[own]))]
-        mass = np.cumsum(n[own] / total[own])
-        own = own[: int(np.searchsorted(mass, TYPICAL)) + 1]
-        if len(own):
-            level[j] = mass[len(own) - 1]
-        cells += [(common.setdefault(terms[i], len(common)), j) for i in own.tolist()]
-    typical = np.zeros((len(common) + 1, len(langs)), np.uint8)
-    if cells:
-        typical[tuple(np.array(cells).T)] = 1
-    return Model(langs, words, grams, logs, common, typical, level)
-
-
-def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", model_words: int = MODEL_WORDS, model_ngrams: int = MODEL_NGRAMS, max_langs: int = MAX_LANGS) -> Model:
-    """Learn from all rows of ``train`` whose language isn't null; of more than
-    ``max_langs`` languages, from those with the most words."""
-    rows = train.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+        some = own[ends[j] : ends[j + 1]]
+        mass = np.cumsum(n[some] / total[some])
+        some = some[: int(np.searchsorted(mass, TYPICAL)) + 1]
+        if len(some):
+            level[j] = mass[len(some) - 1]
+        typical.append(_typical_key(key[some], lang[some]))
+    return Model(langs, keys, starts, of, more, low, np.sort(np.concatenate(typical)) if typical else np.zeros(0, np.uint64), level)
+
+
+def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", model_words: int = MODEL_WORDS, model_ngrams: int = MODEL_NGRAMS) -> Model:
+    """Learn from all rows of ``train`` whose language isn't null."""
+    rows = train.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), valid_text(text_col).alias("text"))
     counts = stored(rows.mapInArrow(_count, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "lang").limit(max_langs)
-    counts = counts.join(F.broadcast(totals.select("lang")), "lang", "left_semi")
-    grams = counts.mapInArrow(_gram_counts, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("len", F.length("term"))
+    grams = counts.mapInArrow(_gram_counts, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("kind", F.length("term"))
     grams = stored(grams, "ngrams")
-    best = _top(counts, ["lang"], model_words).withColumn("gram", F.lit(False))
-    parts = _top(grams, ["lang", "len"], model_ngrams).drop("len").withColumn("gram", F.lit(True))
-    # a kept term's counts in all languages
-    kept = best.select("term", "gram").unionByName(parts.select("term", "gram")).distinct()
-    w = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("gram", F.lit(False))
-    g = grams.join(F.broadcast(grams.groupBy("lang", "len").agg(F.sum("n").alias("total"))), ["lang", "len"]).drop("len").withColumn("gram", F.lit(True))
-    found = w.unionByName(g).join(kept, ["term", "gram"], "left_semi")
-    return _table(found.select("term", "gram", "lang", "n", "total").toArrow())
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    each = max(1, MODEL_TERMS // (MAX_NGRAM + 1) // max(1, len(langs)))
+    model_words, model_ngrams = min(model_words, each), min(model_ngrams, each)
+    names = F.broadcast(train.sparkSession.createDataFrame([(x, i) for i, x in enumerate(langs)], "lang string, at int"))
+    while True:
+        best = _top(counts, ["lang"], model_words).select("term", F.lit(0).alias("kind"))
+        # a kept term's counts in all languages
+        kept = best.unionByName(_top(grams, ["lang", "kind"], model_ngrams).select("term", "kind")).distinct()
+        w = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("kind", F.lit(0))
+        g = grams.join(F.broadcast(grams.groupBy("lang", "kind").agg(F.sum("n").alias("total"))), ["lang", "kind"])
+        found = stored(w.unionByName(g).join(kept, ["term", "kind"], "left_semi").join(names, "lang").select("term", "kind", F.col("at").alias("lang"), "n", "total"), "model")
+        if model_words + model_ngrams <= 2 or found.count() <= MODEL_ENTRIES:
+            break
+        model_words, model_ngrams = -(-model_words // 2), -(-model_ngrams // 2)
+    return _table(found.mapInArrow(_with_keys, "key long, kind int, lang int, n long, total long").toArrow(), langs)
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        langs = model.langs
+        names = pa.array([*model.langs, UNKNOWN], pa.string())
         for batch in sized(batches, 1):
-            offsets, codes, words = letter_words(batch.column(1))
-            facts = model.facts(words)
-            step = 200_000 // (len(langs) + 1) + 1
-            totals = np.zeros((batch.num_rows, len(langs) + 1))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            for i in range(0, len(codes), step):
-                d = doc[i : i + step]
-                cut = np.flatnonzero(np.diff(d, prepend=-1))
-                totals[d[cut]] += np.add.reduceat(facts[codes[i : i + step]], cut, axis=0)
-            pred, score = [], []
-            for row in totals:
-                if not langs or row[-1] == 0:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                best = int(row[:-1].argmax())
-                pred.append(langs[best])
-                score.append(float(1 / np.exp(row[:-1] - row[best]).sum()))
-            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+            best, score, _ = model.judge(batch.column(1))
+            yield pa.record_batch([batch.column(0), names.take(pa.array(best % (len(model.langs) + 1))), pa.array(score)], ["id", "lang_pred", "score"])
 
     return run
 
@@ -272,24 +360,19 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """id, lang_pred and score: the probability of the language if all are
     equally frequent and words independent."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(shared), "id long, lang_pred string, score double")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), valid_text(text_col).alias("text")).mapInArrow(_predict(shared), "id long, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
-def _keep(shared, min_score: float, min_share: float, text_col: str):
-    judge = _predict(shared)
-
+def _keep(shared, min_score: float, min_share: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        at = {x: i for i, x in enumerate(model.langs)}
-        for batch in batches:
-            found = pa.Table.from_batches(judge(iter([pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col)], ["id", "text"])])))
-            if found.num_rows:
-                known = pc.and_(pc.not_equal(found["lang_pred"], UNKNOWN), pc.greater_equal(found["score"], min_score)).to_numpy()
-                if min_share > 0 and model.langs:
-                    lang = np.array([at.get(x, 0) for x in found["lang_pred"].to_pylist()], np.int64)
-                    known = known & (model.shares(*letter_words(batch.column(text_col)), lang) >= min_share)
-                yield batch.filter(pa.array(known))
+        for batch in sized(batches, width):
+            best, score, said = model.judge(batch.column(width))
+            known = (best >= 0) & (score >= min_score)
+            if min_share > 0 and model.langs:
+                known = known & (model.shares(said, np.maximum(best, 0)) >= min_share)
+            yield batch.select(range(width)).filter(pa.array(known))
 
     return run
 
@@ -299,7 +382,9 @@ def keep_known(docs: DataFrame, model: Model, *, min_score: float = 0.0, min_sha
     ``min_score`` at least, which goes to 1 as a text grows, and whose n-grams
     are typical of it to ``min_share`` of the training level, at any length."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(shared, min_score, min_share, text_col), docs.schema)
+    n = Neutral(docs)
+    rows = n.df.select("*", valid_text(n[text_col]).alias("valid_"))
+    return n.restore(rows.mapInArrow(_keep(shared, min_score, min_share, len(n.cols)), n.df.schema))
 
 
 def is_held_out(id_col: str) -> Column:

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import langid as L
 from cairn.llm import stages
@@ -46,7 +47,7 @@ def brute(train, texts, most_words, most_grams):
     out = []
     for t in texts:
         scores = {x: [s for w in runs(t) if (s := word(w, x)) is not None] for x in langs}
-        if not langs or not scores[langs[0]]:
+        if not langs or not runs(t):
             out.append(("und", 0.0))
             continue
         sums = {x: sum(v) for x, v in scores.items()}
@@ -82,6 +83,50 @@ def test_held_out_accuracy(spark):
     assert len(got) > 40 and sum(x.lang_pred == truth[x.doc_id] for x in got) / len(got) > 0.95
 
 
+def test_unseen_scripts_say_nothing(spark):
+    """The space at a word's ends doesn't make it known."""
+    r = random.Random(8)
+    model = L.fit(frame(spark, [doc(i, words(r, 20, a), x) for i in range(60) for x, a in (("aa", "abcd"), ("bb", "cdef"), ("cc", "ghij"))]))
+    texts = ["ภาษาไทย และ อื่นๆ", "Съешь ещё этих мягких булок", "天地玄黄 宇宙洪荒"]
+    got = {x.doc_id: x for x in L.predict(frame(spark, [doc(i, t * 50) for i, t in enumerate(texts)]), model).collect()}
+    assert all(x.lang_pred == "aa" and x.score < 0.4 for x in got.values())
+
+
+def test_many_languages(spark, monkeypatch):
+    """No language is left out, and the model stays small."""
+    r = random.Random(9)
+    kinds = {f"l{i:03d}": [words(r, 1, "abcdefghijklmnop", 7) for _ in range(30)] for i in range(500)}
+    rows = [doc(i, " ".join(r.choice(kinds[x]) for _ in range(25)), x) for i, x in enumerate([*kinds] * 2)]
+    model = L.fit(frame(spark, rows))
+    assert len(model.langs) == 500 and model.nbytes < 300e6
+    got = {x.doc_id: x.lang_pred for x in L.predict(frame(spark, rows), model).collect()}
+    assert sum(got[i] == x for i, _, x, *_ in rows) / len(rows) > 0.98
+    monkeypatch.setattr(L, "MODEL_TERMS", 500 * 5 * 4)
+    monkeypatch.setattr(L, "MODEL_ENTRIES", 60_000)
+    small = L.fit(frame(spark, rows))
+    assert len(small.langs) == 500 and sum(map(len, small.lang)) <= 60_000
+
+
+def test_query(spark, tmp_path):
+    r = random.Random(3)
+    rows = [doc(i, words(r, 20, "abcd" if i % 2 else "efgh"), "aa" if i % 2 else "bb") for i in range(80)] + [doc(90, None), doc(91, "1 2"), doc(None, "abcd")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = L.op10_language_id(spark, str(tmp_path)).collect()
+    import zlib
+
+    want = {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    assert len(got) == len(rows) and all(x.held_out == want[x.doc_id] and 0 <= x.score <= 1 for x in got)
+    train = [(t, x) for i, t, x, *_ in rows if not want[i]]
+    brutes = dict(zip((d[0] for d in rows), brute(train, [d[1] for d in rows], L.MODEL_WORDS, L.MODEL_NGRAMS)))
+    assert all(x.lang_pred == brutes[x.doc_id][0] and x.score == pytest.approx(brutes[x.doc_id][1], abs=1e-6) for x in got)
+
+
+def test_odd_bytes_and_long_texts(spark):
+    model = L.fit(frame(spark, [doc(i, "abc bcd", "aa") for i in range(9)] + [doc(20, "xyz yzx", "bb")]))
+    df = frame(spark, [doc(1, "abc"), doc(2, "abc bcd " * 200_000)]).withColumn("text", F.when(F.col("doc_id") == 1, F.expr("cast(concat(cast('abc ' AS binary), X'FF') AS string)")).otherwise(F.col("text")))
+    assert {x.lang_pred for x in L.predict(df, model).collect()} == {"aa"} and L.keep_known(df, model, min_share=0.5).count() == 2
+
+
 def test_no_training_rows(spark):
     df = frame(spark, [doc(1, "abc", None), doc(2, None, None)])
     assert {(x.lang_pred, x.score) for x in L.predict(df, L.fit(df)).collect()} == {("und", 0.0)}
