@@ -1,13 +1,16 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once for each document. The ledger keeps the
-measurements and one integer whose bit r is set where rule r fails. Policies
-are versioned masks over those bits, so a new policy, or the effect of leaving
-a rule out, is bitwise arithmetic over the ledger and never reads a text again.
-
-Defined cases: a null text has no words. Words are runs of anything but
-U+0020 and U+0009 to U+000D. Rows repeat as documents of their own. Other
-columns are ignored. An empty table gives an empty ledger.
+measurements, one integer whose bit r is set where rule r fails, and the version
+of the rules that made it; it is written as a table. Policies are versioned
+masks over those bits, so a new policy, or the effect of leaving a rule out, is
+bitwise arithmetic over the stored ledger and never reads a text again.
+
+Defined cases: a null text has no words; bytes that are no UTF-8 are U+FFFD.
+Words are runs of anything but U+0020 and U+0009 to U+000D. Rows repeat as
+documents of their own. Texts of any length are measured whole. A measure equal
+to a rule's bound passes it. Other columns are ignored. An empty table gives an
+empty ledger.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import stored, table, valid_text
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_upper", "n_letter_words")
@@ -82,6 +85,8 @@ class Rule:
     fails: Column | str
 
 
+#: The version of RULES; a ledger of another one isn't judged by these policies.
+RULES_VERSION = 1
 #: The rules in bit order. Bits are never reused: a rule that is changed gets a
 #: new one. Integer arithmetic throughout, so any engine agrees.
 RULES = (
@@ -99,11 +104,13 @@ RULES = (
 
 @dataclass(frozen=True)
 class Policy:
-    """A version: the rules it enforces, and how many may fail."""
+    """The rules that a version of a policy enforces, and how many may fail."""
 
     name: str
     rules: tuple[str, ...]
     may_fail: int = 0
+    version: int = 1
+    rules_version: int = RULES_VERSION
 
     @property
     def mask(self) -> int:
@@ -119,19 +126,35 @@ POLICIES = {
 
 
 def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the measurements and ``failed`` (bit r: rule r fails)."""
+    """id, the measurements, ``failed`` (bit r: rule r fails) and the version
+    of the rules."""
     schema = "id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_measure, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), valid_text(text_col).alias("text")).mapInArrow(_measure, schema)
     failed = F.lit(0).cast("long")
     for i, r in enumerate(RULES):
         cond = F.expr(r.fails) if isinstance(r.fails, str) else r.fails
         failed = failed.bitwiseOR(F.when(cond, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return rows.withColumn("failed", failed).withColumnRenamed("id", id_col)
+    return rows.withColumn("failed", failed).withColumn("rules_version", F.lit(RULES_VERSION)).withColumnRenamed("id", id_col)
+
+
+def write_ledger(docs: DataFrame, path: str | None = None, **columns) -> DataFrame:
+    """The ledger, written to ``path`` (or the shared folder) and read back."""
+    led = ledger(docs, **columns)
+    if path is None:
+        return stored(led, "ledger")
+    led.write.mode("errorifexists").parquet(path)
+    return read_ledger(docs.sparkSession, path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def passes(policy: Policy) -> Column:
-    """Whether a ledger row passes the policy."""
-    return F.bit_count(F.col("failed").bitwiseAND(F.lit(policy.mask))) <= policy.may_fail
+    """Whether a ledger row passes the policy; null for rows that other rules
+    than the policy's made."""
+    ok = F.bit_count(F.col("failed").bitwiseAND(F.lit(policy.mask))) <= policy.may_fail
+    return F.when(F.col("rules_version") == policy.rules_version, ok)
 
 
 def ablations(led: DataFrame, policy: Policy) -> DataFrame:
@@ -152,11 +175,17 @@ def ablations(led: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = ledger(table(spark, sf_dir, "documents"))
+    led = write_ledger(table(spark, sf_dir, "documents"))
     base = ~passes(POLICIES["base"])
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(POLICIES["v1"])).alias("kept"), "failed")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strict policy does, over the whole ledger."""
+    led = write_ledger(table(spark, sf_dir, "documents"))
+    return ablations(led, POLICIES["v1"])
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -192,3 +221,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed
 FROM f
 """
+
+ABLATIONS_SQL = "WITH led AS (" + OP5_SQL + """), rules AS (
+  SELECT * FROM (VALUES """ + ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(RULES)) + """) AS v(rule, bit)
+)
+SELECT rule, CAST(sum((failed & bit <> 0)::INTEGER) AS BIGINT) AS n_fail, CAST(sum((failed = bit)::INTEGER) AS BIGINT) AS n_alone,
+       CAST(sum((failed & ~bit = 0)::INTEGER) AS BIGINT) AS n_pass_without, CAST(sum((failed = 0)::INTEGER) AS BIGINT) AS n_pass
+FROM led, rules GROUP BY rule
+"""

@@ -7,7 +7,7 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import op1_mixing
 from .packing import op8_best_fit_packing
 from .pii import op9_pii
-from .quality import OP5_SQL, op5_quality_rules
+from .quality import ABLATIONS_SQL, OP5_SQL, op5_quality_rules, quality_ablations
 from .simhash import op7_simhash
 from .token_count import op2_token_counts
 from .token_file import op4_token_files
@@ -24,10 +24,12 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLE_SQL = {
     "op3_vector_top_k": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "quality_ablations": ABLATIONS_SQL,
 }

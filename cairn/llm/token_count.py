@@ -11,8 +11,10 @@ each UTF-8 byte where the vocabulary has all bytes.
 Where no piece goes on past a word's end, words are independent, and each
 distinct word is counted once in a batch.
 
-Defined cases: a null or empty text has 0 tokens. Rows repeat as documents of
-their own. Other columns are ignored. An empty table gives an empty result.
+Defined cases: a null or empty text has 0 tokens; bytes that are no UTF-8 are
+U+FFFD. Texts and words of any length are counted whole. Paths that score alike
+go as said above. Rows repeat as documents of their own. Other columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import sized, table
+from .base import sized, table, valid_text
 
 SPACE = "▁"
 UNK_PENALTY = 10.0
@@ -151,7 +153,7 @@ def token_counts(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", te
         for batch in sized(batches, 1):
             yield pa.record_batch([batch.column(0), pa.array(c.count_all(pc.fill_null(batch.column(1), "")), pa.int64())], ["id", "n_tokens"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), valid_text(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -5,14 +5,18 @@ run of blocks of BLOCK ids, each padded to whole bytes, then the document
 index (id, validity, first id), the block offsets and a fixed trailer, so that
 any block unpacks by itself with numpy and any document is found by one seek.
 
-Documents are in ascending id order over all files: range bounds of the ids
-are computed first, each range is encoded, sorted and written by one task, and
-a manifest row names each file. A task that runs twice writes two files; the
-manifest has one of them.
-
-Defined cases: a null text is an empty one, which encodes as the end id alone.
-Null ids come last; rows of equal ids are ordered by their token ids. Other
-columns are ignored. An empty table gives no file and no rows.
+Documents are in ascending id order over all files: rows are range-partitioned
+and sorted by id, the text's hash and a number of the row, so that no id, null
+included, and no text that many rows share makes a range longer. One task
+encodes a range and writes its files in a stream, and a manifest row names each
+file. A task that runs twice writes two files; the manifest has one of them.
+Files are read again in groups of about READ_IDS ids.
+
+Defined cases: a null text is an empty one, which encodes as the end id alone;
+bytes that are no UTF-8 are U+FFFD. Null ids come last; rows of equal ids are
+ordered by their text's hash, and equal rows come together. Texts of any length
+are encoded whole, and one longer than a file has a file to itself. Other columns
+are ignored. An empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -28,21 +32,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import coded_words, fresh, sized, stored, table
+from .base import coded_words, fresh, input_bytes, sized, stored, table, text_bytes, valid_text
 
 MAGIC = b"CAIRNBP1"
 BLOCK = 65_536
 TRAILER = struct.Struct("<8sIIQQQQ")
-#: Characters of text that one file holds, about.
-FILE_CHARS = 32_000_000
-#: Ranges of ids at most, so that their bounds are few; a range has more than
-#: one file where it is long.
-MAX_RANGES = 20_000
+#: Bytes of input for one range, about.
+RANGE_BYTES = 16_000_000
+#: Ranges of one shuffle at most, as its bookkeeping grows with their number;
+#: beyond, a range has several files, still one after another.
+MAX_RANGES = 200_000
 #: A task starts another file after so many ids.
 FILE_IDS = 1 << 25
+#: Ids that one task reads again, about.
+READ_IDS = 1 << 24
 
 
 def bits_for(vocab_size: int) -> int:
@@ -194,7 +201,8 @@ class Encoder:
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         kinds = [n["type"] for n in norm.get("normalizers", [])]
         steps = pre.get("pretokenizers", [])
-        self.fast = kinds == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SPLIT} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        spaces = [(n["pattern"], n["content"]) for n in norm.get("normalizers", []) if n["type"] == "Replace"] == [({"Regex": r"\s+"}, " ")]
+        self.fast = spaces and kinds == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SPLIT} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.table = _byte_table()
         self.size = cache
@@ -252,36 +260,27 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _encode(path: str, end_id: int | None, bounds):
-    """Rows (bucket, doc, ids): buckets are the ranges of ids, nulls the last."""
+def _write(path: str, end_id: int | None, folder: str):
+    """Encodes rows (doc, text), which come in order, into files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, edges = encoder(path), bounds.value
-        for batch in sized(batches, 1):
-            ids = enc.encode_all(pc.fill_null(batch.column(1), ""), end_id)
-            doc = pc.fill_null(batch.column(0), np.iinfo(np.int64).max).to_numpy()
-            bucket = np.where(batch.column(0).is_null(), len(edges), np.searchsorted(edges, doc, side="right"))
-            yield pa.record_batch([pa.array(bucket.astype(np.int32)), batch.column(0), ids], ["bucket", "doc", "ids"])
-
-    return run
-
-
-def _write(folder: str, bits: int, vocab: int, dtype: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        part = TaskContext.get().partitionId()
         files: list[tuple[int, int, str, int, int]] = []
-        out, now = None, None
+        out = None
 
         def close():
             if out is not None:
                 out.close()
-                files.append((now, len(files), out.uri, len(out.docs), out.n))
+                files.append((part, len(files), out.uri, len(out.docs), out.n))
 
-        for batch in batches:
-            for bucket, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if out is None or bucket != now or out.n > FILE_IDS:
+        for batch in sized(batches, 1):
+            ids = enc.encode_all(pc.fill_null(batch.column(1), ""), end_id)
+            for doc, one in zip(batch.column(0).to_pylist(), ids.to_pylist()):
+                if out is None or out.n > FILE_IDS:
                     close()
-                    out, now = FileWriter(f"{folder}/{bucket:06d}-{uuid.uuid4().hex}.bits", bits, vocab), bucket
-                out.add(doc, np.frombuffer(ids, dtype).astype(np.uint32))
+                    out = FileWriter(f"{folder}/{part:06d}-{uuid.uuid4().hex}.bits", bits_for(enc.vocab), enc.vocab)
+                out.add(doc, np.frombuffer(one, enc.dtype).astype(np.uint32))
         close()
         if files:
             yield pa.record_batch([pa.array([f[i] for f in files], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["bucket", "part", "path", "n_docs", "n_ids"])
@@ -289,20 +288,19 @@ def _write(folder: str, bits: int, vocab: int, dtype: str):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, folder: str | None = None, file_chars: int = FILE_CHARS) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, folder: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Encode and write all documents; returns the manifest: bucket, part,
-    path, n_docs, n_ids, one row for each file."""
+    path, n_docs, n_ids, one row for each file, in the order of bucket and part."""
     spark = docs.sparkSession
-    enc = encoder(tokenizer_path)
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(MAX_RANGES, max(1, chars // file_chars + 1)))
-    found = d.approxQuantile("doc", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = np.unique(np.array(found, np.float64).astype(np.int64))
-    shared = spark.sparkContext.broadcast(bounds)
-    encoded = d.select("doc", "text").mapInArrow(_encode(tokenizer_path, end_id, shared), "bucket int, doc long, ids binary")
-    parts = encoded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc").asc_nulls_last(), "ids")
-    manifest = parts.mapInArrow(_write(folder or fresh(spark, "tokens"), bits_for(enc.vocab), enc.vocab, enc.dtype), "bucket int, part int, path string, n_docs long, n_ids long")
+    text = F.coalesce(valid_text(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text_bytes(text_col)).alias("th"), F.monotonically_increasing_id().alias("row"))
+    size = input_bytes(docs)
+    if size is None:  # not from files
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MAX_RANGES, size // range_bytes + 1)
+    order = (F.col("doc").asc_nulls_last(), "th", "row")
+    parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc", "text")
+    manifest = parts.mapInArrow(_write(tokenizer_path, end_id, folder or fresh(spark, "tokens")), "bucket int, part int, path string, n_docs long, n_ids long")
     return stored(manifest, "manifest")
 
 
@@ -328,8 +326,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     the ids as 32-bit words, from the files."""
     before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    n = max(1, manifest.count())
-    return files.repartition(n).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = int((manifest.agg(F.sum("n_ids")).first()[0] or 0) // READ_IDS + 1)
+    # files that begin in the same stretch of ids are one group
+    groups = files.repartitionById(n, (F.col("base") / READ_IDS).cast("int"))
+    return groups.select("path", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

@@ -35,6 +35,27 @@ def test_measures_against_brute_force(spark):
     assert Q.ledger(frame(spark, [])).count() == 0
 
 
+def test_queries_against_sql(spark, tmp_path):
+    """The stored ledger, its policies and ablations, with odd bytes and long texts."""
+    import duckdb
+
+    r = random.Random(2)
+    rows = [doc(i, " ".join(r.choice(["word", "b", "c#", "é", "D$\n", "\n", "12"]) for _ in range(r.randint(0, 120)))) for i in range(60)] + [doc(70, None), doc(71, "long word " * 50_000)]
+    path = str(tmp_path / "documents.parquet")
+    frame(spark, rows).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    for query, sql in ((Q.op5_quality_rules, Q.OP5_SQL), (Q.quality_ablations, Q.ABLATIONS_SQL)):
+        got = query(spark, str(tmp_path))
+        names = got.columns
+        assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall())
+    led = Q.write_ledger(frame(spark, rows), str(tmp_path / "ledger"))
+    assert Q.read_ledger(spark, str(tmp_path / "ledger")).columns == led.columns and led.where("rules_version = 1").count() == len(rows)
+    assert led.where(Q.passes(Q.Policy("x", ("few_words",), rules_version=2)).isNotNull()).count() == 0
+    odd = frame(spark, [doc(1, "x")]).selectExpr("doc_id", "cast(X'61FF2062' AS string) text")
+    assert [(x.n_words, x.word_chars) for x in Q.ledger(odd).collect()] == [(2, 3)]
+
+
 def test_rules_fire(spark):
     plain_text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
     cases = {"few_words": "a b c", "repeated_words": "one two three " * 40, "symbols": plain_text.replace("word", "#word"), "capitals": plain_text.upper(), "long_words": plain_text.replace("word", "w" * 20), "short_words": " ".join(chr(97 + i % 26) for i in range(26)) + " " + " ".join(chr(0x3B1 + i) for i in range(24)) + " " + " ".join(chr(0x430 + i) for i in range(30)), "no_letters": plain_text + " 12" * 1 + " ".join(str(100 + i) for i in range(60)), "repeated_lines": "\n".join(["same line here"] * 5) + "\n" + plain_text}

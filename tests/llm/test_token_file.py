@@ -57,7 +57,7 @@ def test_files_of_a_table(spark, tmp_path):
     rows = [doc(r.randrange(10**6), " ".join(r.choice(["one", "Two", "thréé", "漢", "x."]) for _ in range(r.randint(0, 40)))) for _ in range(200)]
     rows += [doc(-3, None), doc(0, ""), doc(None, "last"), rows[0], doc(rows[1][0], "same id, other text")]
     df = with_clashes(frame(spark, rows))
-    manifest = T.write_token_files(df, PATH, folder=f"file://{tmp_path}/out", file_chars=1500)
+    manifest = T.write_token_files(df, PATH, folder=f"file://{tmp_path}/out", range_bytes=1500)
     assert manifest.count() > 2
     got = [tuple(x) for x in T.read_token_files(manifest).orderBy("start").collect()]
     e = T.encoder(PATH)
@@ -70,3 +70,35 @@ def test_files_of_a_table(spark, tmp_path):
     assert ids[-1] is None and ids[:-1] == sorted(ids[:-1])
     assert [s for _, s, _, _ in got] == np.append(0, np.cumsum([n for _, _, n, _ in got]))[:-1].tolist()
     assert T.read_token_files(T.write_token_files(frame(spark, []), PATH)).count() == 0
+
+
+def test_hot_ids_are_split(spark, tmp_path):
+    """Null ids, one id, and equal rows go over several ranges, in order."""
+    rows = [doc(None, f"null {i % 7}") for i in range(200)] + [doc(5, f"text {i}") for i in range(200)] + [doc(9, "the same row")] * 300
+    manifest = T.write_token_files(frame(spark, rows), PATH, folder=f"file://{tmp_path}/out", range_bytes=800)
+    assert manifest.agg({"n_docs": "max"}).first()[0] < 300 and manifest.count() > 5
+    got = T.read_token_files(manifest).orderBy("start").collect()
+    ids = [x.doc_id for x in got]
+    assert ids == [5] * 200 + [9] * 300 + [None] * 200
+    assert [x.start for x in got] == np.append(0, np.cumsum([x.n_tokens for x in got]))[:-1].tolist()
+
+
+def test_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "READ_IDS", 50)
+    rows = [doc(i, t) for i, t in enumerate(["One two", None, "", "x" * 100_000 + " end", "漢 字", "One two"])]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = T.op4_token_files(spark, str(tmp_path))
+    assert got.dtypes[:4] == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
+    at, e = 0, T.encoder(PATH)
+    for x, (i, t, *_) in zip(got.orderBy("doc_id").collect(), rows):
+        ids = e.tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert tuple(x) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_another_replacement_is_not_fast(tmp_path):
+    """A tokenizer of the same shape that replaces something else goes to the library."""
+    text = open(PATH).read().replace('"Regex":"\\\\s+"', '"Regex":"x"').replace('"Regex": "\\\\s+"', '"Regex": "x"')
+    (tmp_path / "t.json").write_text(text)
+    e = T.Encoder(str(tmp_path / "t.json"))
+    assert not e.fast and np.frombuffer(e.encode("axb c"), e.dtype).tolist() == e.tok.encode("axb c").ids
