@@ -55,13 +55,16 @@ class Config:
     default_k: int = 5
     default_ef: int = 100
     allow_batch_with_chunks: bool = False
+    #: Keep a vector index from so many rows on; fewer are searched exactly.
+    vector_index: bool = True
+    index_min_rows: int = 10_000
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ) -> Config:
         get = lambda n, d=None: env.get(PREFIX + n, d)
         count, ratio = _number(env, "TOMBSTONE_MAX_COUNT", int), _number(env, "TOMBSTONE_MAX_RATIO", float)
         if count is not None and ratio is not None:
-            raise BadRequest(f"Cannot set both {PREFIX}TOMBSTONE_MAX_COUNT and {PREFIX}TOMBSTONE_MAX_RATIO")
+            raise BadRequest(f"{PREFIX}TOMBSTONE_MAX_COUNT and {PREFIX}TOMBSTONE_MAX_RATIO exclude each other: give one")
         kind = get("CHUNK_TYPE", "none").lower()
         return cls(
             addr=get("ADDR", cls.addr),
@@ -70,6 +73,8 @@ class Config:
             log_enabled=get("WAL_ENABLED", "1").lower() not in ("0", "false"),
             rotation=RotationPolicy(_number(env, "WAL_MAX_BYTES", int), _number(env, "WAL_MAX_RECORDS", int)),
             tombstones=TombstonePolicy(count, ratio if ratio is not None or count is not None else 0.3),
+            vector_index=get("VECTOR_INDEX", "1").lower() not in ("0", "false"),
+            index_min_rows=_number(env, "INDEX_MIN_ROWS", int, 10_000),
             chunks=ChunkConfig(
                 kind if kind in ("fixed", "semantic") else "none",
                 _number(env, "CHUNK_SIZE", int, 512), _number(env, "CHUNK_OVERLAP", int, 50),

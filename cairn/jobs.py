@@ -31,7 +31,7 @@ class JobStore:
     def create(self) -> Job:
         with self._lock:
             if any(j.status == "processing" for j in self._jobs.values()):
-                raise Conflict("a sync job is already running")
+                raise Conflict("one sync job runs at a time; the last one has not ended")
             job = Job()
             self._jobs[job.id] = job
             return job

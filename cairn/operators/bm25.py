@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import NOT_TOKEN, tokens
+from ..sources.scratch import stored
 
 K1, B = 1.2, 0.75
+#: Terms of all queries that go into the plan; more of them are joined.
+PLAN_TERMS = 10_000
 
 
 def term_freq(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -35,41 +39,79 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def idf(n: Column, df: Column) -> Column:
-    without = n - df + 0.5
-    return F.log(without / (F.lit(0.5) + df) + 1.0)
+    return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
 def term_score(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
-    fade = k1 * ((1.0 - b) + b * dl / avgdl)
-    return tf * F.lit(1.0 + k1) / (fade + tf)
+    return tf * F.lit(k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / avgdl))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """qid and term, each pair once, of queries (qid, text)."""
+    return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def _among(name: str, terms: list[str]) -> str:
+    """That ``name`` is one of the terms, which have letters and numbers alone."""
+    return f"{name} IN ({', '.join(map(repr, terms))})" if terms else "false"
 
 
 @dataclass
 class TextIndex:
-    """``postings`` (id, term, tf, dl) and one row of ``stats``; a deleted
-    document's rows are simply not in them."""
+    """Scores texts for frames of queries: those of ``docs`` (id, text), each
+    tokenised once for a frame, or those of kept ``postings`` (id, dl, term, tf)
+    with one row of ``stats``. ``bucket`` is the expression of a term's folder
+    (column ``bucket``), and ``keep`` takes hits to those of live rows."""
 
-    postings: DataFrame
-    stats: DataFrame
+    docs: DataFrame | None = None
+    postings: DataFrame | None = None
+    stats: DataFrame | None = None
+    bucket: Column | None = None
+    keep: Callable[[DataFrame], DataFrame] | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> TextIndex:
-        """Each text is tokenised and counted in its own row; nothing shuffles
-        but the one row of statistics."""
-        toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks")).where(F.size("toks") > 0)
-        lengths = toks.select("id", F.size("toks").cast("long").alias("dl"))
-        words = toks.select("id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
-        postings = words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-        return cls(postings, corpus_stats(lengths))
+        return cls(docs=docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+
+    def _hits(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings of the terms, and the statistics of all documents."""
+        wanted = terms.select("term").distinct()
+        if self.docs is None:
+            hits, few = self.postings, self._few(wanted)
+            if few is not None:
+                if self.bucket is not None:  # only the folders of these terms are read
+                    hits = hits.where(F.col("bucket").isin([r[0] for r in wanted.select(self.bucket).distinct().collect()]))
+                hits = hits.where(F.expr(_among("term", few)))
+            else:
+                hits = hits.join(wanted, "term", "left_semi")
+            return stored((self.keep(hits) if self.keep else hits).select("id", "dl", "term", "tf"), "hits"), self.stats
+        few = self._few(wanted)
+        # only the first and the last of the split can be blank; no lambda but one looks at each token
+        t, blank = F.col("t"), lambda i: F.coalesce((F.element_at("t", i) == "").cast("long"), F.lit(0))
+        dl = F.size(t) - blank(1) - F.when(F.size(t) > 1, blank(-1)).otherwise(0)
+        own = F.expr(f"filter(t, x -> {_among('x', few)})" if few is not None else "filter(t, x -> x <> '')")
+        toks = self.docs.select("id", F.split(F.lower("text"), NOT_TOKEN).alias("t"))
+        kept = stored(toks.select("id", F.coalesce(dl, F.lit(0)).cast("long").alias("dl"), own.alias("m")), "tokens")
+        words = kept.select("id", "dl", F.explode("m").alias("term"))
+        if few is None:
+            words = words.join(wanted, "term", "left_semi")
+        return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), corpus_stats(kept.select("dl").where("dl > 0"))
+
+    @staticmethod
+    def _few(wanted: DataFrame) -> list[str] | None:
+        """The terms, if there are PLAN_TERMS at most."""
+        rows = wanted.limit(PLAN_TERMS + 1).collect()
+        return sorted(r.term for r in rows) if len(rows) <= PLAN_TERMS else None
 
     def scores(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """qid, id, score of all pairs that share a term; ``queries`` has qid
-        and text. Only postings of the queries' terms are kept."""
-        terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        wanted = terms.select("term").distinct()
-        hits = self.postings.join(wanted, "term", "left_semi")
+        and text. Texts are tokenised once, and only the queries' terms leave
+        their rows; their counts by document are what shuffles."""
+        terms = query_terms(queries)
+        hits, stats = self._hits(terms)
+        hits = stored(hits, "postings") if self.docs is not None else hits
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        weights = terms.join(df, "term").crossJoin(F.broadcast(self.stats)).select("qid", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+        weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
         part = F.col("idf") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
         return hits.join(weights, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,7 @@ def is_space(c: str) -> bool:
 
 
 _SPACES = "".join(chr(i) for i in range(0x3001) if is_space(chr(i)))
+_STOP, _GAP = re.compile(r"[.!?\n]"), re.compile(f"[{re.escape(_SPACES)}]*")
 
 
 def _offsets(text: str) -> Callable[[int], int]:
@@ -65,22 +67,18 @@ def sentences(text: str) -> list[tuple[str, int, int]]:
     that white space or the end follows and no single letter precedes. Offsets
     are in code points, untrimmed."""
     out, start, i, n = [], 0, 0, len(text)
-    while i < n:
-        c = text[i]
-        if c in ".!?\n":
-            real = True
-            if c == ".":
-                follows = i + 1 >= n or is_space(text[i + 1])
-                single = i > 1 and _alphabetic(text[i - 1]) and not _alphabetic(text[i - 2])
-                real = follows and not single
-            if real:
-                kept = text[start : i + 1].strip(_SPACES)
-                if kept:
-                    out.append((kept, start, i + 1))
-                while i + 1 < n and is_space(text[i + 1]):
-                    i += 1
-                start = i + 1
-        i += 1
+    while m := _STOP.search(text, i):
+        i = m.start()
+        if text[i] == ".":
+            follows = i + 1 >= n or is_space(text[i + 1])
+            single = i > 1 and _alphabetic(text[i - 1]) and not _alphabetic(text[i - 2])
+            if not follows or single:
+                i += 1
+                continue
+        kept = text[start : i + 1].strip(_SPACES)
+        if kept:
+            out.append((kept, start, i + 1))
+        start = i = _GAP.match(text, i + 1).end()
     rest = text[start:].strip(_SPACES)
     if rest:
         out.append((rest, start, n))

@@ -27,14 +27,16 @@ class HashingEmbedder:
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            for w in self._WORDS.findall(text.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, (h >> 1) % self.dim] += 1.0 if h & 1 else -1.0
-            n = np.linalg.norm(out[i])
-            out[i] = out[i] / n if n else np.full(self.dim, self.dim**-0.5)
-        return out.astype(np.float32).tolist()
+        words = [self._WORDS.findall(t.lower()) for t in texts]
+        # each distinct word is hashed once
+        code: dict[str, int] = {}
+        codes = np.fromiter((code.setdefault(w, len(code)) for own in words for w in own), np.int64)
+        h = np.fromiter((int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in code), np.uint64, len(code))
+        at, sign = ((h >> np.uint64(1)) % np.uint64(self.dim)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0)
+        row = np.repeat(np.arange(len(texts)), list(map(len, words)))
+        out = np.bincount(row * self.dim + at[codes], weights=sign[codes], minlength=len(texts) * self.dim).reshape(len(texts), self.dim) if len(texts) else np.zeros((0, self.dim))
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.where(n > 0, out / np.where(n > 0, n, 1.0), self.dim**-0.5).astype(np.float32).tolist()
 
 
 class HttpEmbedder:

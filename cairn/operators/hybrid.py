@@ -3,6 +3,8 @@ frame of queries."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +30,16 @@ def blend(distance: Column, score: Column, dmin: Column, dmax: Column, smax: Col
     return F.lit(alpha) * vec + F.lit(1.0 - alpha) * bm
 
 
-def search(records: DataFrame, queries: DataFrame, *, k: int = 5, alpha: float = 0.7, filter: SearchFilter | None = None, index: TextIndex | None = None, chunks: DataFrame | None = None, prefilter: bool = False, text_col: str = "text") -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, *, k: int = 5, alpha: float = 0.7, filter: SearchFilter | None = None, index: TextIndex | None = None, chunks: DataFrame | None = None, prefilter: bool = False, nearest: Callable[[DataFrame, int], DataFrame | None] | None = None, text_col: str = "text") -> DataFrame:
     """Hits of each query: qid, rank, id, type, distance, bm25_score,
     hybrid_score, title, source, tags, and best_chunk where there are chunks.
 
     ``records`` are live rows (id, ``text_col``, embedding, title, source, tags,
     updated_at); ``queries`` has qid, text and embedding (either may be null).
     Branches are cut to max(4k, 100) candidates first, and scales are taken
-    from those; then the filter applies, unless ``prefilter``.
+    from those; then the filter applies, unless ``prefilter``. ``nearest``, of
+    the queries and a number, stands in for exact neighbours. Without any text
+    among the queries the keyword branch isn't run.
     """
     mode = mode_of(alpha)
     budget = max(4 * k, 100)
@@ -46,7 +50,10 @@ def search(records: DataFrame, queries: DataFrame, *, k: int = 5, alpha: float =
     vec = bm = best = None
     if mode != "bm25_only":
         if chunks is None:
-            vec = exact_knn(records.where(F.col("embedding").isNotNull()), queries, budget).select("qid", "id", "distance")
+            vec = nearest(queries, budget) if nearest else None
+            if vec is None:
+                vec = exact_knn(records.where(F.col("embedding").isNotNull()), queries, budget)
+            vec = vec.select("qid", "id", "distance")
         else:
             rows = chunks.where(~F.coalesce("deleted", F.lit(False))).select(F.struct("parent_id", "chunk_index").alias("key"), "embedding")
             rows = rows.withColumn("id", F.concat_ws("\0", F.col("key.parent_id"), F.lpad(F.col("key.chunk_index").cast("string"), 19, "0")))
@@ -55,7 +62,7 @@ def search(records: DataFrame, queries: DataFrame, *, k: int = 5, alpha: float =
             near = near.select("qid", at[0].alias("id"), at[1].cast("long").alias("chunk_index"), "distance")
             best = best_chunks(near.join(records.select("id"), "id", "left_semi"))
             vec = best.select("qid", "id", "distance")
-    if mode != "vector_only":
+    if mode == "bm25_only" or mode == "hybrid" and not queries.where(F.col("text").isNotNull()).isEmpty():
         index = index or TextIndex.build(records, "id", text_col)
         bm = index.top_k(queries.where(F.col("text").isNotNull()), budget).select("qid", "id", F.round("score", 9).alias("score"))
     if vec is None:

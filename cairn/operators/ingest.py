@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, build_text, content_hash, normal_tags, parse_date, trim
+from ..sources.scratch import stored
 from .embedding import Embedder, embed_frame
 
 
@@ -53,24 +54,29 @@ def classify(pending: DataFrame, live: DataFrame) -> DataFrame:
 def numbered(ids: DataFrame) -> DataFrame:
     """id and place from 0 in the order of ids: a range sort, then each part
     counts on from those before it. No task sees all ids."""
-    ordered = ids.orderBy("id").rdd.map(lambda r: r[0]).zipWithIndex()
-    return ids.sparkSession.createDataFrame(ordered, "id string, place long")
+    at = F.monotonically_increasing_id()
+    parts = stored(ids.orderBy("id").select("id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("own")), "places")
+    ends = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(ends), F.lit(0)).alias("before"))
+    return parts.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("own")).alias("place"))
 
 
 def sync(pending: DataFrame, records: DataFrame, embedder: Embedder, one_by_one: bool = False) -> tuple[DataFrame, DataFrame]:
     """(outcome, new rows). ``outcome`` has each pending id with its result
     (indexed, skipped or failed) and error. New rows take numbers after the
     greatest, in the order of ids (failed ones leave gaps); the caller marks the old rows of the same
-    ids deleted."""
+    ids deleted. Rows are classified and embedded once, into the shared folder."""
     live = records.where(~F.col("deleted"))
-    sorted_out = classify(pending, live)
-    embedded = embed_frame(sorted_out.where("action = 'embed'"), embedder, text_col="embed_input", one_by_one=one_by_one)
-    rest = sorted_out.where("action <> 'embed'").withColumn("embedding", F.when(F.col("action") == "reindex", F.col("old.embedding")).otherwise(F.array().cast("array<float>"))).withColumn("error", F.lit(None).cast("string"))
-    done = embedded.unionByName(rest).withColumn("ok", F.col("embedding").isNotNull() & F.col("error").isNull())
-    result = F.when(~F.col("ok"), "failed").when(F.col("action").isin("clear", "reindex"), "skipped").otherwise("indexed")
-    outcome = done.withColumn("result", result)
+    asked = classify(pending, live).withColumn("embed_input", F.when(F.col("action") == "embed", F.col("embed_input")))
+    old = F.when(F.col("action") == "reindex", F.col("old.embedding"))
+    done = embed_frame(asked.withColumn("kept_vector", old).drop("old"), embedder, text_col="embed_input", one_by_one=one_by_one)
+    empty = F.array().cast("array<float>")
+    vector = F.when(F.col("action") == "embed", F.col("embedding")).otherwise(F.coalesce("kept_vector", empty))
+    ok = F.col("embedding").isNotNull() & F.col("error").isNull()
+    result = F.when(~ok, "failed").when(F.col("action").isin("clear", "reindex"), "skipped").otherwise("indexed")
+    outcome = stored(done.withColumn("embedding", vector).drop("kept_vector", "embed_input").withColumn("ok", ok).withColumn("result", result), "outcome")
     top = records.agg(F.coalesce(F.max("index_id"), F.lit(-1)).alias("top"))
-    places = numbered(sorted_out.where("action <> 'clear'").select("id"))
+    places = numbered(outcome.where("action <> 'clear'").select("id"))
     new = outcome.where(F.col("ok") & (F.col("action") != "clear")).join(places, "id").crossJoin(F.broadcast(top))
     new = new.select("record.*", "embedding", F.lit(False).alias("deleted"), "content_hash", F.lit(True).alias("indexed"), "embed_text", (F.col("top") + 1 + F.col("place")).alias("index_id"))
     return outcome, new

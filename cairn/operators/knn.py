@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StorageError
 from ..functions.vectors import norm
+from ..sources.scratch import stored
 
 #: Queries of one pass over the vectors; only a block is ever broadcast.
 QUERY_BLOCK = 4096
@@ -46,54 +47,104 @@ def _nearest(shared, k: int):
     return run
 
 
+def _answered(asked: DataFrame, schema: str, block: int, answer) -> DataFrame:
+    """The union of ``answer(qids, unit queries)`` over blocks of queries of one
+    dimension; only a block is ever held or broadcast."""
+    spark = asked.sparkSession
+    out, held = spark.createDataFrame([], schema), []
+
+    def flush(out: DataFrame) -> DataFrame:
+        for dim in {len(v) for _, v in held}:
+            own = [(i, v) for i, v in held if len(v) == dim]
+            q = np.array([v for _, v in own], np.float64)
+            found = answer(np.array([i for i, _ in own], dtype=object), q / np.linalg.norm(q, axis=1, keepdims=True))
+            out = out if found is None else out.unionByName(found)
+        held.clear()
+        return out
+
+    for r in asked.toLocalIterator():
+        held.append((r.qid, list(r.embedding)))
+        if len(held) >= block:
+            out = flush(out)
+    return flush(out)
+
+
+def _directed(vectors: DataFrame) -> DataFrame:
+    return vectors.where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
+
+
+def _schema(vectors: DataFrame, queries: DataFrame) -> str:
+    return f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
+
+
 def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, *, query_block: int = QUERY_BLOCK) -> DataFrame:
     """qid, rank, id, distance. ``vectors`` has id and embedding, ``queries``
     qid and embedding; vectors without a direction or of another dimension take
     no part. Ties go to the smaller id."""
-    spark = vectors.sparkSession
-    live = vectors.select("id", "embedding").where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
-    asked = queries.select("qid", "embedding").where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
-    types = {"qid": queries.schema["qid"].dataType.simpleString(), "id": vectors.schema["id"].dataType.simpleString()}
-    schema = f"qid {types['qid']}, id {types['id']}, distance double"
-    order = Window.partitionBy("qid").orderBy("distance", "id")
-    out = spark.createDataFrame([], schema)
-    held: list = []
+    live = _directed(vectors.select("id", "embedding"))
+    schema = _schema(vectors, queries)
 
-    def answer() -> DataFrame:
-        found = None
-        for dim in {len(v) for _, v in held}:
-            own = [(i, v) for i, v in held if len(v) == dim]
-            q = np.array([v for _, v in own], np.float64)
-            shared = spark.sparkContext.broadcast((np.array([i for i, _ in own], dtype=object), q / np.linalg.norm(q, axis=1, keepdims=True)))
-            part = live.mapInArrow(_nearest(shared, k), schema)
-            found = part if found is None else found.unionByName(part)
-        return found
-
-    if k > 0:
-        for r in asked.toLocalIterator():
-            held.append((r.qid, list(r.embedding)))
-            if len(held) >= query_block:
-                out = out.unionByName(answer())
-                held.clear()
-        if held:
-            out = out.unionByName(answer())
+    def answer(qids: np.ndarray, q: np.ndarray) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((qids, q))
+        return live.mapInArrow(_nearest(shared, k), schema)
+
+    asked = _directed(queries.select("qid", "embedding"))
+    out = _answered(asked if k > 0 else asked.limit(0), schema, query_block, answer)
+    order = Window.partitionBy("qid").orderBy("distance", "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
+def _nearest_in_cells(shared, k: int, copies: int):
+    """Each batch's nearest of each query among the cells that it probes: one
+    matrix product a cell. A vector may be there ``copies`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, probed = shared.value
+        for batch in batches:
+            part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1])) if batch.num_rows else batch
+            if not part.num_rows:
+                continue
+            cell = part.column(2).to_numpy()
+            unit = _unit(part.column(1))
+            rows, cols, dists = [], [], []
+            for c in np.unique(cell).tolist():
+                own, asks = np.flatnonzero(cell == c), np.flatnonzero(probed[:, c])
+                if not len(asks):
+                    continue
+                dist = np.round(1.0 - q[asks] @ unit[own].T, 9)
+                most = min(copies * k, len(own))
+                x, y = np.nonzero(dist <= np.partition(dist, most - 1, axis=1)[:, most - 1 : most])
+                rows.append(asks[x])
+                cols.append(own[y])
+                dists.append(dist[x, y])
+            if rows:
+                rows, cols = np.concatenate(rows), np.concatenate(cols)
+                yield pa.record_batch([pa.array(qids[rows].tolist()), part.column(0).take(pa.array(cols)), pa.array(np.concatenate(dists))], ["qid", "id", "distance"])
+
+    return run
+
+
 class IvfIndex:
-    """Cells around centroids fitted on a bounded sample; every vector is in
-    its nearest cell, and a query reads the ``nprobe`` nearest cells."""
+    """Cells around centroids fitted on a bounded sample. Every vector is in its
+    COPIES nearest cells, and a query reads the nearest cells: a share of
+    ``ef`` / FULL_EF of them, so that FULL_EF reads all."""
 
-    VERSION = 1
+    VERSION = 2
+    COPIES = 2
+    FULL_EF = 400
 
-    def __init__(self, centroids: np.ndarray, cells: DataFrame):
-        self.centroids, self.cells = centroids, cells
+    def __init__(self, centroids: np.ndarray, cells: DataFrame | None, fitted_rows: int = 0):
+        self.centroids, self.cells, self.fitted_rows = centroids, cells, fitted_rows
 
     @classmethod
-    def build(cls, vectors: DataFrame, *, n_cells: int | None = None, sample_rows: int = 100_000, seed: int = 7, rounds: int = 10) -> IvfIndex:
-        live = vectors.select("id", "embedding").where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
+    def fit(cls, vectors: DataFrame, *, n_cells: int | None = None, sample_rows: int = 100_000, seed: int = 7, rounds: int = 10) -> IvfIndex | None:
+        """Centroids alone; None without vectors. Four times the root of the
+        rows is the number of cells, up to a 16th of the sample."""
+        live = _directed(vectors.select("id", "embedding"))
         n = live.count()
-        n_cells = max(1, min(n, n_cells or int(np.sqrt(n))))
+        if not n:
+            return None
+        n_cells = max(1, min(n, n_cells or int(4 * np.sqrt(n)), sample_rows // 16))
         # the sample: the least hashes, so that it doesn't depend on partitions
         sample = live.orderBy(F.xxhash64(F.lit(seed), "id")).limit(min(sample_rows, 256 * n_cells))
         x = np.array([list(r.embedding) for r in sample.select("embedding").collect()], np.float64)
@@ -101,22 +152,37 @@ class IvfIndex:
         rng = np.random.default_rng(seed)
         c = x[rng.permutation(len(x))[:n_cells]]
         for _ in range(rounds):
-            own = (x @ c.T).argmax(axis=1)
-            for j in range(len(c)):
-                members = x[own == j]
-                if len(members):
-                    c[j] = members.sum(axis=0)
+            own = np.concatenate([(part @ c.T).argmax(axis=1) for part in np.array_split(x, len(x) // 10_000 + 1)])
+            sums = np.zeros_like(c)
+            np.add.at(sums, own, x)
+            filled = np.bincount(own, minlength=len(c)) > 0
+            c[filled] = sums[filled]
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        shared = vectors.sparkSession.sparkContext.broadcast(c)
+        return cls(c, None, n)
 
-        def assign(batches):
+    def assign(self, vectors: DataFrame) -> DataFrame:
+        """id, embedding and cell, COPIES rows for each vector."""
+        live = _directed(vectors.select("id", "embedding"))
+        shared = vectors.sparkSession.sparkContext.broadcast(self.centroids)
+        copies = min(self.COPIES, len(self.centroids))
+
+        def run(batches):
             for b in batches:
+                b = b.filter(pc.equal(pc.list_value_length(b.column(1)), shared.value.shape[1])) if b.num_rows else b
                 if b.num_rows:
-                    cell = (_unit(b.column(1)) @ shared.value.T).argmax(axis=1)
-                    yield pa.record_batch([b.column(0), b.column(1), pa.array(cell.astype(np.int32))], ["id", "embedding", "cell"])
+                    near = np.argpartition(-(_unit(b.column(1)) @ shared.value.T), copies - 1, axis=1)[:, :copies]
+                    rows = pa.array(np.repeat(np.arange(b.num_rows), copies))
+                    yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), pa.array(near.ravel().astype(np.int32))], ["id", "embedding", "cell"])
 
         kind = vectors.schema["id"].dataType.simpleString()
-        return cls(c, live.mapInArrow(assign, f"id {kind}, embedding array<float>, cell int"))
+        return live.mapInArrow(run, f"id {kind}, embedding array<float>, cell int")
+
+    @classmethod
+    def build(cls, vectors: DataFrame, **options) -> IvfIndex:
+        """Fitted, with its cells written to the shared folder."""
+        index = cls.fit(vectors, **options) or cls(np.zeros((1, 1)), None)
+        index.cells = stored(index.assign(vectors), "cells")
+        return index
 
     def save(self, path: str) -> None:
         """Cells as Parquet, partitioned by cell so that a probe reads only its
@@ -133,26 +199,26 @@ class IvfIndex:
             raise StorageError(f"unsupported index version: {head.get('version')}")
         return cls(np.array(head["centroids"]), spark.read.parquet(f"{path}/cells"))
 
-    def search(self, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
-        """qid, rank, id, distance from the probed cells."""
+    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, *, ef: int = 100, query_block: int = QUERY_BLOCK) -> DataFrame:
+        """qid, rank, id, distance from the probed cells: ``nprobe`` of them, or
+        as many as ``ef`` says."""
         n = len(self.centroids)
-        nprobe = max(1, min(n, nprobe or -(-n * 55 // 100)))
-        shared = queries.sparkSession.sparkContext.broadcast(self.centroids)
-        kind = queries.schema["qid"].dataType.simpleString()
-
-        def probe(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                near = np.argsort(-(_unit(b.column(1)) @ shared.value.T), axis=1)[:, :nprobe]
-                rows = np.repeat(np.arange(b.num_rows), near.shape[1])
-                yield pa.record_batch([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(near.ravel().astype(np.int32))], ["qid", "q", "cell"])
-
-        asked = queries.select("qid", "embedding").where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
-        probes = asked.mapInArrow(probe, f"qid {kind}, q array<float>, cell int")
-        from ..functions.vectors import cosine_distance
-
-        pairs = self.cells.join(probes, "cell").select("qid", "id", F.round(cosine_distance(F.col("embedding"), F.col("q")), 9).alias("distance"))
+        nprobe = max(1, min(n, nprobe or -(-n * ef // self.FULL_EF)))
+        cells = self.cells.select("id", "embedding", "cell")
+        schema = _schema(cells, queries)
+
+        def answer(qids: np.ndarray, q: np.ndarray) -> DataFrame | None:
+            if q.shape[1] != self.centroids.shape[1]:
+                return None
+            near = np.argpartition(-(q @ self.centroids.T), nprobe - 1, axis=1)[:, :nprobe]
+            probed = np.zeros((len(q), n), bool)
+            probed[np.arange(len(q))[:, None], near] = True
+            shared = queries.sparkSession.sparkContext.broadcast((qids, q, probed))
+            some = cells.where(F.col("cell").isin(np.flatnonzero(probed.any(axis=0)).tolist())) if not probed.any(axis=0).all() else cells
+            return some.mapInArrow(_nearest_in_cells(shared, k, self.COPIES), schema)
+
+        pairs = _answered(_directed(queries.select("qid", "embedding")), schema, query_block, answer)
+        pairs = pairs.groupBy("qid", "id").agg(F.min("distance").alias("distance"))
         order = Window.partitionBy("qid").orderBy("distance", "id")
         return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 

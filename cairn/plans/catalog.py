@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from ..operators.filters import SearchFilter
 from ..operators.knn import IvfIndex, exact_knn, recall_at_k
 from ..schemas import PENDING, STORED
 from ..sources.oplog import fold, last_state
+from ..sources.scratch import fresh, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -35,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
@@ -517,7 +515,7 @@ def stream_ingest(spark, sf_dir):
     from ..sources.store import VersionedTable
     from ..streaming.ingest_stream import pending_stream
 
-    root = f"{work_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    root = fresh(spark, "stream")
     source = table(spark, sf_dir, "documents")
     d = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern: a stream takes no single file
     none = F.lit(None).cast("string")
@@ -527,11 +525,6 @@ def stream_ingest(spark, sf_dir):
     return pending.read().select("id", "record.source", "content_hash")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share; an own one where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cairn-')}"
-
-
 # --- log and tombstones ---------------------------------------------------
 
 

@@ -4,7 +4,6 @@ replays them, and a binary codec for exchange."""
 from __future__ import annotations
 
 import datetime as dt
-import json
 import os
 import struct
 from collections.abc import Iterator
@@ -268,6 +267,3 @@ def read_binary_log(spark: SparkSession, path: str) -> DataFrame:
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, OPS)
 
-
-def json_line(op: dict) -> str:
-    return json.dumps(op, default=str, ensure_ascii=False)

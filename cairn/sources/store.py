@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import decode_tags, normal_tags, parse_date
-from ..schemas import CHUNK, PENDING, RECORD, STORED
+from ..schemas import CHUNK, PENDING, STORED
 
 
 def _fs(spark: SparkSession, path: str):
@@ -97,8 +97,10 @@ def _record_columns(prefix: str = "") -> list:
 
 
 def _lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parsed lines with ``_line``, their order in the files; blank lines drop out."""
-    text = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """Parsed lines with ``_line``, which orders them by file, part of it and
+    place; blank lines drop out."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at"))
+    text = spark.read.text(path).select("value", place.alias("_line")).where(F.trim("value") != "")
     parsed = F.from_json("value", _raw(schema), {"mode": "FAILFAST"})
     return text.select("_line", parsed.alias("r")).select("_line", "r.*")
 
@@ -155,6 +157,3 @@ def to_json_rows(df: DataFrame) -> list[dict]:
     null fields."""
     return [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true", "dateFormat": "yyyy-MM-dd"})).collect()]
 
-
-def record_schema() -> T.StructType:
-    return RECORD

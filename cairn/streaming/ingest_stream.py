@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..engine import SearchEngine
 from ..schemas import BATCH
+from ..sources.scratch import stored
 
 
 def read_landing(engine: SearchEngine, path: str) -> DataFrame:
@@ -22,10 +23,8 @@ def start(engine: SearchEngine, docs: DataFrame, checkpoint: str, available_now:
     """A query that inserts and syncs each micro-batch."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        engine.batch_insert(batch.withColumn("ord", F.monotonically_increasing_id()))
+        engine.batch_insert(stored(batch.withColumn("ord", F.monotonically_increasing_id()), "landed"))
         engine.sync()
-        batch.unpersist()
 
     writer = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -12,6 +12,7 @@ from cairn.http_api import handle, serve
 from cairn.jobs import JobStore
 from cairn.operators.compaction import TombstonePolicy
 from cairn.operators.embedding import ByteSumEmbedder, HashingEmbedder
+from cairn.operators.knn import IvfIndex
 from cairn.schemas import STORED
 from cairn.sources import oplog
 from cairn.sources import store as S
@@ -280,3 +281,71 @@ def test_replay_queries_take_all_events(spark, tmp_path):
     gone = sum(d for _, _, d in want)
     assert run("tombstone_stats_replay") == [(len(want), gone, round(gone / len(want), 6))]
     assert run("compact_live_replay") == sorted((i, v) for i, v, d in want if not d)
+
+
+def test_indexes_follow_the_records(spark, tmp_path):
+    """Searches by the kept indexes are those over all live rows, after every
+    kind of change, and after opening the folder again."""
+    from cairn.operators import hybrid
+
+    conf = Config(index_min_rows=4, tombstones=TombstonePolicy(max_ratio=1.0))
+    e = SearchEngine.open(spark, str(tmp_path / "e"), conf)
+
+    def same(ef=IvfIndex.FULL_EF):
+        q = spark.createDataFrame([(0, "red fox", e.embedder(["red fox"])[0]), (1, "grey owl at night", e.embedder(["owl"])[0]), (2, None, e.embedder(["wolf"])[0])], "qid long, text string, embedding array<float>")
+        version = e.records_table.version
+        assert e.keywords.covers(version) and e.vectors.covers(version)
+        got = e.search_batch(q, k=4, ef=ef).drop("index_id")
+        want = hybrid.search(e.live(), q, k=4)
+        key = lambda df: sorted((r.qid, r["rank"], r.id, round(r.hybrid_score, 6)) for r in df.collect())
+        assert key(got) == key(want) and got.count() > 0
+        e.check()
+
+    e.batch_insert([{"id": str(i), "title": t, "body": f"note {i}"} for i, t in enumerate(["Red fox", "Grey owl", "Night owl", "Wolf and fox", "Red red wine", "A quiet night", "Owl"])])
+    e.sync()
+    same()
+    segments = len(e.keywords.state()["segments"])
+    e.batch_insert([{"id": "1", "title": "Red owl", "body": "changed"}, {"id": "20", "title": "New grey fox"}])
+    e.sync()
+    assert len(e.keywords.state()["segments"]) == segments + 1 and e.keywords.state()["gone"] and e.vectors.state()["gone"]
+    same()
+    assert e.delete(["0", "20"]) == 2
+    same()
+    e = SearchEngine.open(spark, str(tmp_path / "e"), conf)
+    same()
+    e.compact()
+    assert len(e.keywords.state()["segments"]) == 1 and not e.keywords.state()["gone"]
+    same()
+    few = e.search({"text": "fox", "ef": 1, "k": 3}).collect()
+    assert few and all(r.hybrid_score is not None for r in few)
+    # a records version that the indexes don't know is searched without them
+    e.records_table.write(e.records())
+    assert not e.keywords.covers(e.records_table.version)
+    assert {r.id for r in e.search({"text": "quiet", "alpha": 0.0}).collect()} == {"5"}
+    e = SearchEngine.open(spark, str(tmp_path / "e"), conf)
+    same()
+
+
+def test_all_errors_are_returned(spark, tmp_path):
+    e = SearchEngine.open(spark, str(tmp_path / "e"))
+    got = e.batch_insert([{"id": " "}] * 1500 + [{"id": "1", "title": "x"}])
+    assert (got["accepted"], got["failed"], len(got["errors"])) == (1, 1500, 1500)
+
+
+def test_progress_of_a_running_job(spark, tmp_path):
+    e = SearchEngine.open(spark, str(tmp_path / "e"))
+    e.batch_insert([{"id": "1", "title": "x"}, {"id": "2", "title": "y"}])
+    heard = []
+    e.sync(on_progress=lambda p: heard.append(dict(p)))
+    assert heard[0] == {"total": 2} and heard[-1]["indexed"] == 2
+
+
+def test_last_line_wins_over_files(spark, tmp_path):
+    from cairn.sources import store
+
+    (tmp_path / "p").mkdir()
+    line = lambda i, t: json.dumps({"id": i, "record": {"id": i, "title": t}, "content_hash": t}) + "\n"
+    (tmp_path / "p" / "a.jsonl").write_text(line("1", "old") * 3000 + line("2", "two"))
+    (tmp_path / "p" / "b.jsonl").write_text(line("1", "new"))
+    got = {r.id: r.content_hash for r in store.read_pending_jsonl(spark, str(tmp_path / "p")).collect()}
+    assert got == {"1": "new", "2": "two"}
