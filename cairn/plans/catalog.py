@@ -417,7 +417,25 @@ def chunk_fixed_small_overlap(spark, sf_dir):
     return chunking.chunk_frame(table(spark, sf_dir, "documents"), lambda t: chunking.fixed_chunks(t, 200, 10), id_col="doc_id")
 
 
-@query("chunk_sentences")
+SQL_SENTENCES = r"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM d),
+near AS (SELECT *, lag(c) OVER w AS p1, lag(c, 2) OVER w AS p2, lead(c) OVER w AS nx FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+stops AS (
+  SELECT *, c IN ('!', '?', chr(10)) OR c = '.' AND (nx IS NULL OR regexp_matches(nx, '\s'))
+    AND NOT (i > 2 AND regexp_matches(p1, '\pL') AND NOT regexp_matches(p2, '\pL')) AS stop FROM near
+), parts AS (
+  SELECT doc_id, i, c, coalesce(sum(stop::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM stops
+), p AS (
+  SELECT doc_id, seg, CASE WHEN seg = 0 THEN 1 ELSE min(i) FILTER (WHERE NOT regexp_matches(c, '\s')) END AS a, max(i) AS b, string_agg(c, '' ORDER BY i) AS piece
+  FROM parts GROUP BY doc_id, seg HAVING count(*) FILTER (WHERE NOT regexp_matches(c, '\s')) > 0
+)
+SELECT doc_id AS parent_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1 AS chunk_index, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS text,
+       strlen(left(d.text, a - 1)) AS start_offset, strlen(left(d.text, b)) AS end_offset
+FROM p JOIN d USING (doc_id)"""
+
+
+@query("chunk_sentences", SQL_SENTENCES)
 def chunk_sentences(spark, sf_dir):
     return chunking.sentence_frame(table(spark, sf_dir, "documents"), id_col="doc_id")
 
