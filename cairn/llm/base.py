@@ -1,12 +1,9 @@
-"""Helpers shared by the training-data operators: table access, the shared
-scratch folder, lineage cuts and skew-proof joins."""
+"""Helpers shared by the training-data operators: table access, neutral names,
+row numbers and skew-proof joins."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh, shared_dir, spread, stored
+
+__all__ = ["ARROW_ROWS", "HOT", "WORD", "Neutral", "coded_words", "fresh", "input_bytes", "join_by_key", "join_pairs", "numbered", "occurrences", "shared_dir", "sized", "spread", "stored", "table", "text_bytes", "valid_text", "word_count"]
+
 #: Words are maximal runs of anything but space and U+0009 to U+000D. For
 #: UTF-8 bytes this is exactly what ``bytes.split()`` yields.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,59 +23,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: are kept short; a batch of the longest documents still fits a worker.
 ARROW_ROWS = 500
 
-_OWN_DIR: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; also sets the Arrow batch size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the cluster names none (local tests) is an own folder used.
-    A session's files are removed when the driver's Python ends.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="cairn-"))
-        root = f"file://{_OWN_DIR[0]}"
-    base = f"{root.rstrip('/')}/cairn-{spark.sparkContext.applicationId}"
-    if base not in _CLEANED:
-        _CLEANED.add(base)
-        atexit.register(_remove, spark, base)
-    return base
-
-
-_CLEANED: set[str] = set()
-
-
-def _remove(spark: SparkSession, uri: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may be gone already
-        return
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage, and
-    survives the loss of any executor."""
-    path = fresh(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text_bytes(col: str | Column) -> Column:
