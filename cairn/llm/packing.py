@@ -17,7 +17,8 @@ reruns don't change the result.
 Defined cases: a document of size 0 (null or blank text) takes no room and no
 bin: bin_id is null. A null source is a source of its own; a null cluster
 conflicts with nothing. Repeated rows are items of their own. Texts of any
-length are cut into full sequences. Items of equal size go by source, then
+length are cut into full sequences; bytes that are no UTF-8 are U+FFFD to a
+tokenizer. Items of equal size go by source, then
 cluster and id; equal bins by age. Other columns are ignored. An empty table
 gives no rows.
 """
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simhash
-from .base import Neutral, join_by_key, numbered, occurrences, stored, table, text_bytes, word_count
+from .base import Neutral, join_by_key, numbered, occurrences, sized, stored, table, text_bytes, valid_text, word_count
+from .token_file import encoder
 
 CAPACITY = 2048
 SOURCE_LIMIT = 4
@@ -114,7 +116,7 @@ def _pack(capacity: int, source_limit: int):
                     out.append((doc, size // capacity, size // capacity * capacity, size % capacity, (shard << 32) + b, start))
                 elif size == 0:
                     out.append((doc, 0, 0, 0, None, 0))
-            names = ["doc", "piece", "first_word", "n_words", "bin_id", "start"]
+            names = ["doc", "piece", "first", "n", "bin_id", "start"]
             for i in range(0, len(out), 50_000):
                 yield pa.record_batch([pa.array([r[k] for r in out[i : i + 50_000]], pa.int64()) for k in range(6)], names)
 
@@ -123,7 +125,7 @@ def _pack(capacity: int, source_limit: int):
 
 def pack(items: DataFrame, *, capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Place the rows of ``items`` (doc, size, source, cluster): a row for each
-    piece with doc, piece, first_word (in the document), n_words, bin_id and
+    piece with doc, piece, first (unit of the document), n (units), bin_id and
     start (in the bin)."""
     known = ["doc", "size", "source", "cluster"]
     items = stored(numbered(items.select(F.col("doc").cast("long"), F.col("size").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"))), "items")
@@ -131,42 +133,49 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, source_limit: int = SOUR
     items = occurrences(items, known)
     # a row's occurrence spreads repeated rows as well
     spread = F.pmod(F.xxhash64(*known, "occ"), F.lit(n)).cast("int")
-    return items.select(spread.alias("shard"), "doc", "size", "source", "cluster").repartitionById(n, F.col("shard")).mapInArrow(_pack(capacity, source_limit), "doc long, piece long, first_word long, n_words long, bin_id long, start long")
+    return items.select(spread.alias("shard"), "doc", "size", "source", "cluster").repartitionById(n, F.col("shard")).mapInArrow(_pack(capacity, source_limit), "doc long, piece long, first long, n long, bin_id long, start long")
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", near: bool = False, **options) -> DataFrame:
-    """Pack by words. Documents of the same text are one duplicate cluster, or,
-    with ``near``, those of one component of near-duplicates."""
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Pack by words; documents of the same text are one duplicate cluster."""
     n = Neutral(docs)
-    text, size, source = n[text_col], word_count(n[text_col]).alias("size"), F.col(n[source_col]).alias("source")
-    if not near:
-        items = n.df.select(F.col(n[id_col]).alias("doc"), size, source, F.xxhash64(text_bytes(text)).alias("cluster"))
-    else:
-        items = near_items(n.df.select(F.col(n[id_col]).cast("long").alias("doc"), F.col(text).alias("text"), source))
-    return pack(items, **options).withColumnRenamed("doc", id_col)
-
-
-def near_items(docs: DataFrame) -> DataFrame:
-    """Items of (doc, text, source) whose cluster is the component of their
-    fingerprint, by its least fingerprint."""
-    width = 2
-    schema = "doc long, source string, size long, fp long"
-    rows = docs.select("doc", F.col("source").cast("string"), word_count("text").alias("size"), text_bytes("text").alias("text"))
-    sig = stored(rows.mapInArrow(_with_fingerprint(width), schema), "fingerprints")
+    text = n[text_col]
+    items = n.df.select(F.col(n[id_col]).alias("doc"), word_count(text).alias("size"), F.col(n[source_col]).alias("source"), F.xxhash64(text_bytes(text)).alias("cluster"))
+    return _named(pack(items, **options), id_col, "word")
+
+
+def _named(packed: DataFrame, id_col: str, unit: str) -> DataFrame:
+    return packed.withColumnsRenamed({"doc": id_col, "first": f"first_{unit}", "n": f"n_{unit}s"})
+
+
+def pack_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Pack by a tokenizer's ids; near-duplicates of one component (texts whose
+    fingerprints link) are one duplicate cluster, named by its least fingerprint."""
+    n = Neutral(docs)
+    rows = n.df.select(F.col(n[id_col]).cast("long").alias("doc"), F.col(n[source_col]).cast("string").alias("source"), F.coalesce(valid_text(n[text_col]), F.lit("")).alias("text"))
+    sig = stored(rows.mapInArrow(_measured(tokenizer_path), "doc long, source string, size long, fp long"), "fingerprints")
     fps = stored(sig.groupBy("fp").agg(F.count("*").alias("n")), "fps")
     roots = simhash.components(stored(simhash.links(fps), "links"))
     place = stored(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("cluster")), "clusters")
-    return join_by_key(sig, place, "fp", "n", sig.count()).select("doc", "size", "source", "cluster")
+    items = join_by_key(sig, place, "fp", "n", sig.count()).select("doc", "size", "source", "cluster")
+    return _named(pack(items, **options), id_col, "token")
+
 
+def _measured(path: str):
+    """Texts as their number of ids and their fingerprint."""
 
-def _with_fingerprint(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([simhash.fingerprint(t, width) for t in batch.column(3).to_pylist()], np.uint64)
-            yield pa.record_batch([*batch.columns[:3], pa.array(fp.view(np.int64))], ["doc", "source", "size", "fp"])
+        enc = encoder(path)
+        for batch in sized(batches, 2):
+            fp = np.array([simhash.fingerprint(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.record_batch([*batch.columns[:2], pa.array(enc.count_all(batch.column(2))), pa.array(fp.view(np.int64))], ["doc", "source", "size", "fp"])
 
     return run
 
 
-def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), near=True)
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_tokens(table(spark, sf_dir, "documents"), tokenizer_path)

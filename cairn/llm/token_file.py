@@ -233,10 +233,25 @@ class Encoder:
         done = iter(out.to_pylist())
         return pa.array([next(done) if ok else np.array(self.tok.encode(t.as_py(), add_special_tokens=False).ids, self.dtype).tobytes() + end for ok, t in zip(easy, texts)], pa.binary())
 
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        easy = np.array([self.fast and SAFE.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts.to_pylist()], bool)
+        out = np.zeros(len(texts), np.int64)
+        offsets, codes, words = coded_words(pc.utf8_lower(texts.filter(pa.array(easy))))
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, map(self._word, words)), np.int64, len(words)) // width
+        out[easy] = np.diff(np.append(0, np.cumsum(sizes[codes]))[offsets])
+        for i in np.flatnonzero(~easy).tolist():
+            out[i] = len(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids)
+        return out
+
+    def _word(self, word: str) -> bytes:
+        get, new = self.pieces.get, self._piece
+        return b"".join([get(p) or new(p) for p in PIECE.findall(word)])
+
     def _easy(self, texts: pa.Array, end_id: int | None) -> pa.Array:
         offsets, codes, words = coded_words(pc.utf8_lower(texts))
-        get, new = self.pieces.get, self._piece
-        found = [b"".join([get(p) or new(p) for p in PIECE.findall(w)]) for w in words]
+        found = list(map(self._word, words))
         width = np.dtype(self.dtype).itemsize
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
         first = np.append(0, np.cumsum(sizes))[:-1]

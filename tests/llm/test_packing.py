@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from cairn.llm import packing as P
 
 from .helpers import doc, frame, with_clashes
@@ -84,7 +86,14 @@ def test_partitions_do_not_matter(spark):
 def test_near_copies_share_no_bin(spark, tmp_path):
     base = " ".join(f"word{i} more{i * 7}" for i in range(60))
     rows = [doc(i, base + (" end" if i % 2 else "")) for i in range(10)] + [doc(100 + i, f"short text {i} {i * i}") for i in range(20)] + [doc(200, None)]
+    rows += [doc(300, "Many tokens, 漢字! " * 900, source="b")]
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = P.op8_best_fit_packing(spark, str(tmp_path)).collect()
-    assert Counter(x.doc_id for x in got) == Counter(i for i, *_ in rows)
+    enc = P.encoder(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    size = {i: len(enc.tok.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in rows}
+    total, room = Counter(), Counter()
+    for x in got:
+        total[x.doc_id] += x.n_tokens
+        room[x.bin_id] += x.n_tokens
+    assert total == Counter(size) and size[300] > 2048 and max(v for b, v in room.items() if b is not None) <= 2048
     assert len({x.bin_id for x in got if x.doc_id < 100}) == 10
