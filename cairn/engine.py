@@ -137,13 +137,24 @@ class SearchEngine:
             before = self.records_table.version
             version = self.records_table.write(ingest.replace_rows(records, new), applied=number)
             self._index(version, before, self._with_text(new))
-            self.pending_table.write(pending.join(outcome.where("result = 'failed'").select("id"), "id", "left_semi"))
+            self._leave_pending(pending.join(outcome.where("result = 'failed'").select("id"), "id", "left_semi"))
             if self.chunking:
                 self.rebuild_chunks()
         self.maybe_compact()
         self.maybe_rotate()
         return counts
 
+    def _leave_pending(self, rows: DataFrame) -> None:
+        """What failed stays pending. If that can't be written in three tries,
+        all stays, and the next sync finds it unchanged."""
+        for left in (2, 1, 0):
+            try:
+                self.pending_table.write(rows)
+                return
+            except Exception as e:
+                if not left:
+                    raise StorageError(f"indexed, but the pending table could not be written: {e}") from e
+
     def _log_sync(self, records: DataFrame, new: DataFrame) -> int:
         old = records.where(~F.col("deleted")).join(new.select("id"), "id", "left_semi").select("id")
         gone = old.select(F.lit("delete").alias("op"), F.lit(None).cast("string").alias("kind"), "id", F.lit(None).cast(STORED).alias("record"), F.lit(0).alias("o"))

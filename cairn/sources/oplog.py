@@ -125,11 +125,22 @@ def fold(records: DataFrame, ops: DataFrame, compat: bool = False) -> DataFrame:
     return rest.unionByName(done)
 
 
+#: Ops of the log, by number, that a task reduces together for an id.
+STRETCH = 1 << 20
+
+
 def reduce_ops(ops: DataFrame) -> DataFrame:
     """The ops that can change anything, with the same replay: an append counts
     first or after a delete only, a write until the next write, a delete until
-    the next delete. However often an id is written, few of its ops are left."""
-    by_seq = Window.partitionBy("id").orderBy("seq")
+    the next delete. However often an id is written, few of its ops are left.
+    Stretches of the log are reduced on their own first, so that a hot id's ops
+    don't meet before."""
+    stretch = F.floor(F.col("seq") / STRETCH)
+    return _reduce(_reduce(ops.withColumn("_s", stretch), ["id", "_s"]).drop("_s"), ["id"])
+
+
+def _reduce(ops: DataFrame, by: list[str]) -> DataFrame:
+    by_seq = Window.partitionBy(*by).orderBy("seq")
     before = F.lag("op").over(by_seq)
     first = F.lag("seq").over(by_seq).isNull()
     kept = ops.withColumn("_keep", F.coalesce(F.col("kind") != "append", F.lit(True)) | first | F.coalesce(before == "delete", F.lit(False))).where("_keep").drop("_keep")

@@ -326,6 +326,35 @@ def test_indexes_follow_the_records(spark, tmp_path):
     same()
 
 
+def test_pending_writes_are_tried_again(spark, tmp_path, monkeypatch):
+    e = SearchEngine.open(spark, str(tmp_path / "e"))
+    e.batch_insert([{"id": "1", "title": "x"}])
+    write, tries = e.pending_table.write, []
+
+    def failing(df, *a, **k):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("full")
+        return write(df, *a, **k)
+
+    monkeypatch.setattr(e.pending_table, "write", failing)
+    assert e.sync()["indexed"] == 1 and len(tries) == 3 and e.pending().count() == 0
+
+
+def test_reduced_in_stretches(spark, monkeypatch):
+    """Stretches of the log, reduced on their own first, replay alike."""
+    import random
+
+    monkeypatch.setattr(oplog, "STRETCH", 3)
+    r = random.Random(5)
+    log = [{"seq": i, "op": o, "kind": None if o == "delete" else k, "id": "a", "record": None} for i in range(60) for o, k in [(r.choice(["write", "delete"]), r.choice(["append", "insert", "update"]))]]
+    ops = [{**x, "record": None if x["op"] == "delete" else {"id": "a", "title": str(x["seq"]), "deleted": False}} for x in log]
+    frame_ = spark.createDataFrame([(x["seq"], x["op"], x["kind"], x["id"]) for x in ops], "seq long, op string, kind string, id string")
+    left = {x.seq for x in oplog.reduce_ops(frame_).collect()}
+    plain = lambda some: [(x["title"], x["deleted"]) for x in oplog.apply_ops([], some)]
+    assert plain([x for x in ops if x["seq"] in left]) == plain(ops) and len(left) < 60
+
+
 def test_all_errors_are_returned(spark, tmp_path):
     e = SearchEngine.open(spark, str(tmp_path / "e"))
     got = e.batch_insert([{"id": " "}] * 1500 + [{"id": "1", "title": "x"}])
