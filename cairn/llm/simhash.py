@@ -39,6 +39,8 @@ from .base import Neutral, join_by_key, numbered, sized, stored, table, text_byt
 
 MAX_BITS = 6
 SEED = 42
+#: Seeds of the fingerprints by which documents are dropped.
+SEEDS = (42, 43, 44)
 #: Fingerprints of a key that one task compares with each other.
 GROUP = 4096
 #: (first bit, width) of each segment.
@@ -117,37 +119,45 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, width: int = 2) -> int:
-    """SimHash of the lower-cased text's ``width``-word shingles."""
+def fingerprints(text: bytes, width: int = 2, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """SimHash of the lower-cased text's ``width``-word shingles, for each seed."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     n = max(1, len(words) - width + 1)
     if width == 2 and n > 1:
-        shingles = map(b" ".join, zip(words, words[1:]))
+        shingles = list(map(b" ".join, zip(words, words[1:])))
     else:
-        shingles = (b" ".join(words[i : i + width]) for i in range(n))
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(s, SEED) for s in shingles], "<u8", n)
-    bits = _bit_counts(h) * 2 > n
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        shingles = [b" ".join(words[i : i + width]) for i in range(n)]
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        bits = _bit_counts(np.fromiter([digest(s, seed) for s in shingles], "<u8", n)) * 2 > n
+        out.append(int(np.packbits(bits, bitorder="little").view("<u8")[0]))
+    return out
+
+
+def fingerprint(text: bytes, width: int = 2) -> int:
+    return fingerprints(text, width)[0]
+
 
+def _fingerprints(width: int, seeds: tuple[int, ...]):
+    names = ["fp", *[f"fp{i}" for i in range(1, len(seeds))]]
 
-def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in batch.column(3).to_pylist()], np.uint64)
-            yield pa.record_batch([*batch.columns[:3], pa.array(fp.view(np.int64))], ["doc", "row", "th", "fp"])
+            fp = np.array([fingerprints(t, width, seeds) for t in batch.column(3).to_pylist()], np.uint64).reshape(-1, len(seeds))
+            yield pa.record_batch([*batch.columns[:3], *[pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(len(seeds))]], ["doc", "row", "th", *names])
 
     return run
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, row_col: str | None = None) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, row_col: str | None = None, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """doc, row (``row_col``, or null), th (64-bit hash of the text) and fp (the
-    fingerprint's bits)."""
+    fingerprint's bits); fp1, fp2, ... for more seeds."""
     text = text_bytes(text_col)
     row = F.col(row_col) if row_col else F.lit(None).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc"), row.alias("row"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_fingerprints(width), "doc long, row long, th long, fp long")
+    schema = "doc long, row long, th long, fp long" + "".join(f", fp{i} long" for i in range(1, len(seeds)))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), row.alias("row"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_fingerprints(width, seeds), schema)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,14 +330,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("doc").alias(id_col), "row", "fp", "n_near", F.col("winner.doc").alias("component_id"), keep.alias("keep"))
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_components(sig: DataFrame, fps: list[str]) -> DataFrame:
+    """Of signatures (th, a column for each of ``fps``): th and root, for the
+    texts that are linked to any other by one of their fingerprints."""
+    edges = None
+    for fp in fps:
+        # texts of one fingerprint hang on the least of them, which its links join
+        texts = sig.groupBy(F.col(fp).alias("fp"), "th").agg(F.count("*").alias("rows"))
+        own = stored(texts.groupBy("fp").agg(F.min("th").alias("first"), F.count("*").alias("n")), "fingerprints")
+        total = own.agg(F.sum("n")).first()[0] or 0
+        same = join_by_key(texts.select("fp", "th"), own, "fp", "n", total).where("th <> first").select(F.col("first").alias("a"), F.col("th").alias("b"))
+        pairs = stored(links(own), "links")
+        name = lambda c: own.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+        near = pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        found = same.unionByName(near.where("a <> b"))
+        edges = found if edges is None else edges.unionByName(found)
+    return components(stored(edges.distinct(), "edges")).withColumnRenamed("node", "th")
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """The documents without near-duplicates: one row of each component, with
-    all columns. Rows are numbered and written first, so that of equal rows one
-    is named, and no join key is hot."""
+    all columns: the smallest by id (null last), text hash and row. Documents
+    are linked if their fingerprints of any seed are; each seed is another try
+    for copies whose difference happens to flip a bit too many. Rows are
+    numbered and written first, so that of equal rows one is named, and no join
+    key is hot."""
     n = Neutral(docs)
     rows = stored(numbered(n.df), "rows")
-    found = near_duplicates(rows, id_col=n[id_col], text_col=n[text_col], row_col="row").where("keep").select("row")
-    return n.restore(rows.join(found, "row", "left_semi"))
+    fps = ["fp", *[f"fp{i}" for i in range(1, len(seeds))]]
+    sig = stored(signatures(rows, n[id_col], n[text_col], row_col="row", seeds=seeds), "signatures")
+    first = F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col("th"), F.col("row"))).alias("first")
+    texts = stored(sig.groupBy("th").agg(first), "texts")
+    comp = text_components(sig, fps)
+    best = texts.join(comp, "th", "left").groupBy(F.coalesce("root", "th").alias("root")).agg(F.min("first").alias("first"))
+    return n.restore(rows.join(best.select("first.row"), "row", "left_semi"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,8 +53,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the smallest by id
-    (nulls last), then by the text's hash; of rows equal in both, any one."""
+    """Keep one document of each group of near-duplicates, by fingerprints of
+    three seeds: the smallest by id (nulls last), then by the text's hash; of
+    rows equal in both, any one."""
     _arrow(spark)
     n = Neutral(docs)
     return n.restore(simhash.keep_one_of_each(n.df, id_col=n["doc_id"], text_col=n["text"]))

@@ -9,19 +9,19 @@ from cairn.llm import simhash as S
 from .helpers import doc, frame, with_clashes, words
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, seed=42):
     w = (text or "").encode().lower().split()
     if not w:
         return 0
     sh = [b" ".join(w[i : i + 2]) for i in range(max(1, len(w) - 1))]
-    h = [xxhash.xxh64_intdigest(x, 42) for x in sh]
+    h = [xxhash.xxh64_intdigest(x, seed) for x in sh]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute(rows):
-    fps = [plain_fingerprint(t) for _, t, *_ in rows]
-    n = len(rows)
-    near = [[j for j in range(n) if j != i and (fps[i] ^ fps[j]).bit_count() <= 6] for i in range(n)]
+def brute(rows, seeds=(42,)):
+    all_fps = [[plain_fingerprint(t, s) for s in seeds] for _, t, *_ in rows]
+    fps, n = [x[0] for x in all_fps], len(rows)
+    near = [[j for j in range(n) if j != i and any((a ^ b).bit_count() <= 6 for a, b in zip(all_fps[i], all_fps[j]))] for i in range(n)]
     comp = list(range(n))
     for _ in range(n):
         for i in range(n):
@@ -73,9 +73,14 @@ def test_against_brute_force(spark):
     mine = Counter((x.doc_id, x.fp & (2**64 - 1), x.n_near, x.component_id) for x in got)
     assert mine == Counter(brute(rows))
     kept = S.keep_one_of_each(df)
-    assert kept.columns == df.columns
-    comps = Counter((x.component_id, x.fp if x.component_id is None else 0) for x in got if x.keep)
-    assert kept.count() == len({(c, f) for c, f in comps}) and kept.where("doc_id = 950").count() == 1
+    assert kept.columns == df.columns and kept.where("doc_id = 950").count() == 1
+    want = brute(rows, S.SEEDS)
+    assert {c for *_, c in want} - {None} == {x.doc_id for x in kept.collect()} - {None}
+    alone = sum(1 for (i, *_, c) in want if c is None)
+    assert kept.where("doc_id IS NULL").count() == min(alone, 1)
+    # the same texts by one seed
+    one = S.keep_one_of_each(df, seeds=(42,)).collect()
+    assert {x.doc_id for x in one} - {None} == {c for *_, c in brute(rows)} - {None}
 
 
 def test_links_and_components(spark):
