@@ -44,3 +44,15 @@ def test_frame(spark):
     got = {r.doc_id: r.n_tokens for r in C.token_counts(with_clashes(frame(spark, [doc(1, None), doc(2, ""), doc(3, "a b")])), path).collect()}
     assert got == {1: 0, 2: 0, 3: C.counter(path).count("▁a▁b")}
     assert C.token_counts(frame(spark, []), path).count() == 0
+
+
+def test_many_words_at_a_time():
+    """Vectors over words count as one word alone does, with ties and unknowns."""
+    r = random.Random(9)
+    for fallback in (True, False):
+        vocab = [("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -1.5), ("abab", -4.0), ("bb", -3.0), ("é", -2.0), ("aaa", -2.5), ("x", -20.0), ("▁", -3.0), ("▁a", -2.0)]
+        vocab += [(f"<0x{b:02X}>", -30.0) for b in range(256)] if fallback else []
+        c = C.Counter(vocab, fallback)
+        words = ["", "q", "▁", *["".join(r.choice("abéxq漢𝒜▁") for _ in range(r.randint(1, 30))) for _ in range(3000)]]
+        assert c.count_many(words) == [c.count(w) for w in words]
+    assert c.count_many([]) == []
