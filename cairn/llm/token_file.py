@@ -208,6 +208,7 @@ class Encoder:
         self.size = cache
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
         self.kind = {2: "H", 4: "I"}[np.dtype(self.dtype).itemsize]
 
     def _piece(self, p: str) -> bytes:
@@ -238,13 +239,24 @@ class Encoder:
         easy = np.array([self.fast and SAFE.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts.to_pylist()], bool)
         out = np.zeros(len(texts), np.int64)
         offsets, codes, words = coded_words(pc.utf8_lower(texts.filter(pa.array(easy))))
-        width = np.dtype(self.dtype).itemsize
-        sizes = np.fromiter(map(len, map(self._word, words)), np.int64, len(words)) // width
+        sizes = np.fromiter(map(self._count, words), np.int64, len(words))
         out[easy] = np.diff(np.append(0, np.cumsum(sizes[codes]))[offsets])
         for i in np.flatnonzero(~easy).tolist():
             out[i] = len(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids)
         return out
 
+    def _count(self, word: str) -> int:
+        """How many ids a word has; a word of letters alone is one piece."""
+        get, total = self.counts.get, 0
+        for p in (word,) if word.isalpha() else PIECE.findall(word):
+            n = get(p)
+            if n is None:
+                if len(self.counts) >= 2 * self.size:
+                    self.counts.clear()
+                n = self.counts[p] = len(self.model.tokenize(p.translate(self.table)))
+            total += n
+        return total
+
     def _word(self, word: str) -> bytes:
         get, new = self.pieces.get, self._piece
         return b"".join([get(p) or new(p) for p in PIECE.findall(word)])

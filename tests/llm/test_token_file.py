@@ -48,6 +48,7 @@ def test_encoder_is_the_librarys():
     texts += ["", "it's WE'LL 's", "a <|endoftext|> b", "x\x0by\x1cz\x85w\xa0e\xad", "Σας ΟΔΟΣ ﬁ हिन्दी 漢", "á İ"]
     for t in texts:
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert e.count_all(T.pa.array(texts)).tolist() == [len(e.tok.encode(t, add_special_tokens=False).ids) for t in texts]
     byte = T.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not byte.fast and np.frombuffer(byte.encode("Hello  x"), byte.dtype).tolist() == byte.tok.encode("Hello  x").ids
 
