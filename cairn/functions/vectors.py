@@ -23,6 +23,12 @@ def normalize(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded, with the sign of what becomes zero, as SQL's round keeps it."""
+    r = F.round(x, places)
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine of two vectors, null if either has no direction."""
     size = norm(a) * norm(b)
