@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import StorageError
 from ..functions.vectors import norm
@@ -18,6 +19,9 @@ from ..sources.scratch import stored
 
 #: Queries of one pass over the vectors; only a block is ever broadcast.
 QUERY_BLOCK = 4096
+#: Vectors and queries that are compared at once, products of vectors and
+#: centroids held at once, and rows of a batch of results.
+TILE_ROWS, TILE_QUERIES, PRODUCTS, OUT_ROWS = 4096, 256, 1 << 22, 1 << 16
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -26,23 +30,90 @@ def _unit(column: pa.Array) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+class _Best:
+    """The k nearest of each query that a task has seen: what it holds grows
+    with queries times k alone. ``distinct`` counts an id once for a query."""
+
+    def __init__(self, qids: pa.Array, k: int, distinct: bool = False):
+        self.qids, self.k, self.distinct = qids, k, distinct
+        self.edge = np.full(len(qids), np.inf)
+        self.rows: list = []
+        self.dists: list = []
+        self.ids: list = []
+        self.held, self.room = 0, max(2 * len(qids) * k, 1 << 16)
+
+    def offer(self, asks: np.ndarray, q: np.ndarray, ids: pa.Array, unit: np.ndarray) -> None:
+        """Compares the queries ``asks`` (their vectors ``q``) with vectors in
+        the order of their ids, a tile at a time."""
+        for x in range(0, len(unit), TILE_ROWS):
+            own = unit[x : x + TILE_ROWS].T
+            most = min(self.k, own.shape[1])
+            for y in range(0, len(asks), TILE_QUERIES):
+                at = asks[y : y + TILE_QUERIES]
+                dist = np.round(1.0 - q[y : y + TILE_QUERIES] @ own, 9)
+                edge = self.edge[at]
+                near = dist <= edge[:, None]
+                if np.count_nonzero(near) > len(at) * self.k:
+                    edge = np.minimum(edge, np.partition(dist, most - 1, axis=1)[:, most - 1])
+                    near = dist <= edge[:, None]
+                    # of ties at the edge the first ids stay
+                    for r in np.flatnonzero(np.count_nonzero(near, axis=1) > most):
+                        ties = np.flatnonzero(dist[r] == edge[r])
+                        near[r, ties[most - np.count_nonzero(dist[r] < edge[r]) :]] = False
+                rows, cols = np.nonzero(near)
+                if len(rows):
+                    self.rows.append(at[rows])
+                    self.dists.append(dist[rows, cols])
+                    self.ids.append(ids.take(pa.array(cols + x)))
+                    self.held += len(rows)
+                    if self.held > self.room:
+                        self.cut()
+
+    def cut(self) -> None:
+        if not self.held:
+            return
+        rows, dists, ids = np.concatenate(self.rows), np.concatenate(self.dists), pa.concat_arrays(self.ids)
+        place = pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        if self.distinct:
+            order = np.lexsort((dists, place, rows))
+            r, p = rows[order], place[order]
+            order = order[np.append(True, (r[1:] != r[:-1]) | (p[1:] != p[:-1]))]
+            order = order[np.lexsort((place[order], dists[order], rows[order]))]
+        else:
+            order = np.lexsort((place, dists, rows))
+        r = rows[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        order, nth = order[nth < self.k], nth[nth < self.k]
+        rows, dists = rows[order], dists[order]
+        self.edge[rows[nth == self.k - 1]] = dists[nth == self.k - 1]
+        self.rows, self.dists, self.ids = [rows], [dists], [ids.take(pa.array(order))]
+        self.held = len(rows)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        for i in range(0, self.held, OUT_ROWS):
+            to = i + OUT_ROWS
+            yield pa.record_batch([self.qids.take(pa.array(self.rows[0][i:to])), self.ids[0][i:to], pa.array(self.dists[0][i:to])], ["qid", "id", "distance"])
+
+
+def _by_id(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+    """Rows of vectors of ``dim`` components, in the order of ids."""
+    part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dim)) if batch.num_rows else batch
+    return part.take(pc.sort_indices(part.column(0), null_placement="at_start")) if part.num_rows else part
+
+
 def _nearest(shared, k: int):
-    """Each batch's k nearest of each query: matrix products, then a partial
-    sort; ties by the rounded distance and the id's order."""
+    """Each task's k nearest of each query; ties by the rounded distance and
+    the id's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
+        best, asks = _Best(qids, k), np.arange(len(qids))
         for batch in batches:
-            if not batch.num_rows or not len(qids):
-                continue
-            part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]))
-            if not part.num_rows:
-                continue
-            dist = np.round(1.0 - q @ _unit(part.column(1)).T, 9)
-            most = min(k, dist.shape[1])
-            edge = np.partition(dist, most - 1, axis=1)[:, most - 1 : most]
-            rows, cols = np.nonzero(dist <= edge)
-            yield pa.record_batch([pa.array(qids[rows].tolist()), part.column(0).take(pa.array(cols)), pa.array(dist[rows, cols])], ["qid", "id", "distance"])
+            part = _by_id(batch, q.shape[1])
+            if part.num_rows:
+                best.offer(asks, q, part.column(0), _unit(part.column(1)))
+        yield from best.result()
 
     return run
 
@@ -52,12 +123,13 @@ def _answered(asked: DataFrame, schema: str, block: int, answer) -> DataFrame:
     dimension; only a block is ever held or broadcast."""
     spark = asked.sparkSession
     out, held = spark.createDataFrame([], schema), []
+    kind = to_arrow_type(asked.schema["qid"].dataType)
 
     def flush(out: DataFrame) -> DataFrame:
         for dim in {len(v) for _, v in held}:
             own = [(i, v) for i, v in held if len(v) == dim]
             q = np.array([v for _, v in own], np.float64)
-            found = answer(np.array([i for i, _ in own], dtype=object), q / np.linalg.norm(q, axis=1, keepdims=True))
+            found = answer(pa.array([i for i, _ in own], kind), q / np.linalg.norm(q, axis=1, keepdims=True))
             out = out if found is None else out.unionByName(found)
         held.clear()
         return out
@@ -84,7 +156,7 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, *, query_block: in
     live = _directed(vectors.select("id", "embedding"))
     schema = _schema(vectors, queries)
 
-    def answer(qids: np.ndarray, q: np.ndarray) -> DataFrame:
+    def answer(qids: pa.Array, q: np.ndarray) -> DataFrame:
         shared = vectors.sparkSession.sparkContext.broadcast((qids, q))
         return live.mapInArrow(_nearest(shared, k), schema)
 
@@ -94,32 +166,23 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, *, query_block: in
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
-def _nearest_in_cells(shared, k: int, copies: int):
-    """Each batch's nearest of each query among the cells that it probes: one
-    matrix product a cell. A vector may be there ``copies`` times."""
+def _nearest_in_cells(shared, k: int):
+    """Each task's nearest of each query among the cells that it probes. A
+    vector may be there in several cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q, probed = shared.value
+        best = _Best(qids, k, distinct=True)
         for batch in batches:
-            part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1])) if batch.num_rows else batch
+            part = _by_id(batch, q.shape[1])
             if not part.num_rows:
                 continue
-            cell = part.column(2).to_numpy()
-            unit = _unit(part.column(1))
-            rows, cols, dists = [], [], []
+            cell, unit = part.column(2).to_numpy(), _unit(part.column(1))
             for c in np.unique(cell).tolist():
-                own, asks = np.flatnonzero(cell == c), np.flatnonzero(probed[:, c])
-                if not len(asks):
-                    continue
-                dist = np.round(1.0 - q[asks] @ unit[own].T, 9)
-                most = min(copies * k, len(own))
-                x, y = np.nonzero(dist <= np.partition(dist, most - 1, axis=1)[:, most - 1 : most])
-                rows.append(asks[x])
-                cols.append(own[y])
-                dists.append(dist[x, y])
-            if rows:
-                rows, cols = np.concatenate(rows), np.concatenate(cols)
-                yield pa.record_batch([pa.array(qids[rows].tolist()), part.column(0).take(pa.array(cols)), pa.array(np.concatenate(dists))], ["qid", "id", "distance"])
+                own, asks = np.flatnonzero(cell == c), np.flatnonzero(probed[c])
+                if len(asks):
+                    best.offer(asks, q if len(asks) == len(q) else q[asks], part.column(0).take(pa.array(own)), unit[own])
+        yield from best.result()
 
     return run
 
@@ -147,12 +210,11 @@ class IvfIndex:
         n_cells = max(1, min(n, n_cells or int(4 * np.sqrt(n)), sample_rows // 16))
         # the sample: the least hashes, so that it doesn't depend on partitions
         sample = live.orderBy(F.xxhash64(F.lit(seed), "id")).limit(min(sample_rows, 256 * n_cells))
-        x = np.array([list(r.embedding) for r in sample.select("embedding").collect()], np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(sample.select("embedding").toArrow().column(0).combine_chunks())
         rng = np.random.default_rng(seed)
         c = x[rng.permutation(len(x))[:n_cells]]
         for _ in range(rounds):
-            own = np.concatenate([(part @ c.T).argmax(axis=1) for part in np.array_split(x, len(x) // 10_000 + 1)])
+            own = np.concatenate([(part @ c.T).argmax(axis=1) for part in np.array_split(x, len(x) * n_cells // PRODUCTS + 1)])
             sums = np.zeros_like(c)
             np.add.at(sums, own, x)
             filled = np.bincount(own, minlength=len(c)) > 0
@@ -170,7 +232,8 @@ class IvfIndex:
             for b in batches:
                 b = b.filter(pc.equal(pc.list_value_length(b.column(1)), shared.value.shape[1])) if b.num_rows else b
                 if b.num_rows:
-                    near = np.argpartition(-(_unit(b.column(1)) @ shared.value.T), copies - 1, axis=1)[:, :copies]
+                    parts = np.array_split(_unit(b.column(1)), b.num_rows * len(shared.value) // PRODUCTS + 1)
+                    near = np.concatenate([np.argpartition(-(u @ shared.value.T), copies - 1, axis=1)[:, :copies] for u in parts])
                     rows = pa.array(np.repeat(np.arange(b.num_rows), copies))
                     yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), pa.array(near.ravel().astype(np.int32))], ["id", "embedding", "cell"])
 
@@ -179,9 +242,10 @@ class IvfIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, **options) -> IvfIndex:
-        """Fitted, with its cells written to the shared folder."""
+        """Fitted, with its cells written to the shared folder, each in one
+        stretch, so that a batch of rows has few of them."""
         index = cls.fit(vectors, **options) or cls(np.zeros((1, 1)), None)
-        index.cells = stored(index.assign(vectors), "cells")
+        index.cells = stored(index.assign(vectors).repartition("cell").sortWithinPartitions("cell"), "cells")
         return index
 
     def save(self, path: str) -> None:
@@ -207,15 +271,15 @@ class IvfIndex:
         cells = self.cells.select("id", "embedding", "cell")
         schema = _schema(cells, queries)
 
-        def answer(qids: np.ndarray, q: np.ndarray) -> DataFrame | None:
+        def answer(qids: pa.Array, q: np.ndarray) -> DataFrame | None:
             if q.shape[1] != self.centroids.shape[1]:
                 return None
-            near = np.argpartition(-(q @ self.centroids.T), nprobe - 1, axis=1)[:, :nprobe]
-            probed = np.zeros((len(q), n), bool)
-            probed[np.arange(len(q))[:, None], near] = True
+            probed = np.zeros((n, len(q)), bool)
+            for at in np.array_split(np.arange(len(q)), len(q) * n // PRODUCTS + 1):
+                probed[np.argpartition(-(q[at] @ self.centroids.T), nprobe - 1, axis=1)[:, :nprobe], at[:, None]] = True
             shared = queries.sparkSession.sparkContext.broadcast((qids, q, probed))
-            some = cells.where(F.col("cell").isin(np.flatnonzero(probed.any(axis=0)).tolist())) if not probed.any(axis=0).all() else cells
-            return some.mapInArrow(_nearest_in_cells(shared, k, self.COPIES), schema)
+            some = cells.where(F.col("cell").isin(np.flatnonzero(probed.any(axis=1)).tolist())) if not probed.any(axis=1).all() else cells
+            return some.mapInArrow(_nearest_in_cells(shared, k), schema)
 
         pairs = _answered(_directed(queries.select("qid", "embedding")), schema, query_block, answer)
         pairs = pairs.groupBy("qid", "id").agg(F.min("distance").alias("distance"))

@@ -73,6 +73,32 @@ def test_knn_blocks_and_ties(spark):
             assert [got[i, k + 1] for k in range(7)] == order[:7]
 
 
+def test_a_task_returns_k_of_a_query(spark, monkeypatch):
+    import pyarrow as pa
+
+    from cairn.operators import knn
+
+    monkeypatch.setattr(knn, "TILE_ROWS", 16)
+    monkeypatch.setattr(knn, "TILE_QUERIES", 3)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(300, 4))
+    v[100:200] = v[0]  # many ties
+    q, unit = v[:8], v / np.linalg.norm(v, axis=1, keepdims=True)
+    batches = lambda cells: [pa.record_batch([pa.array(map(str, range(i, i + 50))), pa.array(v[i : i + 50].tolist()), pa.array(np.arange(i, i + 50, dtype=np.int32) % cells)], ["id", "embedding", "cell"]) for i in range(0, 300, 50)]
+    dist = np.round(1 - unit[:8] @ unit.T, 9)
+    want = {(i, s) for i in range(8) for s in sorted(map(str, range(300)), key=lambda s: (dist[i, int(s)], s))[:5]}
+
+    class Shared:
+        value = (pa.array(range(8)), unit[:8])
+
+    class Probed:
+        value = (pa.array(range(8)), unit[:8], np.ones((300, 8), bool))
+
+    for run in (knn._nearest(Shared, 5)(iter(batches(1))), knn._nearest_in_cells(Probed, 5)(iter(batches(300) + batches(7)))):
+        got = [(a, b) for out in run for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert len(got) == 8 * 5 and set(got) == want
+
+
 def test_ivf_recall_and_round_trip(spark, tmp_path):
     r = np.random.default_rng(1)
     v = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(300)], "id long, embedding array<float>")
