@@ -16,12 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..errors import StorageError
 from ..functions.vectors import norm
 from ..sources.scratch import stored
+from .best import Best
 
 #: Queries of one pass over the vectors; only a block is ever broadcast.
 QUERY_BLOCK = 4096
-#: Vectors and queries that are compared at once, products of vectors and
-#: centroids held at once, and rows of a batch of results.
-TILE_ROWS, TILE_QUERIES, PRODUCTS, OUT_ROWS = 4096, 256, 1 << 22, 1 << 16
+#: Vectors and queries that are compared at once, and products of vectors and
+#: centroids held at once.
+TILE_ROWS, TILE_QUERIES, PRODUCTS = 4096, 256, 1 << 22
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -30,89 +31,32 @@ def _unit(column: pa.Array) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-class _Best:
-    """The k nearest of each query that a task has seen: what it holds grows
-    with queries times k alone. ``distinct`` counts an id once for a query."""
-
-    def __init__(self, qids: pa.Array, k: int, distinct: bool = False):
-        self.qids, self.k, self.distinct = qids, k, distinct
-        self.edge = np.full(len(qids), np.inf)
-        self.rows: list = []
-        self.dists: list = []
-        self.ids: list = []
-        self.held, self.room = 0, max(2 * len(qids) * k, 1 << 16)
-
-    def offer(self, asks: np.ndarray, q: np.ndarray, ids: pa.Array, unit: np.ndarray) -> None:
-        """Compares the queries ``asks`` (their vectors ``q``) with vectors in
-        the order of their ids, a tile at a time."""
-        for x in range(0, len(unit), TILE_ROWS):
-            own = unit[x : x + TILE_ROWS].T
-            most = min(self.k, own.shape[1])
-            for y in range(0, len(asks), TILE_QUERIES):
-                at = asks[y : y + TILE_QUERIES]
-                dist = np.round(1.0 - q[y : y + TILE_QUERIES] @ own, 9)
-                edge = self.edge[at]
-                near = dist <= edge[:, None]
-                if np.count_nonzero(near) > len(at) * self.k:
-                    edge = np.minimum(edge, np.partition(dist, most - 1, axis=1)[:, most - 1])
-                    near = dist <= edge[:, None]
-                    # of ties at the edge the first ids stay
-                    for r in np.flatnonzero(np.count_nonzero(near, axis=1) > most):
-                        ties = np.flatnonzero(dist[r] == edge[r])
-                        near[r, ties[most - np.count_nonzero(dist[r] < edge[r]) :]] = False
-                rows, cols = np.nonzero(near)
-                if len(rows):
-                    self.rows.append(at[rows])
-                    self.dists.append(dist[rows, cols])
-                    self.ids.append(ids.take(pa.array(cols + x)))
-                    self.held += len(rows)
-                    if self.held > self.room:
-                        self.cut()
-
-    def cut(self) -> None:
-        if not self.held:
-            return
-        rows, dists, ids = np.concatenate(self.rows), np.concatenate(self.dists), pa.concat_arrays(self.ids)
-        place = pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
-        if self.distinct:
-            order = np.lexsort((dists, place, rows))
-            r, p = rows[order], place[order]
-            order = order[np.append(True, (r[1:] != r[:-1]) | (p[1:] != p[:-1]))]
-            order = order[np.lexsort((place[order], dists[order], rows[order]))]
-        else:
-            order = np.lexsort((place, dists, rows))
-        r = rows[order]
-        nth = np.arange(len(r)) - np.searchsorted(r, r)
-        order, nth = order[nth < self.k], nth[nth < self.k]
-        rows, dists = rows[order], dists[order]
-        self.edge[rows[nth == self.k - 1]] = dists[nth == self.k - 1]
-        self.rows, self.dists, self.ids = [rows], [dists], [ids.take(pa.array(order))]
-        self.held = len(rows)
-
-    def result(self) -> Iterator[pa.RecordBatch]:
-        self.cut()
-        for i in range(0, self.held, OUT_ROWS):
-            to = i + OUT_ROWS
-            yield pa.record_batch([self.qids.take(pa.array(self.rows[0][i:to])), self.ids[0][i:to], pa.array(self.dists[0][i:to])], ["qid", "id", "distance"])
-
-
 def _by_id(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
     """Rows of vectors of ``dim`` components, in the order of ids."""
     part = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dim)) if batch.num_rows else batch
     return part.take(pc.sort_indices(part.column(0), null_placement="at_start")) if part.num_rows else part
 
 
+def _compare(best: Best, asks: np.ndarray, q: np.ndarray, ids: pa.Array, unit: np.ndarray) -> None:
+    """Offers the distances of the queries ``asks`` (their vectors ``q``) to
+    vectors in the order of their ids, a tile at a time."""
+    for x in range(0, len(unit), TILE_ROWS):
+        own, some = unit[x : x + TILE_ROWS].T, ids[x : x + TILE_ROWS]
+        for y in range(0, len(asks), TILE_QUERIES):
+            best.offer(asks[y : y + TILE_QUERIES], np.round(1.0 - q[y : y + TILE_QUERIES] @ own, 9), some)
+
+
 def _nearest(shared, k: int):
     """Each task's k nearest of each query; ties by the rounded distance and
     the id's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
-        best, asks = _Best(qids, k), np.arange(len(qids))
+        best, asks = Best(qids, k), np.arange(len(qids))
         for batch in batches:
             part = _by_id(batch, q.shape[1])
             if part.num_rows:
-                best.offer(asks, q, part.column(0), _unit(part.column(1)))
+                _compare(best, asks, q, part.column(0), _unit(part.column(1)))
         yield from best.result()
 
     return run
@@ -172,7 +116,7 @@ def _nearest_in_cells(shared, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q, probed = shared.value
-        best = _Best(qids, k, distinct=True)
+        best = Best(qids, k, distinct=True)
         for batch in batches:
             part = _by_id(batch, q.shape[1])
             if not part.num_rows:
@@ -181,7 +125,7 @@ def _nearest_in_cells(shared, k: int):
             for c in np.unique(cell).tolist():
                 own, asks = np.flatnonzero(cell == c), np.flatnonzero(probed[c])
                 if len(asks):
-                    best.offer(asks, q if len(asks) == len(q) else q[asks], part.column(0).take(pa.array(own)), unit[own])
+                    _compare(best, asks, q if len(asks) == len(q) else q[asks], part.column(0).take(pa.array(own)), unit[own])
         yield from best.result()
 
     return run

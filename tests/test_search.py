@@ -50,6 +50,31 @@ def test_bm25_against_plain_python(spark):
     assert {x.id: pytest.approx(x.score) for x in got} == want
 
 
+def test_scores_dont_leave_their_texts(spark, monkeypatch):
+    """A common term's postings don't meet in one task, however many queries."""
+    import random
+
+    from cairn.operators import bm25
+
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(bm25, "SUMS", 20)
+    r = random.Random(2)
+    docs = [(str(i), " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9)))) for i in range(90)]
+    asks = [(i, " ".join(r.choice("abcxyz") for _ in range(4))) for i in range(10)] + [(10, None), (11, "zz")]
+    d, q = spark.createDataFrame(docs, "id string, text string").repartition(3), spark.createDataFrame(asks, "qid long, text string")
+    found = TextIndex.build(d).scores(q)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    every = {(x.qid, x.id): round(x.score, 9) for x in found.collect()}
+    share = {(i, k) for i, t in asks for k, text in docs if set((t or "").split()) & set(text.split())}
+    assert set(every) == share
+    top = {(x.qid, x.rank): (x.id, x.score) for x in TextIndex.build(d).top_k(q, 4).collect()}
+    want = {}
+    for i, _ in asks:
+        own = sorted((-s, k) for (a, k), s in every.items() if a == i)[:4]
+        want |= {(i, n): (k, pytest.approx(-s)) for n, (s, k) in enumerate(own, 1)}
+    assert top == want
+
+
 def test_knn(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, []), (6, [1.0])], "id long, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0]), (8, [0.0, 0.0])], "qid long, embedding array<float>")
