@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import BadRequest
 from ..functions.text import preview
+from ..sources.scratch import stored
 from .bm25 import TextIndex
 from .filters import SearchFilter
 from .knn import exact_knn
@@ -42,11 +44,30 @@ def search(records: DataFrame, queries: DataFrame, *, k: int = 5, alpha: float =
     among the queries the keyword branch isn't run.
     """
     mode = mode_of(alpha)
-    budget = max(4 * k, 100)
     if prefilter and filter is not None:
         records = records.where(filter.column())
         if chunks is not None:
             chunks = chunks.join(records.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    found, best = _candidates(records, queries, mode, max(4 * k, 100), index, chunks, nearest, text_col)
+    return _ranked(_described(found, records), mode, alpha, k, None if prefilter else filter, best, chunks)
+
+
+def sweep(records: DataFrame, queries: DataFrame, alphas: tuple[float, ...], *, k: int = 5, index: TextIndex | None = None, text_col: str = "text") -> DataFrame:
+    """alpha and the hits of a search with each of the weights between 0 and 1:
+    the branches run once for all of them."""
+    found, _ = _candidates(records, queries, "hybrid", max(4 * k, 100), index, None, None, text_col)
+    rows, out = stored(_described(found, records), "candidates"), None
+    for a in alphas:
+        if mode_of(a) != "hybrid":
+            raise BadRequest(f"alpha {a} has a branch of its own")
+        part = _ranked(rows, "hybrid", a, k, None, None, None).select(F.lit(a).alias("alpha"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _candidates(records: DataFrame, queries: DataFrame, mode: str, budget: int, index: TextIndex | None, chunks: DataFrame | None, nearest: Callable[[DataFrame, int], DataFrame | None] | None, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """qid, id, distance and score of both branches' ``budget`` best, and the
+    best chunks where there are chunks."""
     vec = bm = best = None
     if mode != "bm25_only":
         if chunks is None:
@@ -71,14 +92,20 @@ def search(records: DataFrame, queries: DataFrame, *, k: int = 5, alpha: float =
         found = vec.withColumn("score", F.lit(None).cast("double"))
     else:
         found = vec.join(bm, ["qid", "id"], "full_outer")
-    if mode == "hybrid":
-        over = Window.partitionBy("qid")
-        scale = (F.min("distance").over(over), F.greatest(F.lit(0.0), F.max("distance").over(over)), F.greatest(F.lit(0.0), F.max("score").over(over)))
-        found = found.withColumn("hybrid", blend(F.col("distance"), F.col("score"), *scale, alpha))
-    else:
-        found = found.withColumn("hybrid", F.lit(None).cast("double"))
-    rows = found.join(records.select("id", "title", "source", "tags", "updated_at"), "id")
-    if filter is not None and not prefilter:
+    return found, best
+
+
+def _described(found: DataFrame, records: DataFrame) -> DataFrame:
+    """Candidates with their scales and the fields of their records."""
+    over = Window.partitionBy("qid")
+    scales = {"dmin": F.min("distance").over(over), "dmax": F.greatest(F.lit(0.0), F.max("distance").over(over)), "smax": F.greatest(F.lit(0.0), F.max("score").over(over))}
+    return found.withColumns(scales).join(records.select("id", "title", "source", "tags", "updated_at"), "id")
+
+
+def _ranked(rows: DataFrame, mode: str, alpha: float, k: int, filter: SearchFilter | None, best: DataFrame | None, chunks: DataFrame | None) -> DataFrame:
+    hybrid = blend(F.col("distance"), F.col("score"), F.col("dmin"), F.col("dmax"), F.col("smax"), alpha) if mode == "hybrid" else F.lit(None).cast("double")
+    rows = rows.withColumn("hybrid", hybrid)
+    if filter is not None:
         rows = rows.where(filter.column())
     worth = {"vector_only": -F.col("distance"), "bm25_only": F.col("score"), "hybrid": F.col("hybrid")}[mode]
     order = Window.partitionBy("qid").orderBy(F.round(worth, 9).desc(), "id")
