@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..errors import EngineError
+from .batches import parts
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -103,12 +104,12 @@ def embed_single(embedder: Embedder, text: str) -> list[float]:
 
 
 def embed_frame(docs: DataFrame, embedder: Embedder, *, text_col: str, one_by_one: bool = False) -> DataFrame:
-    """``docs`` with embedding and error: rows of a failed batch have no vector
-    and the message."""
+    """``docs`` with embedding and error: rows of a failed batch (a part of some
+    2 MB of texts) have no vector and the message."""
     cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text_col):
             texts = batch.column(text_col).to_pylist()
             asked = [i for i, t in enumerate(texts) if t is not None]
             vectors: list = [None] * len(texts)

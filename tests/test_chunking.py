@@ -68,3 +68,18 @@ def test_frame_handles_nulls(spark):
     rows = C.chunk_frame(d, C.fixed_chunks).collect()
     assert [(r.parent_id, r.text, r.end_offset) for r in rows] == [("c", "x y", 3)]
     assert C.chunk_frame(d.limit(0), C.fixed_chunks).count() == 0
+
+
+def test_texts_go_to_python_functions_in_parts(spark):
+    import pyarrow as pa
+
+    from cairn.operators.batches import ROWS, TEXT_BYTES, parts
+    from cairn.operators.embedding import embed_frame
+
+    text = "x" * (TEXT_BYTES // 3)
+    d = spark.createDataFrame([(i, text) for i in range(10)] + [(10, None), (11, text * 4)], "id long, text string").coalesce(1)
+    seen = embed_frame(d, lambda some: [[float(sum(map(len, some)) <= TEXT_BYTES or len(some) == 1)] for _ in some], text_col="text").collect()
+    assert sorted(r.id for r in seen) == list(range(12)) and {r.id: r.embedding for r in seen} == {i: None if i == 10 else [1.0] for i in range(12)}
+    batch = pa.record_batch([pa.array(range(5 * ROWS // 2)), pa.array(["é", None] * (5 * ROWS // 4))], ["id", "text"])
+    found = list(parts(iter([batch, batch.slice(0, 0)]), 1))
+    assert [p.num_rows for p in found] == [ROWS, ROWS, ROWS // 2] and pa.Table.from_batches(found).equals(pa.Table.from_batches([batch]))
