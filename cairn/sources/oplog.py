@@ -6,13 +6,15 @@ from __future__ import annotations
 import datetime as dt
 import os
 import struct
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import StorageError
 from ..schemas import OPS, STORED
@@ -108,21 +110,129 @@ def apply_ops(records: list[dict], ops: list[dict], compat: bool = False) -> lis
 
 def fold(records: DataFrame, ops: DataFrame, compat: bool = False) -> DataFrame:
     """The table after the log. Ids that the log doesn't name pass through
-    untouched; of the others the ops that count are replayed together."""
-    if not compat:
-        ops = reduce_ops(ops)
+    untouched; the others are replayed."""
     named = ops.select("id").distinct()
     rest = records.join(named, "id", "left_anti").select(*_FIELDS)
     mine = records.join(named, "id", "left_semi").select(*_FIELDS)
+    return rest.unionByName(replay(mine, ops, compat))
+
+
+_ROW, _DELETE, _APPEND, _PUT = range(4)
 
-    def replay(key, old: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        rows = old.sort_values("index_id", na_position="last", kind="stable").to_dict("records") if len(old) else []
-        out = apply_ops(rows, log.sort_values("seq", kind="stable").to_dict("records"), compat)
-        return pd.DataFrame([{k: r.get(k) for k in _FIELDS} for r in out], columns=_FIELDS).astype(object)
 
-    pandas_ready = T.StructType([T.StructField(f.name, f.dataType) for f in STORED.fields])
-    done = mine.groupBy("id").cogroup(ops.groupBy("id")).applyInPandas(replay, pandas_ready)
-    return rest.unionByName(done)
+def replay(records: DataFrame, ops: DataFrame, compat: bool = False) -> DataFrame:
+    """The rows after the ops, as ``apply_ops`` has them. Rows and ops meet once,
+    in the order of id and number, and a task replays one id after another as it
+    reads them; it holds no id's ops."""
+    if not compat:
+        ops = reduce_ops(ops)
+    step = F.when(F.col("op") == "delete", _DELETE).when(F.col("kind") == "append", _APPEND).otherwise(_PUT)
+    old = records.select("id", F.lit(_ROW).alias("step"), F.col("index_id").alias("at"), F.struct(*_FIELDS).alias("record"))
+    new = ops.select("id", step.alias("step"), F.col("seq").alias("at"), "record")
+    both = old.unionByName(new).repartition("id").sortWithinPartitions("id", F.col("step") != _ROW, F.asc_nulls_last("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = _Replay(compat)
+        for b in batches:
+            yield r.read(b)
+        yield from r.last()
+
+    return both.mapInArrow(run, STORED)
+
+
+class _Replay:
+    """``apply_ops`` over a stream. Held are the first row of the current id and
+    its active ones, each as a list of the array, the place in it, and whether
+    it is deleted; no op reaches another row, so that it leaves at once."""
+
+    def __init__(self, compat: bool):
+        self.compat = compat
+        self.started, self.id = False, None
+        self.out: list[list] = []
+        self._next_id()
+
+    def _next_id(self) -> None:
+        self.first: list | None = None
+        self.live: deque[list] = deque()
+        self.beyond = False  # with compat: an active row after the first
+
+    def _end_id(self) -> None:
+        if self.first is not None:
+            self.out.append(self.first)
+        self.out += [r for r in self.live if r is not self.first]
+        self._next_id()
+
+    def read(self, b: pa.RecordBatch) -> pa.RecordBatch:
+        self.array = b.column("record")
+        gone = pc.fill_null(pc.struct_field(self.array, "deleted"), False).to_pylist()
+        op = self._compat_op if self.compat else self._op
+        for at, (i, step) in enumerate(zip(b.column("id").to_pylist(), b.column("step").to_pylist(), strict=True)):
+            if i != self.id or not self.started:
+                self._end_id()
+                self.started, self.id = True, i
+            op(step, at, gone[at])
+        done = self._take()
+        for r in {id(r): r for r in [self.first, *self.live] if r is not None}.values():
+            if r[0] is self.array:  # else the whole batch would stay for it
+                r[0], r[1] = self.array.take(pa.array([r[1]])), 0
+        return done
+
+    def last(self) -> Iterator[pa.RecordBatch]:
+        if self.started:
+            self._end_id()
+            yield self._take()
+
+    def _add(self, at: int, gone: bool) -> None:
+        row = [self.array, at, gone]
+        if self.first is None:
+            self.first = row
+        elif gone or self.compat:
+            self.out.append(row)
+            self.beyond |= not gone
+        if not gone and not self.compat:
+            self.live.append(row)
+
+    def _op(self, step: int, at: int, gone: bool) -> None:
+        live = self.live
+        if step == _DELETE:
+            if live:
+                row = live.popleft()
+                row[2] = True
+                if row is not self.first:
+                    self.out.append(row)
+        elif step == _ROW or (not live if step == _APPEND else self.first is None):
+            self._add(at, gone)
+        elif step == _PUT:
+            row = live[0] if live else self.first
+            row[:] = self.array, at, gone
+            if live and gone:
+                live.popleft()
+                if row is not self.first:
+                    self.out.append(row)
+            elif not live and not gone:
+                live.append(row)
+
+    def _compat_op(self, step: int, at: int, gone: bool) -> None:
+        first = self.first
+        if step == _DELETE:
+            if first is not None:
+                first[2] = True
+        elif step == _ROW or first is None or (step == _APPEND and first[2] and not self.beyond):
+            self._add(at, gone)
+        elif step == _PUT:
+            first[:] = self.array, at, gone
+
+    def _take(self) -> pa.RecordBatch:
+        """The rows that have left, those of earlier batches first."""
+        before = [r for r in self.out if r[0] is not self.array]
+        now = [r for r in self.out if r[0] is self.array]
+        rows = pa.concat_arrays([*[r[0] for r in before], self.array.take(pa.array([r[1] for r in now], pa.int64()))])
+        if rows.null_count:
+            raise StorageError("a write of the log has no record")
+        cols = dict(zip(_FIELDS, rows.flatten(), strict=True))
+        cols["deleted"] = pc.or_kleene(cols["deleted"], pa.array([r[2] for r in [*before, *now]], pa.bool_()))
+        self.out = []
+        return pa.record_batch(cols)
 
 
 #: Ops of the log, by number, that a task reduces together for an id.
@@ -130,24 +240,19 @@ STRETCH = 1 << 20
 
 
 def reduce_ops(ops: DataFrame) -> DataFrame:
-    """The ops that can change anything, with the same replay: an append counts
-    first or after a delete only, a write until the next write, a delete until
-    the next delete. However often an id is written, few of its ops are left.
-    Stretches of the log are reduced on their own first, so that a hot id's ops
+    """The ops that can change anything, with the same replay: an append doesn't
+    count after a write, nor a write before the next, unless the write before it
+    is of a deleted record. However often an id is written, few of its ops are
+    left. Stretches of the log are reduced on their own, so that a hot id's ops
     don't meet before."""
-    stretch = F.floor(F.col("seq") / STRETCH)
-    return _reduce(_reduce(ops.withColumn("_s", stretch), ["id", "_s"]).drop("_s"), ["id"])
-
-
-def _reduce(ops: DataFrame, by: list[str]) -> DataFrame:
-    by_seq = Window.partitionBy(*by).orderBy("seq")
-    before = F.lag("op").over(by_seq)
-    first = F.lag("seq").over(by_seq).isNull()
-    kept = ops.withColumn("_keep", F.coalesce(F.col("kind") != "append", F.lit(True)) | first | F.coalesce(before == "delete", F.lit(False))).where("_keep").drop("_keep")
-    put = F.coalesce(F.col("kind").isin("insert", "update"), F.lit(False))
-    again = F.coalesce(F.lead(put).over(by_seq), F.lit(False)) & put
-    repeat = (F.col("op") == "delete") & F.coalesce(F.lag("op").over(by_seq) == "delete", F.lit(False))
-    return kept.withColumn("_drop", again | repeat).where(~F.col("_drop")).drop("_drop")
+    append, put = F.coalesce(F.col("kind") == "append", F.lit(False)), F.coalesce(F.col("kind") != "append", F.lit(True))
+    write = F.coalesce(F.col("op") != "delete", F.lit(True))
+    gone = F.coalesce(F.col("record.deleted"), F.lit(False)) if "record" in ops.columns else F.lit(False)
+    by_seq = Window.partitionBy("id", "_s").orderBy("seq")
+    made = ops.select("*", F.floor(F.col("seq") / STRETCH).alias("_s"), (write & append).alias("_a"), (write & put).alias("_p"), (write & ~gone).alias("_w"))
+    kept = made.withColumn("_no", F.col("_a") & F.lag("_w", 1, False).over(by_seq)).where("NOT _no")
+    left = kept.withColumn("_no", F.col("_p") & F.col("_w") & F.lead("_p", 1, False).over(by_seq)).where("NOT _no")
+    return left.select(*ops.columns)
 
 
 def last_state(ops: DataFrame) -> DataFrame:

@@ -283,6 +283,51 @@ def test_replay_queries_take_all_events(spark, tmp_path):
     assert run("compact_live_replay") == sorted((i, v) for i, v, d in want if not d)
 
 
+@pytest.mark.parametrize("name", ["tombstone_stats_replay"])
+def test_replay_streams_over_one_reading_of_the_events(spark, tmp_path, name, capsys):
+    """No Python group per id, and the log isn't computed again for its ids."""
+    from cairn.plans import catalog
+
+    spark.createDataFrame([(0, "click", 1, 1.0, "{}")], "event_id long, event_type string, user_id long, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    catalog.QUERIES[name](spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and "MapInArrow" in plan and "InPandas" not in plan
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_replay_of_odd_rows_over_batches(spark, monkeypatch, compat):
+    """Ids with several active rows, rows and writes that are deleted already or
+    don't say, and ids whose ops lie in several Arrow batches, replay alike."""
+    import random
+
+    monkeypatch.setattr(oplog, "STRETCH", 7)
+    r = random.Random(4)
+    flag = lambda: r.choice([False, False, None, True])
+    make = lambda n: [op(r.choice(["insert", "update", "append", "delete", "delete"]), r.choice("abcdefgh"), str(i)) for i in range(n)]
+    log = [o if o["record"] is None else o | {"record": o["record"] | {"deleted": flag()}} for o in make(300)]
+    base = [op("insert", r.choice("abcz"), f"base{n}")["record"] | {"deleted": flag(), "index_id": n} for n in range(16)]
+    base += [op("insert", None, "no id")["record"] | {"index_id": 99}]
+    want = [b for b in base if b["id"] in ("z", None)]
+    for i in "abcdefgh":
+        want += oplog.apply_ops([b for b in base if b["id"] == i], [o for o in log if o["id"] == i], compat)
+    records = spark.createDataFrame([tuple(b[f.name] for f in STORED.fields) for b in base], STORED)
+    key = lambda rows: sorted((str(x["id"]), x["title"], str(x["deleted"]), x["updated_at"], x["tags"], x["embedding"], str(x["index_id"])) for x in rows)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (3, 10000):
+            spark.conf.set(size, n)
+            assert key(oplog.fold(records, frame(spark, log), compat).collect()) == key(want)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_a_write_without_a_record_fails(spark):
+    lost = op("insert", "a") | {"record": None}
+    with pytest.raises(Exception, match="a write of the log has no record"):
+        oplog.fold(spark.createDataFrame([], STORED), frame(spark, [lost])).collect()
+
+
 def test_indexes_follow_the_records(spark, tmp_path):
     """Searches by the kept indexes are those over all live rows, after every
     kind of change, and after opening the folder again."""
