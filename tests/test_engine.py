@@ -283,7 +283,7 @@ def test_replay_queries_take_all_events(spark, tmp_path):
     assert run("compact_live_replay") == sorted((i, v) for i, v, d in want if not d)
 
 
-@pytest.mark.parametrize("name", ["tombstone_stats_replay", "compact_live_replay"])
+@pytest.mark.parametrize("name", ["tombstone_stats_replay", "compact_live_replay", "oplog_replay"])
 def test_replay_streams_over_one_reading_of_the_events(spark, tmp_path, name, capsys):
     """No Python group per id, and the log isn't computed again for its ids."""
     from cairn.plans import catalog
