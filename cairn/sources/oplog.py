@@ -13,8 +13,9 @@ from dataclasses import dataclass
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..errors import StorageError
 from ..schemas import OPS, STORED
@@ -85,6 +86,7 @@ class RotationPolicy:
 
 
 _FIELDS = [f.name for f in STORED.fields]
+_LISTS = {f.name: f.dataType for f in STORED.fields if isinstance(f.dataType, ArrayType)}
 
 
 def apply_ops(records: list[dict], ops: list[dict], compat: bool = False) -> list[dict]:
@@ -130,6 +132,7 @@ def replay(records: DataFrame, ops: DataFrame, compat: bool = False) -> DataFram
     old = records.select("id", F.lit(_ROW).alias("step"), F.col("index_id").alias("at"), F.struct(*_FIELDS).alias("record"))
     new = ops.select("id", step.alias("step"), F.col("seq").alias("at"), "record")
     both = old.unionByName(new).repartition("id").sortWithinPartitions("id", F.col("step") != _ROW, F.asc_nulls_last("at"))
+    both = both.withColumn("record", _filled(F.col("record")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = _Replay(compat)
@@ -140,6 +143,23 @@ def replay(records: DataFrame, ops: DataFrame, compat: bool = False) -> DataFram
     return both.mapInArrow(run, STORED)
 
 
+def _filled(record: Column) -> Column:
+    """The record with empty lists for nulls, and what was null. Spark measures
+    an Arrow batch at every row, and goes over the nulls since the last list each
+    time: a batch without lists would take the square of its rows."""
+    lists = {n: F.coalesce(record[n], F.array().cast(t)) for n, t in _LISTS.items()}
+    none = [record[n].isNull().alias(f"no {n}") for n in _LISTS]
+    return F.struct(*[lists.get(n, record[n]).alias(n) for n in _FIELDS], *none, record.isNull().alias("none"))
+
+
+def _as_written(filled: pa.StructArray) -> pa.StructArray:
+    """The records that ``_filled`` was given."""
+    cols = dict(zip([f.name for f in filled.type], filled.flatten(), strict=True))
+    for n in _LISTS:
+        cols[n] = pc.if_else(cols[f"no {n}"], pa.scalar(None, cols[n].type), cols[n])
+    return pa.StructArray.from_arrays([cols[n] for n in _FIELDS], _FIELDS, mask=cols["none"])
+
+
 class _Replay:
     """``apply_ops`` over a stream. Held are the first row of the current id and
     its active ones, each as a list of the array, the place in it, and whether
@@ -163,7 +183,7 @@ class _Replay:
         self._next_id()
 
     def read(self, b: pa.RecordBatch) -> pa.RecordBatch:
-        self.array = b.column("record")
+        self.array = _as_written(b.column("record"))
         gone = pc.fill_null(pc.struct_field(self.array, "deleted"), False).to_pylist()
         op = self._compat_op if self.compat else self._op
         for at, (i, step) in enumerate(zip(b.column("id").to_pylist(), b.column("step").to_pylist(), strict=True)):

@@ -294,6 +294,38 @@ def test_replay_streams_over_one_reading_of_the_events(spark, tmp_path, name, ca
     assert plan.count("FileScan") == 1 and "MapInArrow" in plan and "InPandas" not in plan
 
 
+@pytest.mark.parametrize("name", ["compact_live_replay"])
+def test_replay_hands_python_no_null_lists(spark, tmp_path, name, monkeypatch):
+    """A batch of null lists, or of deletes, takes the square of its rows."""
+    from cairn.plans import catalog
+
+    events = [(i, t, u, float(i), "{}") for u in range(3) for i, t in enumerate(["click", "error", "error", "purchase"], 4 * u)]
+    frame = spark.createDataFrame(events, "event_id long, event_type string, user_id long, value double, props string")
+    frame.write.parquet(str(tmp_path / "events.parquet"))
+    given = []
+    real = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, *a, **k: given.append(self) or real(self, *a, **k))
+    catalog.QUERIES[name](spark, str(tmp_path))
+    assert len(given) == 1 and given[0].count() == 12
+    assert given[0].where("record IS NULL OR record.tags IS NULL OR record.embedding IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_replay_keeps_null_and_empty_lists_apart(spark, compat):
+    lists = [(None, None), ([], []), (["a", None], [1.0, None]), (None, []), ([], None), (["b"], [2.0])]
+    log = [op("append" if n % 2 else "insert", f"new{n}") for n in range(6)]
+    base = [op("insert", f"old{n}")["record"] for n in range(6)]
+    for rows in ([o["record"] for o in log], base):
+        for row, (tags, vector) in zip(rows, lists, strict=True):
+            row |= {"tags": tags, "embedding": vector}
+    want = [*base, *[o["record"] for o in log]]
+    log += [op("delete", f"old{n}") for n in range(0, 6, 2)]
+    log += [op("append", f"old{n}", "again") for n in (1, 3, 5)]  # active: changes nothing
+    records = spark.createDataFrame([tuple(b[f.name] for f in STORED.fields) for b in base], STORED)
+    got = sorted((r.id, r.tags, r.embedding, r.deleted) for r in oplog.fold(records, frame(spark, log), compat).collect())
+    assert got == sorted((b["id"], b["tags"], b["embedding"], b["id"] in ("old0", "old2", "old4")) for b in want)
+
+
 @pytest.mark.parametrize("compat", [False, True])
 def test_replay_of_odd_rows_over_batches(spark, monkeypatch, compat):
     """Ids with several active rows, rows and writes that are deleted already or
