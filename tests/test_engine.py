@@ -294,7 +294,7 @@ def test_replay_streams_over_one_reading_of_the_events(spark, tmp_path, name, ca
     assert plan.count("FileScan") == 1 and "MapInArrow" in plan and "InPandas" not in plan
 
 
-@pytest.mark.parametrize("name", ["compact_live_replay"])
+@pytest.mark.parametrize("name", ["compact_live_replay", "oplog_replay"])
 def test_replay_hands_python_no_null_lists(spark, tmp_path, name, monkeypatch):
     """A batch of null lists, or of deletes, takes the square of its rows."""
     from cairn.plans import catalog
